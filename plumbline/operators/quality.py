@@ -7,8 +7,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.schema import is_boolean, is_numeric, is_text, normalize, numeric_names
-from ..plans.profile import column_profile, iqr_bounds
+from ..functions.schema import is_text, normalize, numeric_names, quoted
+from ..functions.values import is_number_text
+from ..plans.profile import column_profile, iqr_bounds, outside
 
 DIMENSIONS = ("completeness", "validity", "consistency", "uniqueness", "accuracy")
 
@@ -62,6 +63,71 @@ def column_metrics(df: DataFrame, table_name: str, approx: bool = False) -> Data
     )
 
 
+def _per_column(df: DataFrame, table_name: str, fact, score) -> DataFrame:
+    """One aggregation over the table, then one row per column."""
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(quoted(f.name)).alias(f"p{i}") for i, f in enumerate(df.schema)],
+        *[fact(f).alias(f"x{i}") for i, f in enumerate(df.schema)],
+    )
+    return counted.select(
+        F.lit(table_name).alias("table_name"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(f.name).alias("column_name"),
+                        score(f, F.col("n"), F.col(f"p{i}"), F.col(f"x{i}")).alias("score"),
+                    )
+                    for i, f in enumerate(df.schema)
+                ]
+            )
+        ),
+    )
+
+
+def completeness(df: DataFrame, table_name: str) -> DataFrame:
+    """Share of values that are present, per column; one scan, nothing shuffled."""
+    fact = lambda f: F.lit(0).cast("long")
+    return _per_column(normalize(df), table_name, fact, lambda f, n, p, x: _percent(p, n))
+
+
+consistency = completeness
+
+
+def validity(df: DataFrame, table_name: str) -> DataFrame:
+    """95 for text columns that hold only numbers, 100 for all others."""
+
+    def fact(f):
+        return F.bool_and(is_number_text(quoted(f.name))) if is_text(f.dataType) else F.lit(False)
+
+    def score(f, n, p, x):
+        only_numbers = F.coalesce(x, F.lit(True)) if is_text(f.dataType) else F.lit(False)
+        return F.when(n == 0, 0.0).when(only_numbers, 95.0).otherwise(100.0)
+
+    return _per_column(df, table_name, fact, score)
+
+
+def uniqueness(df: DataFrame, table_name: str, approx: bool = False) -> DataFrame:
+    """Distinct values per present value, per column."""
+    score = F.least(F.lit(100.0), _percent(F.col("unique_count"), F.col("non_null")))
+    return column_profile(normalize(df), approx=approx).select(
+        F.lit(table_name).alias("table_name"), "column_name", score.alias("score")
+    )
+
+
+def accuracy_iqr(df: DataFrame, table_name: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
+    """Share of present values inside the Tukey fences; 100 for other types."""
+    df = normalize(df)
+    fences = iqr_bounds(df, numeric_names(df), factor, approx)
+
+    def fact(f):
+        return F.count_if(outside(quoted(f.name).cast("double"), fences[f.name])) if fences.get(f.name) else F.lit(0).cast("long")
+
+    score = lambda f, n, p, x: F.when(n == 0, 0.0).otherwise(100.0 - _percent(x, p))
+    return _per_column(df, table_name, fact, score)
+
+
 def quality_score() -> Column:
     return sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0))
 

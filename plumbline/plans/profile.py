@@ -8,13 +8,11 @@ is shuffled as a digest.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.schema import is_nested, is_numeric, is_text, numeric_names, quoted
-from ..functions.values import finite, is_number_text, row_keys, text_key
-from .quantiles import exact_quantiles
+from ..functions.values import NUMBER_PATTERN, row_keys, text_key
+from .quantiles import exact_quantiles, number as literal, union_all
 
 PROFILE_FIELDS = (
     "position", "column_name", "data_type", "row_count", "non_null", "null_count",
@@ -24,9 +22,17 @@ PROFILE_FIELDS = (
 
 
 def iqr_bounds(
-    df: DataFrame, columns: list[str] | None = None, factor: float = 1.5, approx: bool = False
+    df: DataFrame,
+    columns: list[str] | None = None,
+    factor: float = 1.5,
+    approx: bool = False,
+    keep_flat: bool = False,
 ) -> dict[str, tuple[float, float] | None]:
-    """Tukey fences per numeric column; null where the quartiles coincide."""
+    """Tukey fences per numeric column.
+
+    Null for a column without values, and, unless ``keep_flat``, for one whose
+    quartiles coincide.
+    """
     names = numeric_names(df) if columns is None else columns
     if approx:
         row = df.agg(
@@ -39,7 +45,8 @@ def iqr_bounds(
     bounds = {}
     for name, (q1, q3) in quartiles.items():
         spread = None if q1 is None else q3 - q1
-        bounds[name] = (q1 - factor * spread, q3 + factor * spread) if spread and spread > 0 else None
+        fenced = spread is not None and (spread > 0 or keep_flat)
+        bounds[name] = (q1 - factor * spread, q3 + factor * spread) if fenced else None
     return bounds
 
 
@@ -49,63 +56,63 @@ def outside(value: Column, bounds: tuple[float, float] | None) -> Column:
     return (value < F.lit(bounds[0])) | (value > F.lit(bounds[1]))
 
 
+_NO_VALUES = (
+    "CAST(NULL AS bigint) AS unique_count", "CAST(NULL AS boolean) AS all_numbers",
+    "CAST(NULL AS bigint) AS mixed_case", "CAST(NULL AS double) AS min_value",
+    "CAST(NULL AS double) AS max_value", "CAST(NULL AS double) AS mean_value",
+    "CAST(NULL AS bigint) AS outliers",
+)
+
+
+def _finite(sql: str) -> str:
+    return f"nullif(nullif(nanvl({sql}, NULL), double('inf')), double('-inf'))"
+
+
 def _branch(df: DataFrame, position: int, field: T.StructField, bounds, approx: bool) -> DataFrame:
+    """One row for one column.  Written in SQL text, which plans quickly."""
     c, dt = quoted(field.name), field.dataType
     head = [
         F.lit(position).alias("position"),
         F.lit(field.name).alias("column_name"),
         F.lit(dt.simpleString()).alias("data_type"),
     ]
-    no_long, no_double = F.lit(None).cast("long"), F.lit(None).cast("double")
     if is_nested(dt):
-        facts = df.agg(F.count(F.lit(1)).alias("row_count"), F.count(c).alias("non_null"))
-        return facts.select(
-            *head, "row_count", "non_null",
-            (F.col("row_count") - F.col("non_null")).alias("null_count"),
-            no_long.alias("unique_count"), F.lit(None).cast("boolean").alias("all_numbers"),
-            no_long.alias("mixed_case"), no_double.alias("min_value"),
-            no_double.alias("max_value"), no_double.alias("mean_value"), no_long.alias("outliers"),
-        )
-    text = is_text(dt)
-    number = is_number_text(c) if text else F.lit(True)
-    mixed = ((c != F.lower(c)) & (c != F.upper(c))) if text else F.lit(False)
-    if approx:
-        v, n = c, F.lit(1)
-        rows, unique = df.select(c.alias("_v")), F.approx_count_distinct("_v")
-        v = F.col("_v")
-        number = is_number_text(v) if text else F.lit(True)
-        mixed = ((v != F.lower(v)) & (v != F.upper(v))) if text else F.lit(False)
+        rows, n, values = df.select(c.alias("v")), "1", list(_NO_VALUES)
     else:
-        key = text_key(c) if text else c
-        rows = df.groupBy(key.alias("_v")).agg(
-            F.count(F.lit(1)).alias("_n"),
-            *([F.max(number).alias("_number"), F.max(mixed).alias("_mixed")] if text else []),
+        number_test, mixed_test = f"v RLIKE r'{NUMBER_PATTERN}'", "v <> lower(v) AND v <> upper(v)"
+        text, rows, n, unique = is_text(dt), df.select(c.alias("v")), "1", "approx_count_distinct(v)"
+        if not approx:
+            n, unique = "n", "count(v)"
+            if text:
+                keyed = df.select(text_key(c).alias("k"), c.alias("v"))
+                rows = keyed.groupBy(F.col("k")).agg(
+                    F.expr("count(1) AS n"), F.expr(f"max({number_test}) AS num"), F.expr(f"max({mixed_test}) AS mix")
+                ).withColumnRenamed("k", "v")
+                number_test, mixed_test = "num", "mix"
+            else:
+                rows = rows.groupBy("v").agg(F.expr("count(1) AS n"))
+        value = "CAST(v AS double)"
+        fence = "false" if bounds is None else (
+            f"{value} < {literal(bounds[0])} OR {value} > {literal(bounds[1])}"
         )
-        v, n, unique = F.col("_v"), F.col("_n"), F.count("_v")
-        if text:
-            number, mixed = F.col("_number"), F.col("_mixed")
-    present = v.isNotNull()
-    value = v.cast("double") if is_numeric(dt) else no_double
-    total = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0)).cast("long")
-    facts = rows.agg(
-        total(F.lit(True)).alias("row_count"),
-        total(present).alias("non_null"),
-        unique.alias("unique_count"),
-        F.coalesce(F.min(F.when(present, number)), F.lit(True)).alias("all_numbers"),
-        total(present & mixed).alias("mixed_case"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        (F.sum(value * n) / F.sum(F.when(present, n))).alias("mean_value"),
-        total(outside(value, bounds)).alias("outliers"),
-    )
-    return facts.select(
-        *head, "row_count", "non_null",
-        (F.col("row_count") - F.col("non_null")).alias("null_count"),
-        "unique_count",
-        (F.col("all_numbers") if text else F.lit(None).cast("boolean")).alias("all_numbers"),
-        "mixed_case", finite(F.col("min_value")).alias("min_value"),
-        finite(F.col("max_value")).alias("max_value"),
-        finite(F.col("mean_value")).alias("mean_value"), "outliers",
+        ranges = [f"min({value})", f"max({value})", f"sum({value} * {n}) / sum(if(v IS NULL, NULL, {n}))"]
+        values = [
+            f"{unique} AS unique_count",
+            (f"coalesce(min(if(v IS NULL, NULL, {number_test})), true)" if text else "CAST(NULL AS boolean)")
+            + " AS all_numbers",
+            (f"coalesce(sum(if({mixed_test}, {n}, 0)), 0L)" if text else "0L") + " AS mixed_case",
+            *[
+                f"{_finite(r) if is_numeric(dt) else 'CAST(NULL AS double)'} AS {name}"
+                for r, name in zip(ranges, ("min_value", "max_value", "mean_value"))
+            ],
+            f"coalesce(sum(if({fence}, {n}, 0)), 0L) AS outliers",
+        ]
+    return rows.agg(
+        *head,
+        F.expr(f"coalesce(sum({n}), 0L) AS row_count"),
+        F.expr(f"coalesce(sum(if(v IS NULL, 0, {n})), 0L) AS non_null"),
+        F.expr(f"coalesce(sum(if(v IS NULL, {n}, 0)), 0L) AS null_count"),
+        *[F.expr(v) for v in values],
     )
 
 
@@ -121,7 +128,7 @@ def column_profile(
     parts = [
         _branch(df, i, f, bounds.get(f.name), approx) for i, f in enumerate(fields)
     ]
-    return reduce(DataFrame.union, parts)
+    return union_all(parts)
 
 
 def row_repeats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

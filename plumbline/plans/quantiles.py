@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
@@ -38,28 +36,33 @@ class _Target:
     value: float | None = None
 
 
-def _doubles(df: DataFrame, expr: Column) -> DataFrame:
-    v = expr.cast("double")
-    return df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+def number(x: float) -> str:
+    """A double literal in SQL."""
+    return f"{x!r}D"
+
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Union as a balanced tree, which keeps plans of many branches shallow."""
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].union(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return parts[0]
 
-def _inside(t: _Target) -> Column:
-    keep = F.lit(True)
-    if t.lo is not None:
-        keep = keep & (F.col("v") >= F.lit(t.lo))
-    if t.hi is not None:
-        keep = keep & (F.col("v") <= F.lit(t.hi))
-    return keep
+
+def _doubles(df: DataFrame, expr: Column) -> DataFrame:
+    return df.select(expr.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, parts)
+def _inside(t: _Target) -> str:
+    low = "true" if t.lo is None else f"v >= {number(t.lo)}"
+    high = "true" if t.hi is None else f"v <= {number(t.hi)}"
+    return f"({low} AND {high})"
 
 
 def _first_brackets(df, exprs, probs, accuracy) -> list[_Target]:
     slack = 4.0 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    rows = _union(
+    rows = union_all(
         [
             _doubles(df, e).agg(
                 F.lit(name).alias("name"),
@@ -90,14 +93,14 @@ def _narrow(df, exprs, targets: list[_Target], accuracy: int, limit: int) -> Non
     """One pass that shrinks every bracket with too many distinct values."""
     grid = [i / _GRID for i in range(_GRID + 1)]
     slack = 1 + math.ceil(_GRID * 2.0 / accuracy)
-    rows = _union(
+    rows = union_all(
         [
             _doubles(df, exprs[t.column]).agg(
                 F.lit(i).alias("i"),
-                F.count_if(F.col("v") < F.lit(t.lo) if t.lo is not None else F.lit(False)).alias("below"),
-                F.count_if(_inside(t)).alias("m"),
-                F.approx_count_distinct(F.when(_inside(t), F.col("v"))).alias("distinct"),
-                F.percentile_approx(F.when(_inside(t), F.col("v")), grid, accuracy).alias("grid"),
+                F.expr("count_if(false)" if t.lo is None else f"count_if(v < {number(t.lo)})").alias("below"),
+                F.expr(f"count_if({_inside(t)})").alias("m"),
+                F.expr(f"approx_count_distinct(v) FILTER (WHERE {_inside(t)})").alias("distinct"),
+                F.percentile_approx(F.expr(f"if({_inside(t)}, v, NULL)"), grid, accuracy).alias("grid"),
             )
             for i, t in enumerate(targets)
         ]
@@ -135,22 +138,18 @@ def _segments(targets: list[_Target]) -> list[tuple[float | None, float | None]]
     return [(None if lo == low else lo, None if hi == high else hi) for lo, hi in merged]
 
 
-def _keyed(df: DataFrame, expr: Column, segments) -> DataFrame:
+def _keyed(df: DataFrame, expr: Column, segments, c: int) -> DataFrame:
     """Values inside a bracket keep their value, those between fold into null."""
-    v = F.col("v")
+    seg, key = "CASE", "CASE"
+    for i, (lo, hi) in enumerate(segments):
+        upto = "true" if hi is None else f"v <= {number(hi)}"
+        seg += f" WHEN {upto} THEN {i}"
+        key += f" WHEN {upto} THEN " + ("v" if lo is None else f"if(v >= {number(lo)}, v, NULL)")
     last = segments[-1][1]
-    seg, key = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for i, (lo, hi) in reversed(list(enumerate(segments))):
-        here = v if lo is None else F.when(v >= F.lit(lo), v)
-        if hi is None:
-            seg, key = F.lit(i), here
-        else:
-            upto = v <= F.lit(hi)
-            seg, key = F.when(upto, F.lit(i)).otherwise(seg), F.when(upto, here).otherwise(key)
     rows = _doubles(df, expr)
     if last is not None:
-        rows = rows.where(v <= F.lit(last))
-    return rows.select(seg.alias("seg"), key.alias("key"))
+        rows = rows.where(f"v <= {number(last)}")
+    return rows.selectExpr(f"{c} AS c", f"{seg} END AS seg", f"{key} END AS key")
 
 
 def _read_ranks(df, exprs, targets: list[_Target]) -> list[_Target]:
@@ -163,11 +162,9 @@ def _read_ranks(df, exprs, targets: list[_Target]) -> list[_Target]:
     for i, t in enumerate(targets):
         by_column.setdefault(t.column, []).append(i)
     columns = list(by_column)
-    keyed = _union(
+    keyed = union_all(
         [
-            _keyed(df, exprs[name], _segments([targets[i] for i in by_column[name]])).select(
-                F.lit(c).alias("c"), "seg", "key"
-            )
+            _keyed(df, exprs[name], _segments([targets[i] for i in by_column[name]]), c)
             for c, name in enumerate(columns)
         ]
     )
@@ -183,20 +180,15 @@ def _read_ranks(df, exprs, targets: list[_Target]) -> list[_Target]:
     )
     most = max(len(ids) for ids in by_column.values())
 
-    def wanted(slot: int, field: str) -> Column:
-        ranks = [
-            getattr(targets[ids[slot]], field) if slot < len(ids) else None
+    def pick(slot: int, field: str) -> Column:
+        ranks = ", ".join(
+            str(getattr(targets[ids[slot]], field)) if slot < len(ids) else "NULL"
             for ids in by_column.values()
-        ]
-        return F.element_at(F.array(*[F.lit(r).cast("long") for r in ranks]), F.col("c") + 1)
-
-    picks = [
-        F.min_by(
-            F.struct("key"), F.when(F.col("upto") > wanted(slot, field), F.col("upto"))
-        ).alias(f"{field}{slot}")
-        for slot in range(most)
-        for field in ("first", "second")
-    ]
+        )
+        reached = f"upto > element_at(array({ranks}), c + 1)"
+        return F.expr(f"min_by(struct(key), if({reached}, upto, NULL))").alias(f"{field}{slot}")
+
+    picks = [pick(slot, field) for slot in range(most) for field in ("first", "second")]
     rows = {row.c: row for row in counted.groupBy("c").agg(F.max("upto").alias("upto"), *picks).collect()}
     missed = []
     for c, name in enumerate(columns):
