@@ -57,9 +57,19 @@ def type_class(dt: T.DataType) -> str:
     return "nested"
 
 
+def sql_name(name: str) -> str:
+    """A column name in SQL text, dots and spaces allowed."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def quoted(name: str) -> Column:
     """Column reference that also works for names with dots and spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
 def normalize(df: DataFrame) -> DataFrame:

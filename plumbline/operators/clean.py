@@ -371,10 +371,16 @@ class Cleaner:
 
 
 def clean_pipeline(df: DataFrame, options: Mapping[str, dict]) -> Cleaner:
-    """Run the named steps in their fixed order with the given options."""
+    """Run the named steps in their fixed order with the given options.
+
+    After copies are dropped the rows are written once, because the later steps
+    that measure columns would repeat that shuffle for every column.
+    """
+    measuring = {"fill_missing", "remove_outliers", "standardize", "convert_types"} & set(options)
+    without_copies = lambda d, **o: materialize(drop_duplicates(d, **o), "unique") if measuring else drop_duplicates(d, **o)
     steps = {
         "drop_nulls": drop_nulls,
-        "drop_duplicates": drop_duplicates,
+        "drop_duplicates": without_copies,
         "fill_missing": fill_missing,
         "remove_outliers": remove_outliers,
         "standardize": standardize,
@@ -431,7 +437,7 @@ def clean_for_export(df: DataFrame) -> DataFrame:
 
 
 def export_report(tables: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Rows before and after per table, and the share that is left."""
+    """Rows before and after per table, and the share that was removed."""
     parts = [
         before.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("original_records")).join(
             F.broadcast(after.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("cleaned_records"))), "table_name"
@@ -442,5 +448,5 @@ def export_report(tables: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFram
     return union_all(parts).select(
         "*",
         (original - cleaned).alias("removed_records"),
-        F.round(F.coalesce(F.try_divide(cleaned * 100.0, original), F.lit(0.0)), 2).alias("cleaning_efficiency"),
+        F.round(F.coalesce(F.try_divide((original - cleaned) * 100.0, original), F.lit(0.0)), 2).alias("cleaning_efficiency"),
     )

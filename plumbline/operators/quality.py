@@ -7,9 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.schema import is_text, normalize, numeric_names, quoted
-from ..functions.values import is_number_text
-from ..plans.profile import column_profile, iqr_bounds, outside
+from ..functions.schema import is_text, normalize, numeric_names, sql_name, sql_text
+from ..functions.values import NUMBER_PATTERN
+from ..plans.profile import column_profile, iqr_bounds
+from ..plans.quantiles import number as literal
 
 DIMENSIONS = ("completeness", "validity", "consistency", "uniqueness", "accuracy")
 
@@ -64,32 +65,23 @@ def column_metrics(df: DataFrame, table_name: str, approx: bool = False) -> Data
 
 
 def _per_column(df: DataFrame, table_name: str, fact, score) -> DataFrame:
-    """One aggregation over the table, then one row per column."""
-    counted = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(quoted(f.name)).alias(f"p{i}") for i, f in enumerate(df.schema)],
-        *[fact(f).alias(f"x{i}") for i, f in enumerate(df.schema)],
-    )
-    return counted.select(
-        F.lit(table_name).alias("table_name"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.name).alias("column_name"),
-                        score(f, F.col("n"), F.col(f"p{i}"), F.col(f"x{i}")).alias("score"),
-                    )
-                    for i, f in enumerate(df.schema)
-                ]
-            )
-        ),
-    )
+    """One aggregation over the table, then one row per column.
+
+    ``fact`` and ``score`` give SQL text: plans for many columns build faster so.
+    """
+    facts = ["count(1) AS n"]
+    rows = []
+    for i, f in enumerate(df.schema):
+        facts += [f"count({sql_name(f.name)}) AS p{i}", f"{fact(f)} AS x{i}"]
+        rows.append(f"named_struct('column_name', {sql_text(f.name)}, 'score', {score(f, f'p{i}', f'x{i}')})")
+    counted = df.agg(*[F.expr(x) for x in facts])
+    return counted.selectExpr(f"{sql_text(table_name)} AS table_name", f"inline(array({', '.join(rows)}))")
 
 
 def completeness(df: DataFrame, table_name: str) -> DataFrame:
     """Share of values that are present, per column; one scan, nothing shuffled."""
-    fact = lambda f: F.lit(0).cast("long")
-    return _per_column(normalize(df), table_name, fact, lambda f, n, p, x: _percent(p, n))
+    share = lambda f, p, x: f"coalesce(try_divide({p} * 100D, n), 0D)"
+    return _per_column(normalize(df), table_name, lambda f: "0", share)
 
 
 consistency = completeness
@@ -97,14 +89,9 @@ consistency = completeness
 
 def validity(df: DataFrame, table_name: str) -> DataFrame:
     """95 for text columns that hold only numbers, 100 for all others."""
-
-    def fact(f):
-        return F.bool_and(is_number_text(quoted(f.name))) if is_text(f.dataType) else F.lit(False)
-
-    def score(f, n, p, x):
-        only_numbers = F.coalesce(x, F.lit(True)) if is_text(f.dataType) else F.lit(False)
-        return F.when(n == 0, 0.0).when(only_numbers, 95.0).otherwise(100.0)
-
+    fact = lambda f: f"bool_and({sql_name(f.name)} RLIKE r'{NUMBER_PATTERN}')" if is_text(f.dataType) else "false"
+    numbers = lambda f, x: f"coalesce({x}, true)" if is_text(f.dataType) else "false"
+    score = lambda f, p, x: f"CASE WHEN n = 0 THEN 0D WHEN {numbers(f, x)} THEN 95D ELSE 100D END"
     return _per_column(df, table_name, fact, score)
 
 
@@ -122,9 +109,13 @@ def accuracy_iqr(df: DataFrame, table_name: str, factor: float = 1.5, approx: bo
     fences = iqr_bounds(df, numeric_names(df), factor, approx)
 
     def fact(f):
-        return F.count_if(outside(quoted(f.name).cast("double"), fences[f.name])) if fences.get(f.name) else F.lit(0).cast("long")
+        if not fences.get(f.name):
+            return "0"
+        low, high = fences[f.name]
+        value = f"CAST({sql_name(f.name)} AS double)"
+        return f"count_if({value} < {literal(low)} OR {value} > {literal(high)})"
 
-    score = lambda f, n, p, x: F.when(n == 0, 0.0).otherwise(100.0 - _percent(x, p))
+    score = lambda f, p, x: f"CASE WHEN n = 0 THEN 0D ELSE 100D - coalesce(try_divide({x} * 100D, {p}), 0D) END"
     return _per_column(df, table_name, fact, score)
 
 

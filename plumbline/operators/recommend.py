@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import names as rules
 from ..functions.schema import (
-    is_boolean, is_datetime, is_integral, is_numeric, is_text, normalize, numeric_names, quoted, text_names,
-    type_class,
+    datetime_names, is_boolean, is_datetime, is_integral, is_numeric, is_text, normalize, numeric_names,
+    quoted, text_names, type_class,
 )
 from ..functions.values import BOOLEAN_WORDS, is_number_text, parse_timestamp
+from ..plans.ordered import ordered, slide
 from ..plans.profile import column_profile, iqr_bounds, outside, row_repeats
-from ..plans.quantiles import union_all
 from .rows import sample_values
 
 
@@ -221,3 +221,90 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             )
         )
     )
+
+
+def date_columns_by_variance(df: DataFrame, order_by: list[str], **sizes) -> DataFrame:
+    """Variance of the steps, in seconds, of every date column in row order.
+
+    The column with the largest variance is the time axis (``chosen``).
+    """
+    names = datetime_names(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, variance double, chosen boolean")
+    seconds = lambda c: F.unix_micros(quoted(c).cast("timestamp")) / 1e6
+    rows = ordered(df.select(*dict.fromkeys([*order_by, *names])), order_by, **sizes)
+    steps = slide(rows, {f"_d{i}": lambda w, c=c: seconds(c) - F.lag(seconds(c)).over(w) for i, c in enumerate(names)}, back=1)
+    found = steps.df.agg(*[F.var_samp(f"_d{i}").alias(f"v{i}") for i in range(len(names))])
+    best = F.greatest(*[F.col(f"v{i}") for i in range(len(names))]) if len(names) > 1 else F.col("v0")
+    flags, taken = [], F.lit(False)
+    for i in range(len(names)):
+        hit = F.coalesce(F.col(f"v{i}") == best, F.lit(False)) & ~taken
+        flags.append(hit)
+        taken = taken | hit
+    return found.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("variance"), flags[i].alias("chosen"))
+                    for i, c in enumerate(names)
+                ]
+            )
+        )
+    )
+
+
+# Key names and the longest name that may hold ``id`` anywhere.
+STRICT_KEY_NAMES = ("index", "idx", "key", "pk", "primary_key")
+STRICT_NAME_LENGTH = 10
+
+
+def _strict_name(name: str) -> bool:
+    low = name.lower()
+    return (
+        low == "id" or low.startswith("id_") or low.endswith("id") or low in STRICT_KEY_NAMES
+        or ("id" in low and len(low) <= STRICT_NAME_LENGTH)
+    )
+
+
+def id_columns_strict(df: DataFrame, order_by: list[str], **sizes) -> DataFrame:
+    """Numeric columns only: name rule, order, uniqueness, whole numbers, correlations."""
+    df = normalize(df)
+    names = numeric_names(df)
+    value = lambda c: quoted(c).cast("double")
+    facts = column_profile(df, columns=names)
+    rows = ordered(df.select(*dict.fromkeys([*order_by, *names])), order_by, **sizes)
+    falls = slide(rows, {f"_f{i}": lambda w, c=c: value(c) < F.lag(value(c)).over(w) for i, c in enumerate(names)}, back=1)
+    tests = falls.df.agg(
+        *[F.count_if(F.col(f"_f{i}")).alias(f"f{i}") for i in range(len(names))],
+        *[F.count_if(value(c) != F.floor(value(c))).alias(f"w{i}") for i, c in enumerate(names)],
+    ).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column_name"), (F.col(f"f{i}") == 0).alias("increasing"),
+                        (F.col(f"w{i}") == 0).alias("whole_numbers"),
+                    )
+                    for i, c in enumerate(names)
+                ]
+            )
+        )
+    )
+    r = correlations(df, names).where("r IS NOT NULL")
+    both = r.select(F.col("left_column").alias("column_name"), F.abs("r").alias("r")).union(
+        r.select("right_column", F.abs("r"))
+    )
+    related = both.groupBy("column_name").agg(F.avg("r").alias("mean_abs_corr"), F.max("r").alias("max_abs_corr"))
+    unique = F.col("unique_count") == F.col("non_null")
+    low = F.col("min_value").isin(0.0, 1.0)
+    by_name = F.col("column_name").isin([c for c in names if _strict_name(c)])
+    by_data = unique & (F.col("increasing") | (F.col("whole_numbers") & low) | (F.col("row_count") > 10))
+    return (
+        facts.join(F.broadcast(tests), "column_name")
+        .join(F.broadcast(related), "column_name", "left")
+        .select(
+            "column_name", by_name.alias("by_name"), "increasing", unique.alias("all_differ"), "whole_numbers",
+            F.coalesce(low, F.lit(False)).alias("starts_low"), "mean_abs_corr", "max_abs_corr",
+            F.coalesce(by_name | by_data, F.lit(False)).alias("is_id"),
+        )
+    )
