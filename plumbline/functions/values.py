@@ -19,12 +19,10 @@ BOOLEAN_WORDS = (
     "yes", "no", "Yes", "No", "YES", "NO",
 )
 
-# Accepted date formats, tried in this order.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm", "yyyy/MM/dd", "MM/dd/yyyy", "MMM d, yyyy",
-    "MMMM d, yyyy", "d MMM yyyy",
-)
+# Date formats accepted besides ISO 8601, tried in this order.
+TIMESTAMP_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy")
+
+ISO_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?\s*$"
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -43,8 +41,8 @@ def parse_number(c: Column) -> Column:
 
 def parse_timestamp(c: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
     """Text to timestamp without time zone; junk becomes null."""
-    tries = [F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    iso = F.when(c.rlike(ISO_PATTERN), F.trim(c).try_cast("timestamp_ntz"))
+    return F.coalesce(iso, *[F.try_to_timestamp(F.trim(c), F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
 def finite(c: Column, legacy: bool = False) -> Column:
