@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.schema import normalize, quoted
 from ..operators import series as s
 from ..plans.ordered import ordered
+from .quality import with_event_time
 
 
 @dataclass(frozen=True)
@@ -38,15 +39,16 @@ def fit_steps(history: DataFrame, key: str, order_by: list[str], column: str, **
 
 def score_stream(
     df: DataFrame, key: str, time: str, tiebreak: str, column: str, model: StepModel, threshold: float = 2.0,
-    idle: str = "30 days",
+    delay: str = "1 hour", idle: str = "30 days",
 ) -> DataFrame:
     """Each row with the value before it of the same key, ``score`` and ``anomaly``.
 
-    State is one number per key, and is dropped after ``idle`` without a row.
-    Rows of a key are put in order within a micro-batch, whose size the source
+    State is one number per key, and is dropped once the watermark has moved
+    ``idle`` past the key's last row.  Rows of a key are put in order within a micro-batch, whose size the source
     bounds; between batches the order of arrival counts.
     """
-    fields = [f for f in df.schema if f.name in (key, time, tiebreak, column)]
+    timed = with_event_time(df, time, delay)
+    fields = [f for f in timed.schema if f.name in (key, time, tiebreak, column)]
     output = T.StructType(
         [*fields, T.StructField("previous", T.DoubleType()), T.StructField("score", T.DoubleType()),
          T.StructField("anomaly", T.BooleanType())]
@@ -58,7 +60,7 @@ def score_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values([time, tiebreak])
+        rows = pd.concat(list(batches)).sort_values([time, tiebreak]).reset_index(drop=True)
         before = state.get[0] if state.exists else None
         rows["previous"] = rows[column].shift(1)
         if before is not None:
@@ -67,10 +69,11 @@ def score_stream(
         rows["score"] = ((residual - model.mean) / model.spread).abs()
         rows["anomaly"] = rows["score"] > threshold
         state.update((float(rows[column].iloc[-1]),))
-        state.setTimeoutDuration(idle_ms)
+        last_ms = int(rows[time].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + idle_ms)
         yield rows[names]
 
-    present = normalize(df).where(quoted(column).isNotNull()).select(*[quoted(f.name) for f in fields])
+    present = timed.where(quoted(column).isNotNull()).select(*[quoted(f.name) for f in fields])
     return present.groupBy(quoted(key)).applyInPandasWithState(
-        score, output, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        score, output, "last double", "append", GroupStateTimeout.EventTimeTimeout
     )
