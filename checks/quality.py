@@ -83,8 +83,12 @@ def tables_sql(*tables: str) -> str:
 ROUNDED_DIMS = ", ".join(f"round({d}, 6) AS {d}" for d in q.DIMENSIONS)
 
 
+def scored(spark, sf, *tables) -> DataFrame:
+    return q.score_tables({t: load(spark, sf, t) for t in tables})
+
+
 def columns(spark, sf, *tables) -> DataFrame:
-    return union(q.column_metrics(load(spark, sf, t), t) for t in tables)
+    return scored(spark, sf, *tables).select(*q.COLUMN_FIELDS)
 
 
 def one_dimension(name: str, out: str | None = None):
@@ -107,7 +111,7 @@ def column_metrics(spark, sf):
 
 
 def table_metrics(spark, sf):
-    return rounded(union(q.table_metrics(load(spark, sf, t), t) for t in SCORED))
+    return rounded(q.fold_columns(scored(spark, sf, *SCORED)))
 
 
 def sources(spark, sf, names=RELATIONAL, missing: bool = True):
@@ -143,14 +147,14 @@ def column_quality_ui(spark, sf):
 
 
 def score_band(spark, sf):
-    m = union(q.table_metrics(load(spark, sf, t), t) for t in ("dirty_customer", "dirty_orders"))
+    m = q.fold_columns(scored(spark, sf, "dirty_customer", "dirty_orders"))
     return rounded(m.select(
         "table_name", "quality_score", q.score_band(F.col("quality_score")).alias("score_band"),
         q.score_band(F.col("uniqueness")).alias("uniqueness_band")))
 
 
 def score_issues(spark, sf):
-    m = union(q.table_metrics(load(spark, sf, t), t) for t in ("dirty_customer", "dirty_orders"))
+    m = q.fold_columns(scored(spark, sf, "dirty_customer", "dirty_orders"))
     longer = m.select("table_name", F.inline(F.array(*[
         F.struct(F.lit(d).alias("dimension"), F.col(s).alias("score"))
         for d, s in (("completeness", "completeness"), ("uniqueness", "uniqueness"),

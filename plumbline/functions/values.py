@@ -97,3 +97,10 @@ def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
         for i, f in enumerate(df.schema)
         if f.name in wanted
     ]
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation over rows where both are present; null where one is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

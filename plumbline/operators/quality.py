@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.schema import is_text, normalize, numeric_names, sql_name, sql_text
 from ..functions.values import NUMBER_PATTERN
 from ..plans.profile import column_profile, iqr_bounds
-from ..plans.quantiles import number as literal
+from ..plans.quantiles import number as literal, union_all
 
 DIMENSIONS = ("completeness", "validity", "consistency", "uniqueness", "accuracy")
 
@@ -56,12 +56,21 @@ def score_columns(df: DataFrame, table_name: str, approx: bool = False) -> DataF
     )
 
 
+def score_tables(tables: Mapping[str, DataFrame], approx: bool = False, parallel: int = 8) -> DataFrame:
+    """``score_columns`` of several tables, whose fences are fitted side by side."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return union_all(list(pool.map(lambda t: score_columns(tables[t], t, approx), tables)))
+
+
+COLUMN_FIELDS = (
+    "table_name", "position", "column_name", "data_type", *DIMENSIONS, "null_count", "unique_count", "min_value",
+    "max_value", "mean_value",
+)
+
+
 def column_metrics(df: DataFrame, table_name: str, approx: bool = False) -> DataFrame:
     """One row per column: type, five scores, null and distinct counts, range."""
-    return score_columns(df, table_name, approx).select(
-        "table_name", "position", "column_name", "data_type", *DIMENSIONS,
-        "null_count", "unique_count", "min_value", "max_value", "mean_value",
-    )
+    return score_columns(df, table_name, approx).select(*COLUMN_FIELDS)
 
 
 def _per_column(df: DataFrame, table_name: str, fact, score) -> DataFrame:
@@ -125,7 +134,11 @@ def quality_score() -> Column:
 
 def table_metrics(df: DataFrame, table_name: str, approx: bool = False) -> DataFrame:
     """One row: each dimension averaged over columns, and the weighted score."""
-    scored = score_columns(df, table_name, approx)
+    return fold_columns(score_columns(df, table_name, approx))
+
+
+def fold_columns(scored: DataFrame) -> DataFrame:
+    """Scored columns folded to one row per table."""
     return (
         scored.groupBy("table_name")
         .agg(

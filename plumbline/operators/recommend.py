@@ -9,7 +9,7 @@ from ..functions.schema import (
     datetime_names, is_boolean, is_datetime, is_integral, is_numeric, is_text, normalize, numeric_names,
     quoted, text_names, type_class,
 )
-from ..functions.values import BOOLEAN_WORDS, is_number_text, parse_timestamp
+from ..functions.values import BOOLEAN_WORDS, correlation, is_number_text, parse_timestamp
 from ..plans.ordered import ordered, slide
 from ..plans.profile import column_profile, iqr_bounds, outside, row_repeats
 from .rows import sample_values
@@ -210,7 +210,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = columns or numeric_names(df)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     value = lambda c: quoted(c).cast("double")
-    wide = df.agg(*[F.corr(value(a), value(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(value(a), value(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return wide.select(
         F.inline(
             F.array(
