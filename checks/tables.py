@@ -71,6 +71,7 @@ COLUMNS = {
     ],
 }
 
+# Daily sums are taken in whole cents, so that no order of additions shows.
 # View name -> (base table, SQL body).  {src} is the base table, {ntz} the name
 # of the timestamp type without zone, {dayno} the number of a day.
 VIEWS = {
@@ -123,12 +124,11 @@ VIEWS = {
         """
         WITH g AS (
           SELECT CAST(CAST(o_orderdate AS date) AS {ntz}) AS d, count(*) AS n_orders,
-                 round(sum(o_totalprice), 2) AS total_price,
-                 round(avg(o_totalprice), 4) AS avg_price
+                 CAST(sum(CAST(round(o_totalprice * 100) AS bigint)) AS double) AS cents
           FROM {src} GROUP BY 1)
         SELECT d, n_orders,
-               CASE WHEN {dayno} % 400 = 0 THEN round(total_price * 3, 2) ELSE total_price END AS total_price,
-               avg_price
+               CASE WHEN {dayno} % 400 = 0 THEN cents * 3 / 100 ELSE cents / 100 END AS total_price,
+               cents / (100 * n_orders) AS avg_price
         FROM g
         """,
     ),

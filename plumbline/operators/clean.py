@@ -95,7 +95,7 @@ def fill_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def fill_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     df = normalize(df)
     names = columns or numeric_names(df)
-    found = exact_quantiles(df, {c: quoted(c) for c in names}, (0.5,))
+    found = exact_quantiles(df, names, (0.5,))
     return _replace(df, {c: F.coalesce(quoted(c), F.lit(found[c][0])) for c in names})
 
 

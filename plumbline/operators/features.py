@@ -233,7 +233,7 @@ def box_cox(df: DataFrame, column: str) -> tuple[DataFrame, float]:
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distance from the median in units of the quartile range."""
     df = normalize(df)
-    found = exact_quantiles(df, {c: quoted(c) for c in columns})
+    found = exact_quantiles(df, columns)
     new = {}
     for c, (q1, median, q3) in found.items():
         if median is not None:
@@ -323,7 +323,7 @@ def imputation_check(before: DataFrame, after: DataFrame, columns: list[str]) ->
     """Mean, deviation and quartiles before and after, and the largest quartile shift."""
     sides = []
     for df in (normalize(before), normalize(after)):
-        sides.append((zscore_limits(df, columns), exact_quantiles(df, {c: quoted(c) for c in columns})))
+        sides.append((zscore_limits(df, columns), exact_quantiles(df, columns)))
     out = []
     for c in columns:
         (m0, s0), (m1, s1) = (side[0][c] or (None, None) for side in sides)

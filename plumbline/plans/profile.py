@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.schema import is_nested, is_numeric, is_text, numeric_names, quoted
-from ..functions.values import NUMBER_PATTERN, row_keys, text_key
-from .quantiles import exact_quantiles, number as literal, union_all
+from ..functions.schema import is_nested, is_numeric, is_text, numeric_names, quoted, sql_name, sql_text
+from ..functions.values import DIGEST_ABOVE_BYTES, NUMBER_PATTERN, row_keys
+from .quantiles import braces, exact_quantiles, number as literal, select_over
 
 PROFILE_FIELDS = (
     "position", "column_name", "data_type", "row_count", "non_null", "null_count",
@@ -41,7 +41,7 @@ def iqr_bounds(
         ).first() if names else ()
         quartiles = {c: row[i] or [None, None] for i, c in enumerate(names)}
     else:
-        quartiles = exact_quantiles(df, {c: quoted(c) for c in names}, (0.25, 0.75))
+        quartiles = exact_quantiles(df, names, (0.25, 0.75))
     bounds = {}
     for name, (q1, q3) in quartiles.items():
         spread = None if q1 is None else q3 - q1
@@ -68,29 +68,30 @@ def _finite(sql: str) -> str:
     return f"nullif(nullif(nanvl({sql}, NULL), double('inf')), double('-inf'))"
 
 
-def _branch(df: DataFrame, position: int, field: T.StructField, bounds, approx: bool) -> DataFrame:
-    """One row for one column.  Written in SQL text, which plans quickly."""
-    c, dt = quoted(field.name), field.dataType
+def _key(name: str) -> str:
+    """``text_key`` as SQL text."""
+    digest = f"concat_ws(':', sha2({name}, 256), CAST(length({name}) AS string))"
+    return f"if(octet_length({name}) > {DIGEST_ABOVE_BYTES}, {digest}, {name})"
+
+
+def _branch(position: int, field: T.StructField, bounds, approx: bool) -> str:
+    """SQL for the one row of one column, over ``{t}``."""
+    c, dt = sql_name(field.name), field.dataType
     head = [
-        F.lit(position).alias("position"),
-        F.lit(field.name).alias("column_name"),
-        F.lit(dt.simpleString()).alias("data_type"),
+        f"{position} AS position", f"{sql_text(field.name)} AS column_name", f"{sql_text(dt.simpleString())} AS data_type",
     ]
-    if is_nested(dt):
-        rows, n, values = df.select(c.alias("v")), "1", list(_NO_VALUES)
-    else:
+    rows, n, values = f"(SELECT {c} AS v FROM <t>)", "1", list(_NO_VALUES)
+    if not is_nested(dt):
         number_test, mixed_test = f"v RLIKE r'{NUMBER_PATTERN}'", "v <> lower(v) AND v <> upper(v)"
-        text, rows, n, unique = is_text(dt), df.select(c.alias("v")), "1", "approx_count_distinct(v)"
+        text, unique = is_text(dt), "approx_count_distinct(v)"
         if not approx:
             n, unique = "n", "count(v)"
             if text:
-                keyed = df.select(text_key(c).alias("k"), c.alias("v"))
-                rows = keyed.groupBy(F.col("k")).agg(
-                    F.expr("count(1) AS n"), F.expr(f"max({number_test}) AS num"), F.expr(f"max({mixed_test}) AS mix")
-                ).withColumnRenamed("k", "v")
+                keyed = f"(SELECT {_key(c)} AS k, {c} AS v FROM <t>)"
+                rows = f"(SELECT k AS v, count(1) AS n, max({number_test}) AS num, max({mixed_test}) AS mix FROM {keyed} GROUP BY k)"
                 number_test, mixed_test = "num", "mix"
             else:
-                rows = rows.groupBy("v").agg(F.expr("count(1) AS n"))
+                rows = f"(SELECT v, count(1) AS n FROM {rows} GROUP BY v)"
         value = "CAST(v AS double)"
         fence = "false" if bounds is None else (
             f"{value} < {literal(bounds[0])} OR {value} > {literal(bounds[1])}"
@@ -107,13 +108,12 @@ def _branch(df: DataFrame, position: int, field: T.StructField, bounds, approx:
             ],
             f"coalesce(sum(if({fence}, {n}, 0)), 0L) AS outliers",
         ]
-    return rows.agg(
-        *head,
-        F.expr(f"coalesce(sum({n}), 0L) AS row_count"),
-        F.expr(f"coalesce(sum(if(v IS NULL, 0, {n})), 0L) AS non_null"),
-        F.expr(f"coalesce(sum(if(v IS NULL, {n}, 0)), 0L) AS null_count"),
-        *[F.expr(v) for v in values],
-    )
+    facts = [
+        f"coalesce(sum({n}), 0L) AS row_count",
+        f"coalesce(sum(if(v IS NULL, 0, {n})), 0L) AS non_null",
+        f"coalesce(sum(if(v IS NULL, {n}, 0)), 0L) AS null_count",
+    ]
+    return braces(f"SELECT {', '.join([*head, *facts, *values])} FROM {rows}").replace("<t>", "{t}")
 
 
 def column_profile(
@@ -125,10 +125,7 @@ def column_profile(
     """Facts per column in schema order; ``df`` must be normalized."""
     fields = [f for f in df.schema if columns is None or f.name in columns]
     bounds = bounds or {}
-    parts = [
-        _branch(df, i, f, bounds.get(f.name), approx) for i, f in enumerate(fields)
-    ]
-    return union_all(parts)
+    return select_over(df, [_branch(i, f, bounds.get(f.name), approx) for i, f in enumerate(fields)])
 
 
 def row_repeats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,8 @@ import math
 from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.schema import sql_name
+
 ACCURACY = 10_000
 BRACKET_VALUES = 2_000_000
 _GRID = 256
@@ -38,7 +40,7 @@ class _Target:
 
 def number(x: float) -> str:
     """A double literal in SQL."""
-    return f"{x!r}D"
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -49,8 +51,25 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
-def _doubles(df: DataFrame, expr: Column) -> DataFrame:
-    return df.select(expr.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+def select_over(df: DataFrame, parts: list[str]) -> DataFrame:
+    """``UNION ALL`` of queries that read ``{t}``: one analysis for all branches."""
+    return df.sparkSession.sql(" UNION ALL ".join(parts), t=df)
+
+
+def braces(sql: str) -> str:
+    """Names and literals may hold braces, which the SQL formatter would read."""
+    return sql.replace("{", "{{").replace("}", "}}")
+
+
+def _doubles(column: str, where: str = "true") -> str:
+    return (
+        f"(SELECT v FROM (SELECT CAST({braces(sql_name(column))} AS double) AS v FROM {{t}}) "
+        f"WHERE v IS NOT NULL AND NOT isnan(v) AND {where})"
+    )
+
+
+def _array(values) -> str:
+    return f"array({', '.join(number(x) for x in values)})"
 
 
 def _inside(t: _Target) -> str:
@@ -59,18 +78,15 @@ def _inside(t: _Target) -> str:
     return f"({low} AND {high})"
 
 
-def _first_brackets(df, exprs, probs, accuracy) -> list[_Target]:
+def _first_brackets(df: DataFrame, columns: list[str], probs, accuracy: int) -> list[_Target]:
     slack = 4.0 / accuracy
-    edges = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    rows = union_all(
+    edges = _array(e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack)))
+    rows = select_over(
+        df,
         [
-            _doubles(df, e).agg(
-                F.lit(name).alias("name"),
-                F.count("v").alias("n"),
-                F.percentile_approx("v", edges, accuracy).alias("edges"),
-            )
-            for name, e in exprs.items()
-        ]
+            f"SELECT {c} AS c, count(v) AS n, percentile_approx(v, {edges}, {accuracy}) AS edges FROM {_doubles(name)}"
+            for c, name in enumerate(columns)
+        ],
     ).collect()
     targets = []
     for row in rows:
@@ -81,31 +97,26 @@ def _first_brackets(df, exprs, probs, accuracy) -> list[_Target]:
             lo, hi = row.edges[2 * i], row.edges[2 * i + 1]
             targets.append(
                 _Target(
-                    row.name, p, math.floor(place), math.ceil(place),
-                    place - math.floor(place), lo, hi,
+                    columns[row.c], p, math.floor(place), math.ceil(place), place - math.floor(place), lo, hi,
                     1.0 if lo == hi else row.n * 4 * slack,
                 )
             )
     return targets
 
 
-def _narrow(df, exprs, targets: list[_Target], accuracy: int, limit: int) -> None:
+def _narrow(df: DataFrame, targets: list[_Target], accuracy: int, limit: int) -> None:
     """One pass that shrinks every bracket with too many distinct values."""
-    grid = [i / _GRID for i in range(_GRID + 1)]
+    grid = _array(i / _GRID for i in range(_GRID + 1))
     slack = 1 + math.ceil(_GRID * 2.0 / accuracy)
-    rows = union_all(
-        [
-            _doubles(df, exprs[t.column]).agg(
-                F.lit(i).alias("i"),
-                F.expr("count_if(false)" if t.lo is None else f"count_if(v < {number(t.lo)})").alias("below"),
-                F.expr(f"count_if({_inside(t)})").alias("m"),
-                F.expr(f"approx_count_distinct(v) FILTER (WHERE {_inside(t)})").alias("distinct"),
-                F.percentile_approx(F.expr(f"if({_inside(t)}, v, NULL)"), grid, accuracy).alias("grid"),
-            )
-            for i, t in enumerate(targets)
-        ]
-    ).collect()
-    for row in rows:
+    parts = []
+    for i, t in enumerate(targets):
+        below = "false" if t.lo is None else f"v < {number(t.lo)}"
+        here = f"if({_inside(t)}, v, NULL)"
+        parts.append(
+            f"SELECT {i} AS i, count_if({below}) AS below, count({here}) AS m, approx_count_distinct({here}) AS distinct, "
+            f"percentile_approx({here}, {grid}, {accuracy}) AS grid FROM {_doubles(t.column)}"
+        )
+    for row in select_over(df, parts).collect():
         t = targets[row.i]
         if row.distinct <= limit or row.m == 0:
             t.size = 0.0
@@ -138,7 +149,7 @@ def _segments(targets: list[_Target]) -> list[tuple[float | None, float | None]]
     return [(None if lo == low else lo, None if hi == high else hi) for lo, hi in merged]
 
 
-def _keyed(df: DataFrame, expr: Column, segments, c: int) -> DataFrame:
+def _keyed(column: str, segments, c: int) -> str:
     """Values inside a bracket keep their value, those between fold into null."""
     seg, key = "CASE", "CASE"
     for i, (lo, hi) in enumerate(segments):
@@ -146,13 +157,11 @@ def _keyed(df: DataFrame, expr: Column, segments, c: int) -> DataFrame:
         seg += f" WHEN {upto} THEN {i}"
         key += f" WHEN {upto} THEN " + ("v" if lo is None else f"if(v >= {number(lo)}, v, NULL)")
     last = segments[-1][1]
-    rows = _doubles(df, expr)
-    if last is not None:
-        rows = rows.where(f"v <= {number(last)}")
-    return rows.selectExpr(f"{c} AS c", f"{seg} END AS seg", f"{key} END AS key")
+    rows = _doubles(column, "true" if last is None else f"v <= {number(last)}")
+    return f"SELECT {c} AS c, {seg} END AS seg, {key} END AS key FROM {rows}"
 
 
-def _read_ranks(df, exprs, targets: list[_Target]) -> list[_Target]:
+def _read_ranks(df: DataFrame, targets: list[_Target]) -> list[_Target]:
     """Exact order statistics from the values in the brackets; returns misses.
 
     One scan per column.  Values outside the brackets fold into one null key per
@@ -162,11 +171,12 @@ def _read_ranks(df, exprs, targets: list[_Target]) -> list[_Target]:
     for i, t in enumerate(targets):
         by_column.setdefault(t.column, []).append(i)
     columns = list(by_column)
-    keyed = union_all(
+    keyed = select_over(
+        df,
         [
-            _keyed(df, exprs[name], _segments([targets[i] for i in by_column[name]]), c)
+            _keyed(name, _segments([targets[i] for i in by_column[name]]), c)
             for c, name in enumerate(columns)
-        ]
+        ],
     )
     running = (
         Window.partitionBy("c")
@@ -206,35 +216,35 @@ def _read_ranks(df, exprs, targets: list[_Target]) -> list[_Target]:
                 t.hi = None
                 missed.append(t)
             else:
-                t.value = a + (b - a) * t.weight
+                t.value = a if a == b else a + (b - a) * t.weight
     return missed
 
 
 def exact_quantiles(
     df: DataFrame,
-    exprs: dict[str, Column],
+    columns: list[str],
     probs: tuple[float, ...] = (0.25, 0.5, 0.75),
     accuracy: int = ACCURACY,
     bracket_values: int = BRACKET_VALUES,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, nulls and NaN left out.
 
-    Returns one list per name, null where a column has no value.  Only the
+    Returns one list per column, null where a column has no value.  Only the
     brackets and the answers, a few numbers per column, reach the driver.
     """
-    if not exprs:
+    if not columns:
         return {}
-    targets = _first_brackets(df, exprs, probs, accuracy)
+    targets = _first_brackets(df, columns, probs, accuracy)
     todo = targets
     while todo:
         wide = [t for t in todo if t.size > bracket_values]
         for _ in range(_ROUNDS):
             if not wide:
                 break
-            _narrow(df, exprs, wide, accuracy, bracket_values)
+            _narrow(df, wide, accuracy, bracket_values)
             wide = [t for t in wide if t.size > bracket_values]
-        todo = _read_ranks(df, exprs, todo)
+        todo = _read_ranks(df, todo)
         for t in todo:
             t.size = math.inf
     found = {(t.column, t.prob): t.value for t in targets}
-    return {name: [found.get((name, p)) for p in probs] for name in exprs}
+    return {name: [found.get((name, p)) for p in probs] for name in columns}
