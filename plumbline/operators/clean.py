@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import is_date_name
 from ..functions.schema import (
@@ -350,21 +350,27 @@ class Cleaner:
 
     def log(self) -> DataFrame:
         """One row per step with its shapes before and after."""
-        size = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
-        parts = []
+        frames = [self.original, *[after for _, _, after, _ in self.steps]]
+        steps = []
         for i, (action, before, after, details) in enumerate(self.steps):
-            rows = size(before).select(F.lit(i).alias("step"), F.col("n").alias("rows_before")).join(
-                F.broadcast(size(after).select(F.lit(i).alias("step"), F.col("n").alias("rows_after"))), "step"
-            )
             entries = [F.lit(x) for kv in details.items() for x in kv]
-            parts.append(
-                rows.select(
-                    "step", F.lit(action).alias("action"), "rows_before", "rows_after",
-                    F.lit(len(before.columns)).alias("cols_before"), F.lit(len(after.columns)).alias("cols_after"),
-                    F.create_map(*entries).cast("map<string,string>").alias("details"),
-                )
+            steps.append(
+                (F.lit(action), F.lit(len(before.columns)), F.lit(len(after.columns)),
+                 F.create_map(*entries).cast("map<string,string>"))
             )
-        return union_all(parts)
+        # Every frame is counted once; the last one only ends the last step.
+        names = ("action", "cols_before", "cols_after", "details")
+        steps.append((F.lit(None).cast("string"), F.lit(0), F.lit(0), F.create_map().cast("map<string,string>")))
+        sizes = union_all(
+            [
+                frame.agg(F.lit(i).alias("step"), F.count(F.lit(1)).alias("rows_before"), *[c.alias(n) for n, c in zip(names, row)])
+                for i, (frame, row) in enumerate(zip(frames, steps))
+            ]
+        )
+        after = F.lead("rows_before").over(Window.partitionBy(F.lit(0)).orderBy("step"))
+        return sizes.withColumn("rows_after", after).where("action IS NOT NULL").select(
+            "step", "action", "rows_before", "rows_after", "cols_before", "cols_after", "details"
+        )
 
     def summary(self) -> DataFrame:
         return cleaning_summary(self.original, self.df)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.schema import is_nested, is_numeric, is_text, numeric_names, quoted, sql_name, sql_text
 from ..functions.values import DIGEST_ABOVE_BYTES, NUMBER_PATTERN, row_keys
-from .quantiles import braces, exact_quantiles, number as literal, select_over
+from .quantiles import braces, exact_quantiles, number as literal, select_over, sketch_quantiles
 
 PROFILE_FIELDS = (
     "position", "column_name", "data_type", "row_count", "non_null", "null_count",
@@ -35,11 +35,7 @@ def iqr_bounds(
     """
     names = numeric_names(df) if columns is None else columns
     if approx:
-        row = df.agg(
-            *[F.percentile_approx(quoted(c).cast("double"), [0.25, 0.75], 10_000).alias(f"q{i}")
-              for i, c in enumerate(names)]
-        ).first() if names else ()
-        quartiles = {c: row[i] or [None, None] for i, c in enumerate(names)}
+        quartiles = sketch_quantiles(df, names, (0.25, 0.75))
     else:
         quartiles = exact_quantiles(df, names, (0.25, 0.75))
     bounds = {}

@@ -78,6 +78,23 @@ def _inside(t: _Target) -> str:
     return f"({low} AND {high})"
 
 
+def sketch_quantiles(
+    df: DataFrame, columns: list[str], probs: tuple[float, ...], accuracy: int = ACCURACY
+) -> dict[str, list[float | None]]:
+    """Approximate quantiles: one scan per column, rank error 1 / accuracy."""
+    if not columns:
+        return {}
+    rows = select_over(
+        df,
+        [
+            f"SELECT {c} AS c, percentile_approx(v, {_array(probs)}, {accuracy}) AS q FROM {_doubles(name)}"
+            for c, name in enumerate(columns)
+        ],
+    ).collect()
+    found = {columns[r.c]: r.q for r in rows}
+    return {c: list(found[c]) if found[c] else [None] * len(probs) for c in columns}
+
+
 def _first_brackets(df: DataFrame, columns: list[str], probs, accuracy: int) -> list[_Target]:
     slack = 4.0 / accuracy
     edges = _array(e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack)))

@@ -200,3 +200,17 @@ def test_weighted_quality_of_the_known_result(spark):
     df = spark.createDataFrame([(85.0, 90.0, 75.0, 80.0, 88.0)], list(detail.DETAIL_DIMENSIONS))
     assert df.select(F.round(detail.overall_quality())).first()[0] == 84.0
     assert detail.with_risk(df).first().risk_level == "Low"
+
+
+def test_approximate_scores_are_close(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("x"), F.lit("a").alias("s"))
+    exact, rough = (quality.table_metrics(df, "t", approx=a).first() for a in (False, True))
+    assert rough.quality_score == pytest.approx(exact.quality_score, rel=0.05)
+
+
+def test_pipeline_log_counts_every_step(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, None)], "k int, x double")
+    options = {"drop_nulls": {"method": "any"}, "drop_duplicates": {}}
+    log = clean.clean_pipeline(df, options).log().orderBy("step").collect()
+    assert [(r.action, r.rows_before, r.rows_after) for r in log] == [("drop_nulls", 3, 2), ("drop_duplicates", 2, 1)]
+    assert log[0].details == {"method": "any"}
