@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.schema import normalize
 from plumbline.operators import clean as c
 from plumbline.operators import recommend as rec
 
@@ -12,7 +11,6 @@ from .quality import NUMBER, rounded, scored_sql
 from .tables import COLUMNS, is_number, load, with_views
 
 NUMERIC = [n for n, t in COLUMNS["dirty_orders"] if is_number(t)]
-ORDERS = ", ".join(n for n, _ in COLUMNS["dirty_orders"])
 
 
 def on(table: str, operator, *args, digits: int = 6, **options):
@@ -302,8 +300,6 @@ def strict_sql() -> str:
     return STRICT_SQL + body
 
 
-_NULL_ROW = " + ".join(f"CASE WHEN {n} IS NULL THEN 1 ELSE 0 END" for n, _ in DENSE)
-
 CHECKS = {
     "column_info": (
         on("dirty_orders", rec.column_info),

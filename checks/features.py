@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import clean as c
 from plumbline.operators import features as f
-from plumbline.operators import series as s
 
 from .detail import detail_sql
-from .quality import rounded, scored_sql, tables_sql, union
-from .series import MEASURES, daily, orders
+from .quality import rounded, tables_sql, union
+from .series import daily, orders
 from .tables import COLUMNS, is_number, load, with_views
 
-REACH = 65
 POS = "p AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i FROM daily_orders)"
 
 

@@ -13,7 +13,7 @@ from plumbline.sources import catalog, files, store
 
 from . import detail as cd
 from . import series as cs
-from .quality import ROUNDED_DIMS, SCORED, columns, rounded, scored_sql, sources, tables_sql, union
+from .quality import columns, rounded, scored_sql, sources, tables_sql, union
 from .tables import COLUMNS, RELATIONAL, load, with_views
 
 

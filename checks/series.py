@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.schema import normalize
 from plumbline.operators import anomaly as a
 from plumbline.operators import rows as r
 from plumbline.operators import series as s

@@ -9,11 +9,11 @@ KEY_NAMES = ("index", "key", "pk", "primary_key")
 
 
 def looks_like_id(name: str, rule: str = "strict") -> bool:
-    """``reference``: the letters ``id`` anywhere; ``strict``: ``id`` as a word."""
+    """``letters``: the letters ``id`` anywhere; ``strict``: ``id`` as a word."""
     low = name.lower()
     if low in KEY_NAMES:
         return True
-    if rule == "reference":
+    if rule == "letters":
         return "id" in low
     words = re.split(r"[^a-z0-9]+", low)
     return "id" in words or low.endswith("key") or "_key_" in low

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import is_date_name
 from ..functions.schema import (
-    is_boolean, is_datetime, is_numeric, is_text, normalize, numeric_names, quoted,
+    is_datetime, is_numeric, is_text, normalize, numeric_names, quoted,
 )
 from ..functions.values import parse_number, parse_timestamp, row_keys
 from ..plans.materialize import materialize

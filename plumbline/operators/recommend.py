@@ -168,7 +168,7 @@ def boolean_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def id_columns(df: DataFrame, rule: str = "reference") -> DataFrame:
+def id_columns(df: DataFrame, rule: str = "letters") -> DataFrame:
     """Per column: does its name or its data look like an identifier?
 
     Data rule: all values differ and there are more than ten rows, or the values
@@ -191,7 +191,7 @@ def id_columns(df: DataFrame, rule: str = "reference") -> DataFrame:
     )
 
 
-def numeric_columns(df: DataFrame, rule: str = "reference") -> DataFrame:
+def numeric_columns(df: DataFrame, rule: str = "letters") -> DataFrame:
     """Names of measures: numeric, not a timestamp, boolean or identifier."""
     numeric = [c for c in numeric_names(df) if not rules.is_timestamp_name(c)]
     measures = df.select(*[quoted(c) for c in numeric])
@@ -200,7 +200,7 @@ def numeric_columns(df: DataFrame, rule: str = "reference") -> DataFrame:
     return ids.join(F.broadcast(flags), "column_name").where("NOT is_id AND NOT is_boolean").select("position", "column_name")
 
 
-def measure_names(df: DataFrame, rule: str = "reference") -> list[str]:
+def measure_names(df: DataFrame, rule: str = "letters") -> list[str]:
     return [r.column_name for r in numeric_columns(df, rule).orderBy("position").collect()]
 
 

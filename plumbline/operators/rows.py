@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.schema import is_floating, is_integral, is_numeric, quoted, type_class
-from ..functions.values import parse_number
+from ..functions.values import json_safe, parse_number
 from ..plans.quantiles import union_all
 
 SOURCE_TAG = "_source_table"
@@ -86,8 +86,6 @@ def last_points(df: DataFrame, order_by: list[str], n: int = 20) -> DataFrame:
 
 def sample_rows(df: DataFrame, order_by: list[str], n: int = 100) -> DataFrame:
     """First rows with numbers that JSON can hold; ``n`` between 1 and 1000."""
-    from ..functions.values import json_safe
-
     if not 1 <= n <= 1000:
         raise ValueError("n must be between 1 and 1000")
     return json_safe(first_rows(df, order_by, n))

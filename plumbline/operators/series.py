@@ -68,12 +68,12 @@ def series_columns(df: DataFrame, id_rule: str = "strict", drop_age: bool = Fals
     """Measures of a table: numeric, and not an identifier, flag or timestamp.
 
     ``strict`` goes by name alone, so that a measure whose values all differ is
-    kept; ``reference`` also drops those, and ``drop_age`` names with ``age``.
+    kept; ``letters`` also drops those, and ``drop_age`` names with ``age``.
     """
     from ..functions.names import is_timestamp_name, looks_like_id
 
-    if id_rule == "reference":
-        names = measure_names(df, "reference")
+    if id_rule == "letters":
+        names = measure_names(df, "letters")
     else:
         names = [c for c in numeric_names(df) if not is_timestamp_name(c) and not looks_like_id(c)]
     return [c for c in names if not (drop_age and is_age_name(c))]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.schema import is_nested, is_numeric, is_text, numeric_names, quoted, sql_name, sql_text
+from ..functions.schema import is_nested, is_numeric, is_text, numeric_names, sql_name, sql_text
 from ..functions.values import DIGEST_ABOVE_BYTES, NUMBER_PATTERN, row_keys
 from .quantiles import braces, exact_quantiles, number as literal, select_over, sketch_quantiles
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.schema import is_boolean, is_datetime, is_numeric, is_text, quoted, sql_name
+from ..functions.schema import is_boolean, is_datetime, is_integral, is_text, quoted, sql_name
 from ..functions.values import NA_TOKENS, NUMBER_PATTERN, blank_to_null, parse_number, parse_timestamp
-from ..plans.quantiles import union_all
 
 # Delimiters that are tried, in this order.
 DELIMITERS = (",", ";", "\t", "|", ":")
@@ -35,7 +34,7 @@ def _typed(c: Column, dt: T.DataType) -> Column:
         return F.coalesce(F.trim(c).try_cast(dt), parse_timestamp(c).cast(dt))
     if is_boolean(dt):
         return F.trim(c).try_cast("boolean")
-    return parse_number(c).try_cast(dt) if not isinstance(dt, T.LongType) else F.trim(c).try_cast(dt)
+    return F.trim(c).try_cast(dt) if is_integral(dt) else parse_number(c).try_cast(dt)
 
 
 def infer_types(text: DataFrame, dates: bool = False) -> T.StructType:

@@ -121,7 +121,7 @@ def test_boolean_and_id_columns(spark):
         "paid": True, "f": False, "w": False, "m": True, "n": True,
     }
     assert series.series_columns(df) == ["paid", "f", "m"]
-    assert series.series_columns(df, "reference") == []
+    assert series.series_columns(df, "letters") == []
 
 
 def test_detector_guard_rails(spark):
