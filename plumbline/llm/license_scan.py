@@ -48,16 +48,6 @@ TEMPLATES = (
 )
 
 
-def _lowered(column: Column) -> Column:
-    """A-Z lowered in an array of words; other letters stay. Only words that hold ASCII capitals are touched."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.transform(column, lambda w: F.translate(w, upper, lower))
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{BREAK}+"), lambda w: w != "")
-
-
 def _any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else re.escape(c) for c in word)
 
@@ -67,13 +57,20 @@ def _phrase(phrase: str) -> str:
     return f"(?<!{WORD})" + f"{BREAK}+".join(_any_case(w) for w in phrase.split()) + f"(?!{WORD})"
 
 
-def templates(spark: SparkSession, phrases=PHRASES, sentences=TEMPLATES) -> DataFrame:
-    """One row per template: template, label, whole (block is the whole text), words, need (words that must be held)."""
+def templates_of(phrases=PHRASES, sentences=TEMPLATES) -> list[tuple[str, str, bool, list[str], int]]:
+    """template, label, whole (block is the whole text), words, need (words that must be held)."""
     rows = [(f"p{i}", label, True, sorted(set(text.split())), len(set(text.split()))) for i, (text, label) in enumerate(phrases)]
     for i, (text, label, share) in enumerate(sentences):
         words = sorted(set(text.split()))
         rows.append((f"s{i}", label, False, words, -int(-len(words) * share // 1)))
-    return spark.createDataFrame(rows, "template string, label string, whole boolean, words array<string>, need int")
+    return rows
+
+
+def templates(spark: SparkSession, phrases=PHRASES, sentences=TEMPLATES) -> DataFrame:
+    """One row per template."""
+    return spark.createDataFrame(
+        templates_of(phrases, sentences), "template string, label string, whole boolean, words array<string>, need int"
+    )
 
 
 def _vocabulary(phrases, sentences) -> list[str]:
@@ -81,9 +78,9 @@ def _vocabulary(phrases, sentences) -> list[str]:
 
 
 def _known(text: Column, words: list[str]) -> Column:
-    """Distinct template words of a text. A pattern finds them, so other words are never built."""
-    pattern = f"(?<!{WORD})({'|'.join(_any_case(w) for w in sorted(words, key=lambda w: (-len(w), w)))})(?!{WORD})"
-    return F.array_distinct(_lowered(F.regexp_extract_all(text, F.lit(pattern), 1)))
+    """Distinct template words of a text. Lower-casing turns one more character, the Kelvin sign, into an ASCII letter."""
+    lowered = F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138")))
+    return F.array_intersect(F.split(lowered, f"{BREAK}+"), F.array(*[F.lit(w) for w in words]))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, sentences=TEMPLATES) -> DataFrame:
@@ -97,36 +94,47 @@ def scan(docs: DataFrame, phrases=PHRASES, sentences=TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = _vocabulary(phrases, sentences)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    least = min([len(set(t.split())) for t, *_ in phrases] + [-int(-len(set(t.split())) * s // 1) for t, _, s in sentences])
-
-    # Blocks with enough template words for the easiest template: whole texts, and lines of those texts.
-    texts = rows.withColumn("held", _known(F.col("text"), vocabulary)).where(F.size("held") >= least)
-    lines = texts.select("doc_id", "row", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("held", _known(F.col("line"), vocabulary)).where(F.size("held") >= least)
-    blocks = texts.select("doc_id", "row", F.lit(True).alias("whole"), "held").unionByName(
-        lines.select("doc_id", "row", F.lit(False).alias("whole"), "held").distinct()
-    )
-    blocks = materialize(blocks, "license-blocks")
+    # Rows are told apart by doc_id and text; a struct also compares null ids as equal.
+    rows = docs.select(F.struct("doc_id", F.xxhash64(text).alias("hash")).alias("row"), text.alias("text"))
+    rows = rows.withColumn("held", _known(F.col("text"), vocabulary))
 
     # Global order: rare words first. One row per template word.
-    counts = {r.word: r.n for r in blocks.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    rank = F.create_map(*[F.lit(x) for pair in ((w, i) for i, w in enumerate(order)) for x in pair])
+    words = rows.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = {r.word: r.n for r in words.collect()}
+    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+    rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     ranked = lambda words: F.array_sort(F.transform(words, lambda w: rank[w]))
+    rare = set()
+    for _, _, _, held, need in templates_of(phrases, sentences):
+        rare.update(sorted(held, key=order.get)[: len(held) - need + 1])
+
+    # A text that holds no template's prefix word cannot match; the others keep their text for the blocks.
+    may = F.arrays_overlap("held", F.array(*[F.lit(w) for w in sorted(rare)]))
+    counted = rows.select(
+        "row",
+        F.regexp_count("text", F.lit(f"{WORD}+")).cast("bigint").alias("n_words"),
+        F.when(may, F.col("text")).alias("text"),
+        F.when(may, F.col("held")).alias("held"),
+    )
+    counted = materialize(counted, "license-texts")
+    likely = counted.where("text is not null").select("row", "text", "held").distinct()
+    lines = likely.select("row", F.explode(F.split("text", "\n")).alias("line")).select("row", _known(F.col("line"), vocabulary).alias("held"))
+    blocks = likely.select("row", F.lit(True).alias("whole"), "held").unionByName(
+        lines.select("row", F.lit(False).alias("whole"), "held").distinct()
+    )
 
     known = templates(spark, phrases, sentences).withColumn("tokens", ranked(F.col("words"))).withColumn("n", F.size("tokens"))
     index = known.select("template", "label", "whole", "tokens", "n", "need", F.posexplode("tokens").alias("t_at", "token"))
     index = index.where(F.col("t_at") <= F.col("n") - F.col("need"))  # prefix of the template
 
-    blocks = blocks.select("doc_id", "row", "whole", ranked(F.col("held")).alias("held")).withColumn("size", F.size("held"))
-    probes = blocks.select("doc_id", "row", "whole", "held", "size", F.posexplode("held").alias("b_at", "token"))
+    blocks = blocks.select("row", "whole", ranked(F.col("held")).alias("held")).withColumn("size", F.size("held"))
+    probes = blocks.select("row", "whole", "held", "size", F.posexplode("held").alias("b_at", "token"))
     found = probes.join(F.broadcast(index), ["token", "whole"])  # the templates are a fixed list
     found = found.where(F.col("size") >= F.col("need"))  # length
     ahead = F.least(F.col("size") - F.col("b_at"), F.col("n") - F.col("t_at"))
     found = found.where(F.least("b_at", "t_at") + ahead >= F.col("need"))  # position
     found = found.withColumn("shared", F.size(F.array_intersect("held", "tokens"))).where("shared >= need")
-    matches = found.groupBy("doc_id", "row").agg(
+    matches = found.groupBy("row").agg(
         F.collect_set(F.when(~F.col("whole"), F.col("label"))).alias("sentence_labels"),
         F.max(F.when(~F.col("whole"), F.col("shared") / F.col("n"))).alias("sentence_score"),
         F.max("whole").alias("may_hold"),
@@ -134,8 +142,7 @@ def scan(docs: DataFrame, phrases=PHRASES, sentences=TEMPLATES) -> DataFrame:
     matches = materialize(matches, "license-matches")
 
     # Phrases: candidates of the join are confirmed word for word at their places.
-    likely = rows.join(matches.where("may_hold").select("doc_id", "row").withColumnsRenamed({"doc_id": "d"}),
-                       (F.col("d").eqNullSafe(F.col("doc_id"))) & (matches["row"] == rows["row"]), "left_semi")
+    likely = likely.join(matches.where("may_hold").select("row"), "row", "left_semi")
     patterns = [(_phrase(p), label) for p, label in phrases]
     place_counts = [F.regexp_count("text", F.lit(f"(?={p})")) for p, _ in patterns]
     starts = []
@@ -145,7 +152,6 @@ def scan(docs: DataFrame, phrases=PHRASES, sentences=TEMPLATES) -> DataFrame:
         starts.append([F.when(F.col("text").rlike(pattern), F.regexp_count(x, F.lit(f"{WORD}+"))) for x in (before_first, before_last)])
     labels_here = F.array_compact(F.array(*[F.when(c > 0, F.lit(label)) for c, (_, label) in zip(place_counts, patterns)]))
     placed = likely.select(
-        "doc_id",
         "row",
         sum(place_counts[1:], place_counts[0]).cast("bigint").alias("n_base"),
         F.least(*[a for a, _ in starts], F.lit(None).cast("int")).cast("bigint").alias("first_word"),
@@ -153,19 +159,13 @@ def scan(docs: DataFrame, phrases=PHRASES, sentences=TEMPLATES) -> DataFrame:
         labels_here.alias("phrase_labels"),
     ).where("n_base > 0").distinct()
 
-    counted = rows.select("doc_id", "row", F.regexp_count("text", F.lit(f"{WORD}+")).cast("bigint").alias("n_words"))
-    extra = placed.join(matches, [placed["row"] == matches["row"], placed["doc_id"].eqNullSafe(matches["doc_id"])], "full_outer").select(
-        F.coalesce(placed["row"], matches["row"]).alias("row"),
-        F.coalesce(placed["doc_id"], matches["doc_id"]).alias("d"),
-        "n_base", "first_word", "last_word", "phrase_labels", "sentence_labels", "sentence_score",
-    )
-    joined = counted.join(extra, (counted["row"] == extra["row"]) & counted["doc_id"].eqNullSafe(extra["d"]), "left")
+    joined = counted.select("row", "n_words").join(matches.join(placed, "row", "left"), "row", "left")
     none = F.array().cast("array<string>")
     base = F.array_sort(F.array_distinct(F.coalesce("phrase_labels", none)))
     every = F.array_sort(F.array_union(F.coalesce("phrase_labels", none), F.coalesce("sentence_labels", none)))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("sentence_score", F.lit(0.0)))
     return joined.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0).cast("bigint")).alias("n_base"),
         "first_word",
@@ -198,11 +198,11 @@ WITH base AS (
   SELECT doc_id, rid, text, regexp_extract_all(text, '{word}+') AS words FROM base
 ), phrases(phrase, label, k) AS (VALUES {phrases}), sentences(words, label, need) AS (VALUES {sentences}),
 places AS (
-  SELECT w.rid, p.label, i AS at
+  SELECT w.rid, p.label, i AS place
   FROM (SELECT * FROM worded WHERE regexp_matches(text, 'license|cc')) w, phrases p, range(0, len(w.words)) t(i)
   WHERE array_to_string(w.words[i + 1 : i + p.k], ' ') = p.phrase
 ), placed AS (
-  SELECT rid, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid
+  SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid
 ), lines AS (
   SELECT rid, list_distinct(regexp_extract_all(line, '{word}+')) AS words
   FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM base)

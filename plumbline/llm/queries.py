@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import compress_quality, exact_index, license_scan, mixing, odd_minhash, packing, token_store
+from plumbline.llm import compress_quality, exact_index, html_text, license_scan, mixing, odd_minhash, packing, token_store, vector_graph
 
 CHECKS = {
+    "op1_html": (html_text.op1_html, None),
     "op2_licenses": (license_scan.op2_licenses, license_scan.SQL),
+    "op3_vectors": (vector_graph.op3_vectors, vector_graph.SQL),
     "op4_quality": (compress_quality.op4_quality, None),
     "op5_mix": (mixing.op5_mix, mixing.SQL),
     "op6_exact": (exact_index.op6_exact, exact_index.SQL),
