@@ -31,34 +31,44 @@ from plumbline.plans.materialize import materialize
 BANDS, ROWS = 40, 6
 SKETCH_BITS = 512
 SHINGLE, THRESHOLD = 2, 0.8
-#: Estimated similarity below which a pair is not confirmed: more than six standard errors under the threshold.
+#: Estimated similarity below which a pair is not confirmed: six standard errors under the threshold or more.
 SKETCH_FLOOR = 0.6
 _BLOCK = 512
 
-_RNG = np.random.default_rng(20_240_801)
-_FACTORS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_SKETCHED = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def minhashes(unique: np.ndarray) -> np.ndarray:
-    """The smallest value of each hash function over a set of shingles."""
-    best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(unique), _BLOCK):
-        np.minimum(best, (unique[i : i + _BLOCK, None] * _FACTORS + _ADDED).min(axis=0), out=best)
-    return best
+class Hashes:
+    """``bands`` times ``rows`` hash functions with a fixed start, their band keys and their odd sketch."""
 
+    def __init__(self, bands: int = BANDS, rows: int = ROWS):
+        rng = np.random.default_rng(20_240_801)
+        self.bands, self.rows, n = bands, rows, bands * rows
+        one, two = np.uint64(1), np.uint64(2)
+        self.factors = rng.integers(1, 2**63, n, dtype=np.uint64) * two + one
+        self.added = rng.integers(0, 2**63, n, dtype=np.uint64)
+        self.places = rng.integers(1, 2**63, n, dtype=np.uint64)
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of (function, sample) pairs as 64-bit numbers."""
-    places = mixed(samples ^ _SKETCHED) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
-    return np.packbits(np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1).view("<i8")
+    def samples(self, unique: np.ndarray) -> np.ndarray:
+        """The smallest value of each function over a set of shingles."""
+        best = np.full(len(self.factors), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for i in range(0, len(unique), _BLOCK):
+            np.minimum(best, (unique[i : i + _BLOCK, None] * self.factors + self.added).min(axis=0), out=best)
+        return best
 
+    def keys(self, samples: np.ndarray) -> np.ndarray:
+        """One number for each band."""
+        rows = samples.reshape(self.bands, self.rows) * self.factors[: self.rows]
+        return mixed(rows.sum(axis=1) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
-def most_odd_bits(floor: float = SKETCH_FLOOR) -> int:
-    """Population count of the XOR of two sketches at the estimated similarity ``floor``."""
-    differ = 2 * BANDS * ROWS * (1 - floor)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS)))
+    def sketch(self, samples: np.ndarray) -> np.ndarray:
+        """Parity bitmap of (function, sample) pairs as 64-bit numbers."""
+        bits = mixed(samples ^ self.places) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+        return np.packbits(np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).view("<i8")
+
+    def most_odd_bits(self, floor: float) -> int:
+        """Population count of the XOR of two sketches at the estimated similarity ``floor``."""
+        differ = 2 * len(self.factors) * (1 - floor)
+        return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS)))
 
 
 def text_set(text: str | None, size: int) -> np.ndarray:
@@ -66,7 +76,7 @@ def text_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingles(hash_words(split_words(text)), size))
 
 
-def _signer(size: int):
+def _signer(size: int, hashes: Hashes):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, classes, bands, sketches = [], [], [], []
@@ -76,11 +86,10 @@ def _signer(size: int):
                 if not len(own):
                     classes.append(None), bands.append(None), sketches.append(None)
                     continue
-                samples = minhashes(own)
-                keys = mixed((samples.reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+                samples = hashes.samples(own)
                 classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                bands.append(keys.view(np.int64))
-                sketches.append(odd_sketch(samples))
+                bands.append(hashes.keys(samples))
+                sketches.append(hashes.sketch(samples))
             numbers = pa.list_(pa.int64())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, numbers), pa.array(sketches, numbers)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "bands", "sketch"])
@@ -118,26 +127,34 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -
     return shared.where(100 * F.col("shared") >= round(100 * threshold) * F.col("union")).select("u", "v").distinct()
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float, most: int) -> DataFrame:
     """Distinct pairs (u, v) whose lengths and odd sketches allow the threshold."""
     for name in ("u", "v"):
         own = classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_s"))
         pairs = pairs.join(own, name)
     bits = sum((F.bit_count(F.get(F.col("u_s"), k).bitwiseXOR(F.get(F.col("v_s"), k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
     lengths = 100 * F.least("u_n", "v_n") >= round(100 * threshold) * F.greatest("u_n", "v_n")
-    return pairs.where(lengths & (bits <= most_odd_bits())).select("u", "v")
+    return pairs.where(lengths & (bits <= most)).select("u", "v")
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def near_groups(
+    docs: DataFrame,
+    size: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    hashes: Hashes | None = None,
+    floor: float = SKETCH_FLOOR,
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``docs`` needs doc_id and text; other columns are not read. A text without words is linked with nothing. Equal sets
     are always linked. Rows with a null doc_id are not linked; their component is null. Rows that repeat a doc_id are
     one node and share its component. An empty table gives no rows.
     """
+    hashes = hashes or Hashes()
+    most = hashes.most_odd_bits(floor)
     source = docs.select("doc_id", "text")
     key = source.schema["doc_id"].dataType.simpleString()
-    signed = source.mapInArrow(_signer(size), f"doc_id {key}, n_shingles bigint, class binary, bands array<bigint>, sketch array<bigint>")
+    signed = source.mapInArrow(_signer(size, hashes), f"doc_id {key}, n_shingles bigint, class binary, bands array<bigint>, sketch array<bigint>")
     signed = materialize(signed, "signed")
     named = signed.where("class is not null and doc_id is not null")
     classes = named.groupBy("class").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("best"))
@@ -150,7 +167,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHO
     facts = classes.select("rep", "n_shingles", "sketch")
 
     stars = members.where("rep != pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
-    stars = materialize(_sketched(stars, facts, threshold), "pairs")
+    stars = materialize(_sketched(stars, facts, threshold, most), "pairs")
     links = materialize(_confirmed(stars, source, size, threshold), "confirmed")
 
     # Second pass: what a bucket's first members leave apart.
@@ -165,7 +182,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHO
     pairs = outside.join(others, "band").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
     pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     pairs = pairs.join(stars, ["u", "v"], "left_anti")
-    late = materialize(_sketched(pairs, facts, threshold), "late-pairs")
+    late = materialize(_sketched(pairs, facts, threshold, most), "late-pairs")
     if not late.isEmpty():
         links = links.unionByName(_confirmed(late, source, size, threshold))
         group = components(links)

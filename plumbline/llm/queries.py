@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import compress_quality, exact_index, html_text, license_scan, mixing, odd_minhash, packing, token_store, vector_graph
+from plumbline.llm import compress_quality, exact_index, html_text, license_scan, mixing, odd_minhash, packing, passages, token_store, vector_graph
 
 CHECKS = {
     "op1_html": (html_text.op1_html, None),
@@ -15,5 +15,6 @@ CHECKS = {
     "op6_exact": (exact_index.op6_exact, exact_index.SQL),
     "op7_token_store": (token_store.op7_token_store, None),
     "op8_near": (odd_minhash.op8_near, None),
+    "op9_passages": (passages.op9_passages, None),
     "op10_pack": (packing.op10_pack, None),
 }

@@ -25,8 +25,9 @@ THRESHOLD = 0.9
 SHARD, SAMPLE, MOST_CENTROIDS = 2_500, 20_000, 2_048
 #: Members of a shard that one task takes; larger shards are compared in blocks of half of it.
 LARGEST_SHARD = 12_000
-#: Candidates before pruning, edges after it, slack of the pruning rule, random edges beside them.
-CANDIDATES, DEGREE, ALPHA, FAR = 64, 24, 1.2, 4
+#: Candidates before pruning, edges after it, edges back beside them, slack of the pruning rule (on 1 - cosine, the
+#: square of 1.41 on distances), and random edges.
+CANDIDATES, DEGREE, BACK, ALPHA, FAR = 64, 24, 12, 2.0, 4
 #: Shards a vector enters, nodes the walk keeps, and how far below the threshold the expansion goes on.
 OVERLAP, BEAM, SLACK = 2, 48, 0.08
 #: Queries of the audit and the recall below which the search is widened.
@@ -95,10 +96,10 @@ def _sorted_members(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def build_graph(x: np.ndarray) -> np.ndarray:
-    """Neighbours of each row of unit vectors (places, -1 where there are fewer): robustly pruned, plus a few random ones."""
+    """Neighbours of each row of unit vectors (places, -1 where there are fewer): robustly pruned, with edges back and a few random ones."""
     n = len(x)
     width = min(CANDIDATES, n - 1)
-    edges = np.full((n, DEGREE + FAR), -1, dtype=np.int32)
+    edges = np.full((n, DEGREE + BACK + FAR), -1, dtype=np.int32)
     if width <= 0:
         return edges
     for start in range(0, n, 512):
@@ -120,8 +121,14 @@ def build_graph(x: np.ndarray) -> np.ndarray:
             edges[rows[left], k] = near[at, best][left]
             alive &= ~(ALPHA * (1 - between[at, best]) <= 1 - own)
             alive[at, best] = False
+    source, column = np.nonzero(edges[:, :DEGREE] >= 0)
+    target = edges[source, column]
+    order = np.lexsort((column, target))  # the closest pruned edges come back first
+    source, target = source[order], target[order]
+    rank = np.arange(len(target)) - np.searchsorted(target, target)
+    edges[target[rank < BACK], DEGREE + rank[rank < BACK]] = source[rank < BACK]
     random = np.random.default_rng(n).integers(0, n, (n, FAR))
-    edges[:, DEGREE:] = np.where(random == np.arange(n)[:, None], -1, random)
+    edges[:, DEGREE + BACK :] = np.where(random == np.arange(n)[:, None], -1, random)
     return edges
 
 
