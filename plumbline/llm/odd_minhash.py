@@ -3,7 +3,7 @@
 A text is the set of its word shingles. Texts with equal sets are one class and only classes are compared. Band values
 of MinHash samples gather classes in buckets. Two passes compare bucket members without comparing all pairs:
 
-1. each member with the smallest member of its bucket;
+1. each member with the member of its bucket that meets most others over all buckets;
 2. in buckets whose members do not yet belong to one component, each member outside the bucket's largest component with
    the members of other components.
 
@@ -127,14 +127,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -
     return shared.where(100 * F.col("shared") >= round(100 * threshold) * F.col("union")).select("u", "v").distinct()
 
 
+def _alike(u: str, v: str, threshold: float, most: int):
+    """Whether lengths and odd sketches of two classes allow the threshold."""
+    bits = [F.bit_count(F.get(f"{u}_sketch", F.lit(k)).bitwiseXOR(F.get(f"{v}_sketch", F.lit(k)))) for k in range(SKETCH_BITS // 64)]
+    sizes = F.col(f"{u}_n_shingles"), F.col(f"{v}_n_shingles")
+    return (100 * F.least(*sizes) >= round(100 * threshold) * F.greatest(*sizes)) & (sum(bits[1:], bits[0]) <= most)
+
+
 def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Distinct pairs (u, v) whose lengths and odd sketches allow the threshold."""
+    """Pairs (u, v) whose lengths and odd sketches allow the threshold."""
     for name in ("u", "v"):
-        own = classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_s"))
-        pairs = pairs.join(own, name)
-    bits = sum((F.bit_count(F.get(F.col("u_s"), k).bitwiseXOR(F.get(F.col("v_s"), k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    lengths = 100 * F.least("u_n", "v_n") >= round(100 * threshold) * F.greatest("u_n", "v_n")
-    return pairs.where(lengths & (bits <= most)).select("u", "v")
+        own = [F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", "sketch")]
+        pairs = pairs.join(classes.select(F.col("rep").alias(name), *own), name)
+    return pairs.where(_alike("u", "v", threshold, most)).select("u", "v")
 
 
 def near_groups(
@@ -162,11 +167,16 @@ def near_groups(
         classes.select("class", F.col("best.doc_id").alias("rep"), "best.n_shingles", "best.sketch", "best.bands"), "classes"
     )
     members = classes.select("rep", F.explode("bands").alias("band"))
-    first = members.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(members.join(first, "band"), "members")
+    crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(members.join(crowded, "band"), "members")
+    # The original of many copies meets more of them than any copy does, so it is the best centre of a star.
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    centres = members.join(met, "rep").groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), "rep")).alias("best"))
+    centres = centres.select("band", F.col("best.rep").alias("pivot"))
+    members = materialize(members.select("band", "rep").join(centres, "band"), "stars")
     facts = classes.select("rep", "n_shingles", "sketch")
 
-    stars = members.where("rep != pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+    stars = members.where("rep != pivot").select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v")).distinct()
     stars = materialize(_sketched(stars, facts, threshold, most), "pairs")
     links = materialize(_confirmed(stars, source, size, threshold), "confirmed")
 
@@ -176,13 +186,17 @@ def near_groups(
     placed = placed.select("band", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-    apart = materialize(placed.join(main.where("parts > 1"), "band"), "apart")
-    outside = apart.where("component != main").select("band", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    others = apart.select("band", F.col("rep").alias("y"), F.col("component").alias("cy"), "main")
-    pairs = outside.join(others, "band").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
-    pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-    pairs = pairs.join(stars, ["u", "v"], "left_anti")
-    late = materialize(_sketched(pairs, facts, threshold, most), "late-pairs")
+    apart = placed.join(main.where("parts > 1").drop("parts"), "band")
+    apart = materialize(apart.join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep"), "apart")
+    outside, others = (
+        apart.select("band", *[F.col(c).alias(f"{n}_{c}") for c in ("rep", "component", "n_shingles", "sketch", "bands")], *more)
+        for n, more in (("x", [F.col("component").alias("own")]), ("y", ["main"]))
+    )
+    once = F.get(F.array_intersect("x_bands", "y_bands"), 0) == F.col("band")  # a pair meets in its first common bucket only
+    new = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
+    pairs = outside.join(others, "band").where((F.col("own") != F.col("main")) & new & _alike("x", "y", threshold, most) & once)
+    pairs = pairs.select(F.least("x_rep", "y_rep").alias("u"), F.greatest("x_rep", "y_rep").alias("v")).distinct()
+    late = materialize(pairs.join(stars, ["u", "v"], "left_anti"), "late-pairs")
     if not late.isEmpty():
         links = links.unionByName(_confirmed(late, source, size, threshold))
         group = components(links)

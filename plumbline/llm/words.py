@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Hashed words that a worker keeps; beyond it the dictionary is emptied, which changes speed only.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
