@@ -3,7 +3,7 @@
 A text is the set of its word shingles. Texts with equal sets are one class and only classes are compared. Band values
 of MinHash samples gather classes in buckets. Two passes compare bucket members without comparing all pairs:
 
-1. each member with the member of its bucket that meets most others over all buckets;
+1. each member with the one of all its bucket mates that meets most others;
 2. in buckets whose members do not yet belong to one component, each member outside the bucket's largest component with
    the members of other components.
 
@@ -172,11 +172,12 @@ def near_groups(
     # The original of many copies meets more of them than any copy does, so it is the best centre of a star.
     met = members.groupBy("rep").agg(F.sum("n").alias("met"))
     centres = members.join(met, "rep").groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), "rep")).alias("best"))
-    centres = centres.select("band", F.col("best.rep").alias("pivot"))
     members = materialize(members.select("band", "rep").join(centres, "band"), "stars")
     facts = classes.select("rep", "n_shingles", "sketch")
 
-    stars = members.where("rep != pivot").select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v")).distinct()
+    # One pair a member, with the best centre of its buckets; the second pass does not rely on the choice.
+    stars = members.groupBy("rep").agg(F.min("best").alias("best")).select("rep", F.col("best.rep").alias("pivot")).where("rep != pivot")
+    stars = stars.select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v")).distinct()
     stars = materialize(_sketched(stars, facts, threshold, most), "pairs")
     links = materialize(_confirmed(stars, source, size, threshold), "confirmed")
 
