@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -153,7 +155,7 @@ def component_count(columns: int, rows: int, max_components: int = MAX_COMPONENT
 def fit_components(
     df: DataFrame, columns: list[str], limits: dict[str, tuple[float, float]], max_components: int = MAX_COMPONENTS
 ) -> Components:
-    """Components of scaled columns from one aggregation over all rows."""
+    """Components of scaled columns from one aggregation over all rows in which every column has a value."""
     p = len(columns)
     z = {c: scaled(c, limits) for c in columns}
     if p > PAIR_COLUMNS:
@@ -161,7 +163,8 @@ def fit_components(
         mean = total / n
         return _components(cross / n - np.outer(mean, mean), component_count(p, int(n), max_components))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(
+    complete = df.where(reduce(and_, [z[c].isNotNull() & ~F.isnan(z[c]) for c in columns], F.lit(True)))
+    row = complete.agg(
         F.count(F.lit(1)), *[F.covar_pop(z[columns[i]], z[columns[j]]) for i, j in pairs]
     ).first()
     covariance = np.zeros((p, p))
@@ -255,13 +258,14 @@ def unit_root_test(rows: OrderedRows, column: str, n: int, lags: int | None = No
     best = int(np.argmin(scores))
     if best < top:
         head = rows.df.where(F.col(POSITION) <= top).select(POSITION, value(column).alias("y")).collect()
-        y = np.array([r.y for r in sorted(head, key=lambda r: r[0])]) - center
+        y = np.array([np.nan if r.y is None else r.y for r in sorted(head, key=lambda r: r[0])]) - center
         cross = cross.copy()
         for t in range(best + 1, top + 1):
             if t < len(y):
                 step = lambda k: y[t - k] - y[t - k - 1] if t - k - 1 >= 0 else 0.0
                 x = np.array([1.0, y[t - 1], *[step(k) for k in range(1, top + 1)], step(0)])
-                cross += np.outer(x, x)
+                if not np.isnan(x).any():
+                    cross += np.outer(x, x)
     _, tau, used = _regress(cross, best)
     return UnitRoot(tau, best, used)
 

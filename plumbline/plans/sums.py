@@ -21,13 +21,21 @@ def _total(partial: DataFrame, size: int) -> np.ndarray:
     cells = partial.select(F.posexplode("cells").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
     out = np.zeros(size)
     for row in cells.collect():
+        if row.x is None or np.isnan(row.x):
+            raise ArithmeticError("a sum of products is not a number")
         out[row.i] = row.x
     return out
 
 
 def vector_products(df: DataFrame, column: str, shift: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-    """Count, sums and cross products of an array column, less ``shift``."""
-    width = df.select(F.max(F.size(column))).first()[0] or 0
+    """Count, sums and cross products of an array column, less ``shift``, over complete vectors.
+
+    Vectors that are null or hold a null or NaN are left out; the count says how many entered. Lengths must be equal.
+    """
+    sizes = df.where(F.col(column).isNotNull()).agg(F.min(F.size(column)), F.max(F.size(column))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"vectors of {column} have lengths from {sizes[0]} to {sizes[1]}")
+    width = sizes[1] or 0
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, total, cross = 0.0, np.zeros(width), np.zeros((width, width))
@@ -40,7 +48,8 @@ def vector_products(df: DataFrame, column: str, shift: np.ndarray | None = None)
                 cross += x.T @ x
         yield pd.DataFrame({"cells": [np.concatenate([[count], total, cross.ravel()])]})
 
-    vectors = df.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v"))
+    vectors = df.select(F.col(column).cast("array<double>").alias("v"))
+    vectors = vectors.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     cells = _total(vectors.mapInPandas(reduce, _CELLS), 1 + width + width * width)
     return cells[0], cells[1 : 1 + width], cells[1 + width :].reshape(width, width)
 
@@ -49,7 +58,8 @@ def lag_products(rows: OrderedRows, column: str, lags: int, center: float) -> np
     """Cross products of ``[1, y(t-1), dy(t-1) .. dy(t-lags), dy(t)]``.
 
     One task per bucket of bounded size; each bucket also gets the few rows
-    before it, so that every step of the series is counted exactly once.
+    before it, so that every step of the series is counted exactly once. Steps
+    that touch a null value are left out; the first cell counts those that enter.
     """
     size = lags + 3
     need = lags + 1
@@ -75,6 +85,7 @@ def lag_products(rows: OrderedRows, column: str, lags: int, center: float) -> np
             if len(some):
                 step = lambda k: y[some - k] - y[some - k - 1]
                 x = np.column_stack([np.ones(len(some)), y[some - 1], *[step(k) for k in range(1, lags + 1)], step(0)])
+                x = x[~np.isnan(x).any(axis=1)]
                 cross += x.T @ x
         return pd.DataFrame({"cells": [cross.ravel()]})
 
