@@ -1,11 +1,14 @@
 """Near duplicates by MinHash bands, with odd sketches as the filter before exact confirmation.
 
 A text is the set of its word shingles. Texts with equal sets are one class and only classes are compared. Band values
-of MinHash samples gather classes in buckets. Two passes compare bucket members without comparing all pairs:
+of MinHash samples gather classes in buckets. Three passes compare bucket members without comparing all pairs:
 
-1. each member with the one of all its bucket mates that meets most others;
-2. in buckets whose members do not yet belong to one component, each member outside the bucket's largest component with
-   the members of other components.
+1. each member with its pivot, the one of all its bucket mates that meets most others;
+2. members of one pivot that are not linked with it (outsiders) with the pivot's other members. Two sets differ where
+   exactly one of them differs from the pivot, so such a pair must share a known number of differences from it. A prefix
+   join over the differences, new shingles before missing ones, finds all such pairs;
+3. in buckets whose members do not yet belong to one component, each member outside the bucket's largest component with
+   the members of other components, unless the passes before compared the two.
 
 After them no two members of a bucket are in different components without having been compared, so no component is
 split. A comparison first folds both texts' samples into parity bitmaps (odd sketches): the population count of their
@@ -107,24 +110,33 @@ def _setter(size: int):
 
 
 def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared and united items of two sets, and the items of one alone: those of u, sorted, then those of v, sorted."""
     for batch in batches:
         sets = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3))]
-        shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets]
-        union = [len(x) + len(y) - n for (x, y), n in zip(sets, shared)]
-        columns = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "shared", "union"])
+        alone = [[np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)] for x, y in sets]
+        shared = [len(x) - len(new) for (x, _), (new, _) in zip(sets, alone)]
+        union = [len(y) + len(new) for (_, y), (new, _) in zip(sets, alone)]
+        differences = pa.array([np.concatenate([np.sort(side) for side in both]) for both in alone], pa.list_(pa.int64()))
+        columns = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64()), differences]
+        yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "shared", "union", "differences"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Of pairs (u, v) of representatives, those whose full sets have the similarity; u, v."""
+def _compared(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Full sets of pairs (u, v) of representatives held against each other: u, v, linked, differences."""
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi")
     key = docs.schema["doc_id"].dataType.simpleString()
     sets = materialize(texts.mapInArrow(_setter(size), f"rep {key}, items array<bigint>"), "sets")
     left, right = (sets.select(F.col("rep").alias(n), F.col("items").alias(f"{n}_items")) for n in ("u", "v"))
     held = pairs.join(left, "u").join(right, "v").select("u", "v", "u_items", "v_items")
-    shared = held.mapInArrow(_sharing, f"u {key}, v {key}, shared bigint, union bigint")
-    return shared.where(100 * F.col("shared") >= round(100 * threshold) * F.col("union")).select("u", "v").distinct()
+    shared = held.mapInArrow(_sharing, f"u {key}, v {key}, shared bigint, union bigint, differences array<bigint>")
+    linked = 100 * F.col("shared") >= round(100 * threshold) * F.col("union")
+    return shared.select("u", "v", linked.alias("linked"), "differences")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Of pairs (u, v) of representatives, those whose full sets have the similarity; u, v."""
+    return _compared(pairs, docs, size, threshold).where("linked").select("u", "v").distinct()
 
 
 def _alike(u: str, v: str, threshold: float, most: int):
@@ -142,6 +154,41 @@ def _sketched(pairs: DataFrame, classes: DataFrame, threshold: float, most: int)
     return pairs.where(_alike("u", "v", threshold, most)).select("u", "v")
 
 
+def _around_pivots(compared: DataFrame, group: DataFrame, facts: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Pairs (u, v) in different components with one pivot, of which one at least is an outsider.
+
+    Sets of n and m items that differ from the pivot's c items in a and b places differ from each other in a + b less
+    twice the differences they share. Similarity p percent allows r (n + m) places with r = (100 - p) / (100 + p), so
+    they share at least (a + b - r (n + m)) / 2. An outsider has b > r (m + c), which leaves more than
+    (a + r (c - n)) / 2 for its partner; and as no more than b can be shared, at least a - r (n + m) for the outsider.
+    """
+    p = round(100 * threshold)
+    ratio = F.lit((100 - p) / (100 + p))
+    away = compared.where("not linked").select("v").distinct()
+    known = compared.join(away, "v").join(facts.withColumnRenamed("rep", "u"), "u")
+    known = known.join(facts.select(F.col("rep").alias("v"), F.col("n_shingles").alias("c")), "v")
+    known = known.join(group.withColumnRenamed("node", "u"), "u", "left").withColumn("component", F.coalesce("component", "u"))
+    known = known.withColumn("a", F.size("differences").cast("bigint"))
+    longest = known.groupBy("v").agg(F.max("n_shingles").alias("longest"))
+    known = materialize(known.join(longest, "v"), "around-pivots")
+
+    def prefixes(name: str, rows: DataFrame, least) -> DataFrame:
+        length = F.col("a") - F.greatest(F.lit(1), F.ceil(least - 1e-6)) + 1
+        kept = [F.col(c).alias(f"{name}_{c}") for c in ("u", "a", "linked", "component", "n_shingles", "sketch")]
+        item = F.posexplode(F.slice("differences", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias(f"{name}_at", "item")
+        return rows.select("v", *kept, item)
+
+    n, c, a = F.col("n_shingles"), F.col("c"), F.col("a")
+    outsiders = prefixes("x", known.where("not linked"), a - ratio * (n + F.col("longest")))
+    others = prefixes("y", known, (a + ratio * (c - n)) / 2)
+    need = (F.col("x_a") + F.col("y_a") - ratio * (F.col("x_n_shingles") + F.col("y_n_shingles"))) / 2 - 1e-6
+    left = F.least(F.col("x_a") - F.col("x_at"), F.col("y_a") - F.col("y_at"))  # shared from the first shared item on
+    once = F.col("y_linked") | (F.col("x_u") < F.col("y_u"))
+    new = (F.col("x_component") != F.col("y_component")) & once & (left >= need)
+    met = outsiders.join(others, ["v", "item"]).where(new & _alike("x", "y", threshold, most))
+    return met.select(F.least("x_u", "y_u").alias("u"), F.greatest("x_u", "y_u").alias("v")).distinct()
+
+
 def near_groups(
     docs: DataFrame,
     size: int = SHINGLE,
@@ -166,7 +213,8 @@ def near_groups(
     classes = materialize(
         classes.select("class", F.col("best.doc_id").alias("rep"), "best.n_shingles", "best.sketch", "best.bands"), "classes"
     )
-    members = classes.select("rep", F.explode("bands").alias("band"))
+    # One exchange serves the count and the join.
+    members = classes.select("rep", F.explode("bands").alias("band")).repartition("band")
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(crowded, "band"), "members")
     # The original of many copies meets more of them than any copy does, so it is the best centre of a star.
@@ -175,29 +223,42 @@ def near_groups(
     members = materialize(members.select("band", "rep").join(centres, "band"), "stars")
     facts = classes.select("rep", "n_shingles", "sketch")
 
-    # One pair a member, with the best centre of its buckets; the second pass does not rely on the choice.
-    stars = members.groupBy("rep").agg(F.min("best").alias("best")).select("rep", F.col("best.rep").alias("pivot")).where("rep != pivot")
-    stars = stars.select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v")).distinct()
-    stars = materialize(_sketched(stars, facts, threshold, most), "pairs")
-    links = materialize(_confirmed(stars, source, size, threshold), "confirmed")
-
-    # Second pass: what a bucket's first members leave apart.
+    # First pass: one pair a member, with the best centre of its buckets; later passes do not rely on the choice.
+    stars = members.groupBy("rep").agg(F.min("best").alias("best")).select(F.col("rep").alias("u"), F.col("best.rep").alias("v"))
+    stars = materialize(_sketched(stars.where("u != v"), facts, threshold, most), "pairs")
+    compared = materialize(_compared(stars, source, size, threshold), "compared")
+    links = compared.where("linked").select("u", "v").distinct()
+    # A doc_id with several texts has several sets, so its differences from a pivot mean nothing: the third pass takes it.
+    text_class = F.coalesce("class", F.lit(b""))
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(text_class).alias("one"), F.max(text_class).alias("other"))
+    several = materialize(several.where("one != other").select("doc_id"), "several-texts")
+    plain = stars.join(several.withColumnRenamed("doc_id", "u"), "u", "left_anti").join(several.withColumnRenamed("doc_id", "v"), "v", "left_anti")
+    plain = materialize(plain.select("u", "v"), "plain-pairs")
+
+    # Second pass: outsiders and the other members of their pivot.
     group = components(links)
-    placed = members.join(group.withColumnRenamed("node", "rep"), "rep", "left")
+    around = materialize(_around_pivots(compared.join(plain, ["u", "v"]).dropDuplicates(["u", "v"]), group, facts, threshold, most), "pivot-pairs")
+    if not around.isEmpty():
+        links = materialize(links.unionByName(_confirmed(around, source, size, threshold)), "confirmed")
+        group = components(links)
+
+    # Third pass: what a bucket's members still leave apart.
+    placed = members.select("band", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("band", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-    apart = placed.join(main.where("parts > 1").drop("parts"), "band")
-    apart = materialize(apart.join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep"), "apart")
+    apart = placed.join(main.where("parts > 1").drop("parts"), "band").join(facts, "rep")
+    apart = materialize(apart.join(plain.select(F.col("u").alias("rep"), F.col("v").alias("pivot")), "rep", "left"), "apart")
     outside, others = (
-        apart.select("band", *[F.col(c).alias(f"{n}_{c}") for c in ("rep", "component", "n_shingles", "sketch", "bands")], *more)
-        for n, more in (("x", [F.col("component").alias("own")]), ("y", ["main"]))
+        apart.select("band", *[F.col(c).alias(f"{n}_{c}") for c in ("rep", "component", "n_shingles", "sketch", "pivot")], *more)
+        for n, more in (("x", ["main"]), ("y", []))
     )
-    once = F.get(F.array_intersect("x_bands", "y_bands"), 0) == F.col("band")  # a pair meets in its first common bucket only
     new = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
-    pairs = outside.join(others, "band").where((F.col("own") != F.col("main")) & new & _alike("x", "y", threshold, most) & once)
+    before = [F.coalesce(F.col(one) == F.col(other), F.lit(False)) for one, other in (("x_pivot", "y_pivot"), ("x_pivot", "y_rep"), ("x_rep", "y_pivot"))]
+    new &= ~(before[0] | before[1] | before[2])
+    pairs = outside.where("x_component != main").join(others, "band").where(new & _alike("x", "y", threshold, most))
     pairs = pairs.select(F.least("x_rep", "y_rep").alias("u"), F.greatest("x_rep", "y_rep").alias("v")).distinct()
-    late = materialize(pairs.join(stars, ["u", "v"], "left_anti"), "late-pairs")
+    late = materialize(pairs, "late-pairs")
     if not late.isEmpty():
         links = links.unionByName(_confirmed(late, source, size, threshold))
         group = components(links)

@@ -94,6 +94,33 @@ def test_near_groups_and_passages(docs):
     assert spans[8] == (30, 70) and spans[9] == (20, 70) and 11 not in spans
 
 
+def test_one_large_group_of_near_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    edits = [(int(rng.integers(0, 120)), f"common{k}") for k in range(12)]  # edits that several copies share
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for place in rng.choice(120, int(rng.integers(0, 16)), replace=False):
+            words[place] = "" if rng.random() < 0.4 else f"own{i}-{place}"
+        for k in rng.choice(12, int(rng.integers(0, 6)), replace=False):
+            words[edits[k][0]] = edits[k][1]
+        texts.append(" ".join(w for w in words if w))
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(7, "another text of the same id"), (9, None)], "doc_id int, text string")
+    found = {r.doc_id: r.component_id for r in odd_minhash.near_groups(frame).collect()}
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    least = list(range(len(texts)))
+    links = [(i, j) for i in least for j in least[:i] if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while True:
+        before = list(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            break
+    assert 1 < len(set(least)) < len(texts)
+    assert found == dict(enumerate(least))
+
+
 def test_mix_reaches_targets(docs):
     rows = mixing.mix(docs).collect()
     assert {r.size for r in rows if r.doc_id in (3, 4, 5)} == {0}
