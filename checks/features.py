@@ -176,7 +176,7 @@ CHECKS = {
     "ewma": (
         ewma,
         daily(f"""WITH {POS} SELECT a.d AS d, round(sum(b.total_price * pow(0.7e0, a.i - b.i)) / sum(pow(0.7e0, a.i - b.i)), 3) AS total_price_ewma
-                  FROM p a JOIN p b ON b.i BETWEEN a.i - 58 AND a.i GROUP BY a.d"""),
+                  FROM p a JOIN p b ON b.i <= a.i GROUP BY a.d"""),
     ),
     "seasonal_decompose": (
         decompose,

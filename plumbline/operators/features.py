@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.schema import normalize, quoted
 from ..functions.values import correlation
-from ..plans.ordered import POSITION, OrderedRows, ordered, slide
+from ..plans.ordered import BUCKET, POSITION, OrderedRows, carry, ordered, slide
 from ..plans.profile import column_profile
 from ..plans.quantiles import exact_quantiles
 from . import series as s
@@ -17,7 +17,8 @@ from .clean import drop_duplicates, zscore_limits
 from .detail import detail_metrics
 from .quality import table_metrics
 
-EWMA_CUT = 1e-9
+#: Weight over which one block of values is summed; a double holds no value of less weight beside another.
+EWMA_SPAN = 1e-100
 # Fixed value: 5% point of the residual test for two series with constant.
 COINTEGRATION_5_PERCENT = -3.3377
 
@@ -30,18 +31,53 @@ def rolling_stats(df: DataFrame, order_by: list[str], column: str, size: int, ke
     return slide(rows, {f"{column}_rolling_{k}": over(f) for k, f in kinds.items()}, back=size - 1).rows()
 
 
-def ewma(df: DataFrame, order_by: list[str], column: str, alpha: float, keys: list[str] | None = None, **sizes) -> DataFrame:
-    """Exponentially weighted mean; weights below 1e-9 are left off, nulls skipped."""
-    reach = max(1, math.ceil(math.log(EWMA_CUT) / math.log(1.0 - alpha)))
-    rows = ordered(normalize(df), order_by, keys, **sizes)
+def _beside(rows: DataFrame, found: DataFrame, keys: tuple[str, ...], place: str) -> DataFrame:
+    """``rows`` with the columns of ``found`` for the same keys and place."""
+    found = found.select(
+        *[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(place).alias("_place"),
+        *[c for c in found.columns if c not in (*keys, place)],
+    )
+    same = F.col(place) == F.col("_place")
+    for i, k in enumerate(keys):
+        same = same & quoted(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(found, same, "left").drop("_place", *[f"_k{i}" for i in range(len(keys))])
 
-    def weighted(w):
-        recent = F.collect_list(s.value(column)).over(w.rowsBetween(-(reach - 1), 0))
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("weight"))
-        add = lambda a, v: F.struct((a["sum"] * (1 - alpha) + v).alias("sum"), (a["weight"] * (1 - alpha) + 1.0).alias("weight"))
-        return F.aggregate(recent, start, add, lambda a: F.try_divide(a["sum"], a["weight"]))
 
-    return slide(rows, {f"{column}_ewma": weighted}, back=reach - 1).rows()
+def ewma(df: DataFrame, order_by: list[str], column: str, alpha: float, keys: list[str] | None = None, **sizes) -> DataFrame:
+    """Exponentially weighted mean of all values up to a row; nulls are skipped and repeat the mean before them.
+
+    Values are numbered and cut into blocks. A weighted sum grows inside its block, and the sum of the block before is
+    added with its weight. ``alpha`` is above 0 and at most 1; at 1 each row has the last value.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    rows = ordered(normalize(df), order_by, keys, **sizes)
+    name = f"{column}_ewma"
+    if alpha == 1:
+        return carry(rows, {name: s.value(column)}).rows()
+    rate = math.log1p(-alpha)
+    block = max(1, math.floor(math.log(EWMA_SPAN) / rate))
+    weight = lambda age: F.exp(age * rate)
+    x, number, by = F.col("_x"), F.col("_number"), [quoted(k) for k in rows.keys]
+    upto = (Window.unboundedPreceding, Window.currentRow)
+
+    placed = rows.df.withColumn("_x", s.value(column)).withColumn(BUCKET, F.floor(F.col(POSITION) / rows.bucket_rows).cast("long"))
+    placed = placed.withColumn("_number", F.count(x).over(Window.partitionBy(*by, BUCKET).orderBy(POSITION).rowsBetween(*upto)))
+    if not rows.one_bucket:
+        counts = placed.groupBy(*by, BUCKET).agg(F.count(x).alias("_n"))
+        earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        placed = _beside(placed, counts, rows.keys, BUCKET).withColumn("_number", number + F.col("_before"))
+    placed = placed.withColumn("_block", F.floor((number - 1) / block).cast("long"))
+    age = F.pmod(number - 1, F.lit(block))
+    ends = placed.where(x.isNotNull()).groupBy(*by, "_block").agg(F.sum(x * weight(block - 1 - age)).alias("_end"))
+    placed = _beside(placed, ends.withColumn("_block", F.col("_block") + 1), rows.keys, "_block")
+    # Rows without a value take no part, so a long run of them need not share the task of its block.
+    own = Window.partitionBy(*by, "_block", F.when(x.isNull(), F.col(BUCKET))).orderBy(POSITION).rowsBetween(*upto)
+    total = F.sum(x * weight(-age)).over(own) * weight(age) + F.coalesce("_end", F.lit(0.0)) * weight(age + 1)
+    mean = F.when(x.isNotNull(), total * alpha / -F.expm1(number * rate))
+    found = placed.select(*[quoted(c) for c in rows.df.columns], mean.alias("_mean"))
+    return carry(rows.with_df(found), {name: F.col("_mean")}).rows().drop("_mean")
 
 
 def seasonal_decompose(df: DataFrame, order_by: list[str], column: str, period: int, **sizes) -> DataFrame:

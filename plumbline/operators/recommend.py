@@ -42,8 +42,8 @@ def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return row_repeats(normalize(df), columns)
 
 
-def cleaning_preview(df: DataFrame, preview_columns: int = 5) -> DataFrame:
-    """Per column: class, nulls, outliers of the first numeric ones, usable steps."""
+def cleaning_preview(df: DataFrame, preview_columns: int | None = None) -> DataFrame:
+    """Per column: class, nulls, outliers of numeric ones (all, or the first ``preview_columns``), usable steps."""
     df = normalize(df)
     numeric = numeric_names(df)
     previewed = numeric[:preview_columns]

@@ -7,7 +7,7 @@ that a hot key spreads over many tasks, and positions are the row numbers inside
 a range plus the count of rows before it.
 
 Positions cut each key into buckets of equal size.  Look-back and look-ahead run
-inside a bucket after the few rows at its edge are copied into its neighbour;
+inside a bucket after the rows at its edge are copied into the buckets beside it;
 fills carry the last value of the earlier buckets over.
 """
 
@@ -120,17 +120,10 @@ def slide(
     if rows.one_bucket:
         return rows.with_df(rows.df.withColumns({n: f(rows.window()) for n, f in columns.items()}))
     size = rows.bucket_rows
-    if max(back, ahead) > size:
-        raise ValueError(f"a window of {max(back, ahead)} rows needs buckets of at least that size")
-    own = F.floor(F.col(POSITION) / size).cast("long")
-    place = F.col(POSITION) % size
-    homes = F.array_compact(
-        F.array(
-            own,
-            F.when(place >= size - back, own + 1) if back else F.lit(None).cast("long"),
-            F.when((place < ahead) & (own > 0), own - 1) if ahead else F.lit(None).cast("long"),
-        )
-    )
+    bucket_of = lambda position: F.floor(position / size).cast("long")
+    own = bucket_of(F.col(POSITION))
+    # A row goes to every bucket that looks at it; windows longer than a bucket reach several.
+    homes = F.sequence(F.greatest(F.lit(0), bucket_of(F.col(POSITION) - ahead)), bucket_of(F.col(POSITION) + back))
     spread = rows.df.withColumn(BUCKET, F.explode(homes))
     added = spread.withColumns({n: f(rows.window()) for n, f in columns.items()})
     return rows.with_df(added.where(F.col(BUCKET) == own).drop(BUCKET))

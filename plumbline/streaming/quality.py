@@ -7,7 +7,7 @@ bounded by the watermark and, for distinct counts and medians, by sketches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.schema import is_datetime, normalize, quoted
 
@@ -63,7 +63,14 @@ def deduplicate(df: DataFrame, time: str, keys: list[str], delay: str = "1 hour"
 
 
 def late_rows(query) -> int:
-    """Rows that a finished query dropped for coming after the watermark."""
+    """Rows that a finished query dropped for coming after the watermark.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` reports. Where earlier ones may be gone the
+    count would fall short, so it is refused; raise that setting before the query starts.
+    """
+    setting = "spark.sql.streaming.numRecentProgressUpdates"
+    if len(query.recentProgress) >= int(SparkSession.active().conf.get(setting)):
+        raise RuntimeError(f"reports of this query may be lost: raise {setting}")
     return sum(
         op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
         for progress in query.recentProgress

@@ -214,3 +214,15 @@ def test_pipeline_log_counts_every_step(spark):
     log = clean.clean_pipeline(df, options).log().orderBy("step").collect()
     assert [(r.action, r.rows_before, r.rows_after) for r in log] == [("drop_nulls", 3, 2), ("drop_duplicates", 2, 1)]
     assert log[0].details == {"method": "any"}
+
+
+def test_late_rows_refuse_a_count_that_may_fall_short(spark):
+    from types import SimpleNamespace
+
+    from plumbline.streaming.quality import late_rows
+
+    report = {"stateOperators": [{"numRowsDroppedByWatermark": 2}]}
+    most = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+    assert late_rows(SimpleNamespace(recentProgress=[report] * (most - 1))) == 2 * (most - 1)
+    with pytest.raises(RuntimeError):
+        late_rows(SimpleNamespace(recentProgress=[report] * most))

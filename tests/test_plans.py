@@ -81,6 +81,36 @@ def test_windows_reach_over_bucket_edges(spark, keys):
     assert weighted["x_ewma"].notna().all()
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("alpha", [0.001, 0.5, 0.9999, 1.0])
+def test_weighted_means_equal_the_recurrence(spark, keys, alpha):
+    df = _events(spark)
+    sizes = [SMALL, {}]
+    got = [features.ewma(df, ["t"], "x", alpha, keys, **size).toPandas().sort_values("t").reset_index(drop=True) for size in sizes]
+    means = lambda x: x.dropna().ewm(alpha=alpha, adjust=True).mean().reindex(x.index).ffill()
+    whole = df.toPandas().sort_values("t").reset_index(drop=True)
+    want = whole.groupby("k")["x"].transform(means) if keys else means(whole["x"])
+    for found in got:
+        np.testing.assert_allclose(found["x_ewma"].to_numpy(dtype=float), want.to_numpy(), rtol=1e-9, atol=1e-12)
+
+
+def test_weighted_means_refuse_weights_out_of_range(spark):
+    for alpha in (0.0, -1.0, 1.5):
+        with pytest.raises(ValueError):
+            features.ewma(_events(spark), ["t"], "x", alpha)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_windows_longer_than_a_bucket(spark, keys):
+    df = _events(spark).fillna(0.0)
+    small, plain = (
+        features.rolling_stats(df, ["t"], "x", 50, keys, **size).toPandas().sort_values("t").reset_index(drop=True) for size in (SMALL, {})
+    )
+    pd.testing.assert_frame_equal(small, plain)
+    small, plain = (features.seasonal_decompose(df, ["t"], "x", 75, **size).orderBy("t").toPandas() for size in (SMALL, {}))
+    pd.testing.assert_frame_equal(small, plain)
+
+
 def test_moving_average_looks_both_ways(spark):
     df = spark.range(100).select(F.col("id").alias("t"), (F.col("id") % 7).cast("double").alias("x"))
     small = features.seasonal_decompose(df, ["t"], "x", 7, **SMALL).orderBy("t").toPandas()
