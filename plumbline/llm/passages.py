@@ -6,10 +6,12 @@ Two kinds of paragraph are compared over all documents.
   their five-word shingles confirms them, and links are clustered by components.
 * Windows of ``LEAST_WORDS`` words anywhere in a text, as a passage may stand inside a line. A window's MinHash is the
   smallest hash of its shorter word runs, so equal windows share it. Windows around runs that two documents share are
-  then compared by all their words, and overlapping windows merge into one passage. Passages that share a window are
-  clustered by components.
+  then compared by all their words.
 
-Of each cluster the passage of the smallest (doc_id, start) is kept, the others are removals.
+Of each cluster of lines the line of the smallest (doc_id, start) is kept, the others are removals. Of each shared window
+the copy of the smallest (doc_id, start) is kept, one that meets no removed line if there is any; words of its other
+copies are removals unless they belong to the kept copy of another window. So no window is removed everywhere but those
+that meet a removed line in all their copies, and of that line a near copy is kept.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import components
 from plumbline.llm.odd_minhash import Hashes, near_groups
 from plumbline.llm.words import hash_words, mixed, split_words
 from plumbline.plans.materialize import materialize
@@ -79,20 +80,71 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows around shared runs: doc_id, start, hash of all words. Columns in: doc_id, text, starts of runs."""
+    """All windows around shared runs: doc_id, start, hash of all words, cut (whether it meets a removed line).
+
+    Columns in: doc_id, text, starts of runs, starts and ends of removed lines by turns (null without any).
+    """
     for batch in batches:
-        rows, starts, hashes = [], [], []
-        for i, (value, runs) in enumerate(zip(batch.column(1), batch.column(2))):
+        rows, starts, hashes, cuts = [], [], [], []
+        for i, (value, runs, removed) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3))):
             own = run_hashes(hash_words(split_words(value.as_py())), LEAST_WORDS)
             near = runs.values.to_numpy()[:, None] - np.arange(LEAST_WORDS - RUN + 1)
             at = np.unique(near)
             at = at[(at >= 0) & (at < len(own))]
+            lost = np.zeros(len(own) + LEAST_WORDS, dtype=np.int64)  # removed words before each place
+            if removed.is_valid:
+                for start, end in removed.values.to_numpy().reshape(-1, 2):
+                    lost[start + 1 : end + 1] = 1
+            lost = lost.cumsum()
             rows.append(np.full(len(at), i)), starts.append(at), hashes.append(own[at])
+            cuts.append(lost[at + LEAST_WORDS] > lost[at])
         take = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
         yield _batch(
             batch.column(0).take(pa.array(take)),
             start=pa.array(np.concatenate(starts or [take]).astype(np.int32)),
             hash=pa.array(np.concatenate(hashes or [take.astype(np.uint64)]).view(np.int64)),
+            cut=pa.array(np.concatenate(cuts or [take.astype(bool)])),
+        )
+
+
+def _runs_of(mask: np.ndarray) -> np.ndarray:
+    """Begin and end of every run of true values."""
+    return np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8))).reshape(-1, 2)
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept and removed spans of texts: doc_id, start, n_words, place of the kept copy of a removed span's first window.
+
+    Columns in: doc_id, shared windows of the text (start, keep_doc, keep_start, own), own if it is the kept copy itself.
+    """
+    for batch in batches:
+        lists = batch.column(1)
+        windows, ends = lists.values, lists.offsets.to_numpy()
+        start, own = windows.field("start").to_numpy(), windows.field("own").to_numpy(zero_copy_only=False)
+        rows, starts, lengths, copies = [], [], [], []
+        for i in range(len(batch)):
+            here = np.arange(ends[i], ends[i + 1])
+            here = here[np.argsort(start[here], kind="stable")]
+            at, low = start[here].astype(np.int64), int(start[here[0]])
+            marks = np.zeros((2, int(at[-1]) - low + LEAST_WORDS + 1), dtype=np.int64)
+            for kind in (0, 1):
+                chosen = at[own[here] == bool(kind)] - low
+                np.add.at(marks[kind], chosen, 1)
+                np.add.at(marks[kind], chosen + LEAST_WORDS, -1)
+            gone, kept = marks.cumsum(axis=1)[:, :-1] > 0
+            others = here[~own[here]]
+            for begin, end in _runs_of(kept):
+                rows.append(i), starts.append(low + begin), lengths.append(end - begin), copies.append(None)
+            for begin, end in _runs_of(gone & ~kept):
+                first = others[np.searchsorted(start[others] + LEAST_WORDS, low + begin, side="right")]
+                rows.append(i), starts.append(low + begin), lengths.append(end - begin), copies.append(int(first))
+        copies = pa.array(copies, pa.int64())
+        yield _batch(
+            batch.column(0).take(pa.array(rows, pa.int64())),
+            start=pa.array(starts, pa.int32()),
+            n_words=pa.array(lengths, pa.int64()),
+            keep_doc=windows.field("keep_doc").take(copies),
+            keep_start=windows.field("keep_start").take(copies),
         )
 
 
@@ -131,28 +183,34 @@ def repeated_lines(docs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def repeated_windows(docs: DataFrame, key: str) -> DataFrame:
-    """Passages that stand word for word in another document: doc_id, start, n_words, cluster_doc, cluster_start."""
+def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
+    """Passages that stand word for word in another document: doc_id, start, n_words, cluster_doc, cluster_start.
+
+    ``removed`` has the spans (doc_id, start, n_words) that go anyway. A cluster is a kept span; a removed span belongs
+    to the one that holds the kept copy of its first window.
+    """
     row = f"doc_id {key}, start int, hash bigint"
     runs = materialize(docs.mapInArrow(_runs, row), "runs")
     places = _shared(runs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))  # no more than a text's words
-    windows = docs.join(places, "doc_id").select("doc_id", "text", "starts").mapInArrow(_windows, row)
-    windows = materialize(_shared(materialize(windows, "windows")), "shared-windows")
-    own = Window.partitionBy("doc_id").orderBy("start")  # the windows of one document
-    fresh = F.coalesce(F.col("start") - F.lag("start").over(own) > LEAST_WORDS, F.lit(True))
-    begun = windows.withColumn("begun", F.when(fresh, F.col("start")))
-    placed = begun.withColumn("passage", F.last("begun", ignorenulls=True).over(own))
-    placed = materialize(placed.select("doc_id", "start", "hash", "passage"), "passages")
-    node = F.struct("doc_id", F.col("passage").alias("start"))
-    first = placed.groupBy("hash").agg(F.min(node).alias("v"))
-    links = placed.select("hash", node.alias("u")).join(first, "hash").select("u", "v").where("u != v").distinct()
-    group = components(links)
-    spans = placed.groupBy("doc_id", "passage").agg((F.max("start") + LEAST_WORDS - F.col("passage")).cast("bigint").alias("n_words"))
-    spans = spans.select(F.struct("doc_id", F.col("passage").alias("start")).alias("node"), "n_words")
-    found = spans.join(group, "node")
-    return found.select(
-        "node.doc_id", "node.start", "n_words", F.col("component.doc_id").alias("cluster_doc"), F.col("component.start").alias("cluster_start")
+    span = F.array(F.col("start").cast("bigint"), F.col("start") + F.col("n_words"))
+    lost = removed.groupBy("doc_id").agg(F.flatten(F.collect_list(span)).alias("removed"))  # no more than a text's lines
+    around = docs.join(places, "doc_id").join(lost, "doc_id", "left").select("doc_id", "text", "starts", "removed")
+    windows = materialize(around.mapInArrow(_windows, row + ", cut boolean").distinct(), "windows")
+    copies = windows.groupBy("hash").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct("cut", "doc_id", "start")).alias("keep")
     )
+    copies = copies.where("a != b").select("hash", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.start").alias("keep_start"))
+    own = (F.col("doc_id") == F.col("keep_doc")) & (F.col("start") == F.col("keep_start"))
+    placed = windows.join(copies, "hash").select("doc_id", F.struct("start", "keep_doc", "keep_start", own.alias("own")).alias("window"))
+    texts = placed.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))  # no more than a text's words
+    spans = texts.mapInArrow(_spans, f"doc_id {key}, start int, n_words bigint, keep_doc {key}, keep_start int")
+    spans = materialize(spans, "spans")
+    kept = spans.where("keep_doc is null").select("doc_id", "start", "n_words")
+    own = kept.withColumn("cluster_doc", F.col("doc_id")).withColumn("cluster_start", F.col("start"))
+    holder = kept.select(F.col("doc_id").alias("cluster_doc"), F.col("start").alias("cluster_start"), F.col("n_words").alias("held"))
+    inside = (F.col("keep_start") >= F.col("cluster_start")) & (F.col("keep_start") < F.col("cluster_start") + F.col("held"))
+    gone = spans.where("keep_doc is not null").join(holder, (F.col("keep_doc") == F.col("cluster_doc")) & inside)
+    return own.unionByName(gone.select(*own.columns))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -161,14 +219,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are not read. Words end at ASCII white space and A-Z are lowered. A
     document without a passage that another document repeats has no row; null and short texts have none. Rows with a
     null doc_id are left out. Rows that repeat a doc_id are one document. An empty table gives no rows. ``kept`` is
-    true for the first passage of each cluster.
+    true for the passage that stays of each cluster.
     """
     source = docs.where("doc_id is not null").select("doc_id", "text")
     key = source.schema["doc_id"].dataType.simpleString()
-    lines = repeated_lines(source, key).withColumn("kind", F.lit("line"))
-    windows = repeated_windows(source, key).withColumn("kind", F.lit("window"))
     kept = (F.col("doc_id") == F.col("cluster_doc")) & (F.col("start") == F.col("cluster_start"))
-    return lines.unionByName(windows).withColumn("kept", kept)
+    lines = materialize(repeated_lines(source, key).withColumn("kind", F.lit("line")).withColumn("kept", kept), "lines")
+    windows = repeated_windows(source, key, lines.where("not kept").select("doc_id", "start", "n_words"))
+    return lines.unionByName(windows.withColumn("kind", F.lit("window")).withColumn("kept", kept))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,28 @@ def test_near_groups_and_passages(docs):
     assert spans[8] == (30, 70) and spans[9] == (20, 70) and 11 not in spans
 
 
+def test_every_shared_window_keeps_one_copy(spark):
+    a, b, x, y = (_text(seed, 60) for seed in (31, 32, 33, 34))
+    tails = [_text(100 + i, 20) for i in range(9)]
+    texts = {1: [a], 2: [a, b], 3: [a, b], 4: [x, a, y], 5: [x, a, y], 6: [y, b], 7: [b, y], 8: [a, a]}
+    texts = {i: " ".join([tails[i], *parts, tails[i][::-1]]) for i, parts in texts.items()}
+    texts = {i: "\n".join(" ".join(t.split()[k : k + 40]) for k in range(0, len(t.split()), 40)) for i, t in texts.items()}
+    found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    gone = {(r.doc_id, k) for r in found if not r.kept for k in range(r.start, r.start + r.n_words)}
+    places = {}
+    for i, t in texts.items():
+        words = t.split()
+        for k in range(len(words) - 49):
+            places.setdefault(tuple(words[k : k + 50]), []).append((i, k))
+    shared = [p for p in places.values() if len({i for i, _ in p}) > 1]
+    assert shared and gone
+    for copies in shared:
+        assert any(all((i, k + j) not in gone for j in range(50)) for i, k in copies)
+    least = {min(p) for p in shared}
+    stay = {(i, k + j) for i, k in least for j in range(50)}
+    assert gone == {(i, k + j) for p in shared for i, k in p for j in range(50)} - stay
+
+
 def test_one_large_group_of_near_copies_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
