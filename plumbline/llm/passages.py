@@ -1,17 +1,19 @@
 """Repeated passages: paragraphs by MinHash bands, and passages inside paragraphs by the same idea on word windows.
 
-Two kinds of paragraph are compared over all documents.
+Two kinds of passage are compared over all documents.
 
-* Lines of ``LEAST_WORDS`` words or more: MinHash bands tuned for high recall gather them, exact Jaccard similarity of
-  their five-word shingles confirms them, and links are clustered by components.
+* Paragraphs with a five-word shingle: every line, and consecutive lines of less than ``LEAST_WORDS`` words joined up to
+  a line without words. MinHash bands tuned for high recall gather them, exact Jaccard similarity of their five-word
+  shingles confirms them, and links are clustered by components.
 * Windows of ``LEAST_WORDS`` words anywhere in a text, as a passage may stand inside a line. A window's MinHash is the
   smallest hash of its shorter word runs, so equal windows share it. Windows around runs that two documents share are
   then compared by all their words.
 
-Of each cluster of lines the line of the smallest (doc_id, start) is kept, the others are removals. Of each shared window
-the copy of the smallest (doc_id, start) is kept, one that meets no removed line if there is any; words of its other
+Of each cluster of paragraphs one is kept: the joined lines or line by itself of the smallest (doc_id, start), and if
+there is none, the first line inside joined lines that stay. The others are removals. Of each shared window
+the copy of the smallest (doc_id, start) is kept, one that meets no removed paragraph if there is any; words of its other
 copies are removals unless they belong to the kept copy of another window. So no window is removed everywhere but those
-that meet a removed line in all their copies, and of that line a near copy is kept.
+that meet a removed paragraph in all their copies, and of that paragraph a near copy is kept.
 """
 
 from __future__ import annotations
@@ -80,9 +82,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows around shared runs: doc_id, start, hash of all words, cut (whether it meets a removed line).
+    """All windows around shared runs: doc_id, start, hash of all words, cut (whether it meets a removed paragraph).
 
-    Columns in: doc_id, text, starts of runs, starts and ends of removed lines by turns (null without any).
+    Columns in: doc_id, text, starts of runs, starts and ends of removed paragraphs by turns (null without any).
     """
     for batch in batches:
         rows, starts, hashes, cuts = [], [], [], []
@@ -148,19 +150,42 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of enough words: doc_id, start in words, text."""
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs of ``SHINGLE`` words or more: doc_id, start in words, n_words, start and n_words of the joined lines around, text."""
     for batch in batches:
-        rows, starts, lengths, lines = [], [], [], []
+        rows, starts, lengths, tops, top_lengths, texts = [], [], [], [], [], []
+
+        def add(row: int, start: int, n: int, top: int, top_n: int, text: str) -> None:
+            if n >= SHINGLE:
+                rows.append(row), starts.append(start), lengths.append(n), tops.append(top), top_lengths.append(top_n), texts.append(text)
+
+        def close(row: int, run: list[tuple[int, int, str]]) -> None:
+            if run:
+                top, total = run[0][0], sum(n for _, n, _ in run)
+                add(row, top, total, top, total, "\n".join(line for *_, line in run))
+                for start, n, line in run if len(run) > 1 else ():
+                    add(row, start, n, top, total, line)
+                run.clear()
+
         for i, value in enumerate(batch.column(1)):
-            at = 0
+            at, run = 0, []
             for line in (value.as_py() or "").split("\n"):
                 n = len(line.encode().split())
-                if n >= LEAST_WORDS:
-                    rows.append(i), starts.append(at), lengths.append(n), lines.append(line)
+                if 0 < n < LEAST_WORDS:
+                    run.append((at, n, line))
+                else:
+                    close(i, run)
+                    add(i, at, n, at, n, line)
                 at += n
-        key = batch.column(0).take(pa.array(rows, pa.int64()))
-        yield _batch(key, start=pa.array(starts, pa.int32()), n_words=pa.array(lengths, pa.int64()), text=pa.array(lines, pa.string()))
+            close(i, run)
+        yield _batch(
+            batch.column(0).take(pa.array(rows, pa.int64())),
+            start=pa.array(starts, pa.int32()),
+            n_words=pa.array(lengths, pa.int64()),
+            top=pa.array(tops, pa.int32()),
+            top_words=pa.array(top_lengths, pa.int64()),
+            text=pa.array(texts, pa.string()),
+        )
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -169,18 +194,41 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "hash")
 
 
-def repeated_lines(docs: DataFrame, key: str) -> DataFrame:
-    """Lines with a near copy in another document: doc_id, start, n_words, cluster_doc, cluster_start."""
-    lines = docs.mapInArrow(_long_lines, f"doc_id {key}, start int, n_words bigint, text string")
-    named = lines.select(F.struct("doc_id", "start").alias("doc_id"), "text", "n_words")
-    groups = near_groups(named, SHINGLE, THRESHOLD, Hashes(BANDS, ROWS), SKETCH_FLOOR)
-    groups = materialize(groups.select(F.col("doc_id").alias("node"), "component_id", "n_shingles"), "line-groups")
+def repeated_paragraphs(docs: DataFrame, key: str) -> DataFrame:
+    """Paragraphs with a near copy in another document: doc_id, start, n_words, kind, cluster_doc, cluster_start, kept.
+
+    Lines inside joined lines that are removed, or that are kept for the same cluster, have no row.
+    """
+    place = f"doc_id {key}, start int, n_words bigint"
+    paragraphs = docs.mapInArrow(_paragraphs, f"{place}, top int, top_words bigint, text string")
+    node = F.struct("doc_id", "start", "n_words")
+    groups = near_groups(paragraphs.select(node.alias("doc_id"), "text"), SHINGLE, THRESHOLD, Hashes(BANDS, ROWS), SKETCH_FLOOR)
+    groups = materialize(groups.select(F.col("doc_id").alias("node"), "component_id"), "paragraph-groups")
     more = groups.groupBy("component_id").agg(F.min("node.doc_id").alias("a"), F.max("node.doc_id").alias("b")).where("a != b")
-    lengths = lines.select(F.struct("doc_id", "start").alias("node"), "n_words")
-    found = groups.join(more.select("component_id"), "component_id").join(lengths, "node")
-    return found.select(
-        "node.doc_id", "node.start", "n_words", F.col("component_id.doc_id").alias("cluster_doc"), F.col("component_id.start").alias("cluster_start")
+    around = paragraphs.select(node.alias("node"), "top", "top_words").distinct()
+    found = groups.join(more.select("component_id"), "component_id").join(around, "node")
+    whole = (F.col("node.start") == F.col("top")) & (F.col("node.n_words") == F.col("top_words"))
+    found = materialize(found.select("component_id", "node.*", "top", "top_words", whole.alias("whole")), "near-paragraphs")
+
+    # Joined lines and lines by themselves first, then the lines inside those that stay.
+    first = found.where("whole").groupBy("component_id").agg(F.min(node).alias("first"))
+    tops = found.where("whole").join(first, "component_id").groupBy("doc_id", "top").agg(
+        F.max(node != F.col("first")).alias("cut"), F.max(node == F.col("first")).alias("leads")
     )
+    no = F.lit(False)
+    placed = found.join(tops, ["doc_id", "top"], "left").withColumns({"cut": F.coalesce("cut", no), "leads": F.coalesce("leads", no)})
+    placed = materialize(placed.where("whole or not cut"), "paragraphs-left")
+    keep = placed.groupBy("component_id").agg(F.min(F.struct((~F.col("whole")).alias("inside"), "doc_id", "start", "n_words")).alias("keep"))
+    placed = placed.join(keep, "component_id")
+    kept = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start")) & (F.col("n_words") == F.col("keep.n_words"))
+    same = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("top") == F.col("keep.start"))
+    # Two kept paragraphs must not stand for lines of each other: the shorter one stands for lines of the longer one only.
+    circular = F.col("leads") & (F.col("keep.n_words") >= F.col("top_words"))
+    placed = placed.where(F.col("whole") | F.col("keep.inside") | ~(same | circular))
+    return placed.select(
+        "doc_id", "start", "n_words", F.lit("line").alias("kind"),
+        F.col("keep.doc_id").alias("cluster_doc"), F.col("keep.start").alias("cluster_start"), kept.alias("kept"),
+    ).distinct()
 
 
 def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
@@ -193,7 +241,7 @@ def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame
     runs = materialize(docs.mapInArrow(_runs, row), "runs")
     places = _shared(runs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))  # no more than a text's words
     span = F.array(F.col("start").cast("bigint"), F.col("start") + F.col("n_words"))
-    lost = removed.groupBy("doc_id").agg(F.flatten(F.collect_list(span)).alias("removed"))  # no more than a text's lines
+    lost = removed.groupBy("doc_id").agg(F.flatten(F.collect_list(span)).alias("removed"))  # no more than twice a text's lines
     around = docs.join(places, "doc_id").join(lost, "doc_id", "left").select("doc_id", "text", "starts", "removed")
     windows = materialize(around.mapInArrow(_windows, row + ", cut boolean").distinct(), "windows")
     copies = windows.groupBy("hash").agg(
@@ -214,7 +262,8 @@ def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per repeated passage: doc_id, start and n_words in words, kind, cluster_doc, cluster_start, kept.
+    """One row per repeated passage: doc_id, start and n_words in words, kind (line, also for joined
+    lines, or window), cluster_doc, cluster_start, kept.
 
     ``docs`` needs doc_id and text; other columns are not read. Words end at ASCII white space and A-Z are lowered. A
     document without a passage that another document repeats has no row; null and short texts have none. Rows with a
@@ -224,7 +273,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     source = docs.where("doc_id is not null").select("doc_id", "text")
     key = source.schema["doc_id"].dataType.simpleString()
     kept = (F.col("doc_id") == F.col("cluster_doc")) & (F.col("start") == F.col("cluster_start"))
-    lines = materialize(repeated_lines(source, key).withColumn("kind", F.lit("line")).withColumn("kept", kept), "lines")
+    lines = materialize(repeated_paragraphs(source, key), "lines")
     windows = repeated_windows(source, key, lines.where("not kept").select("doc_id", "start", "n_words"))
     return lines.unionByName(windows.withColumn("kind", F.lit("window")).withColumn("kept", kept))
 

@@ -116,6 +116,15 @@ def test_every_shared_window_keeps_one_copy(spark):
     assert gone == {(i, k + j) for p in shared for i, k in p for j in range(50)} - stay
 
 
+def test_near_copies_of_short_and_joined_lines(spark):
+    short, other, parts = _text(41, 20), _text(42, 30), [_text(50 + i, 25) for i in range(3)]
+    edited = " ".join([*" ".join(parts).split()[:-1], "edited"])
+    texts = {1: short, 2: f"{other}\n{short} more", 3: "\n".join(parts), 4: f"{edited}", 5: f"\n{_text(43, 4)}\n\n{short}", 6: _text(44, 60)}
+    found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    lines = {(r.doc_id, r.start, r.n_words, r.cluster_doc, r.cluster_start, r.kept) for r in found if r.kind == "line"}
+    assert lines == {(1, 0, 20, 1, 0, True), (2, 30, 21, 1, 0, False), (5, 4, 20, 1, 0, False), (3, 0, 75, 3, 0, True), (4, 0, 75, 3, 0, False)}
+
+
 def test_one_large_group_of_near_copies_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
