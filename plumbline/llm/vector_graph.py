@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample; every vector goes to its nearest few shards. In each shard the graph joins a
 vector to robustly pruned neighbours; the adjacency lists that a vector got in its shards are united. Every vector is
 then searched in its shards: a greedy walk from the medoid, then expansion over all vectors inside the range. Pairs
-found are confirmed by cosine in double precision. Recall is audited against all vectors for a stated set of queries,
-and the search is widened if it falls short. Shards too large for one task are compared in blocks, exactly.
+found are confirmed by cosine in double precision. Recall is audited against all vectors for queries chosen by hash alone,
+and the search is widened if it falls short. Shards too large for one task are compared in blocks, exactly; so are all
+vectors if the widest search falls short too, or if the audit meets too few links to tell.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ CANDIDATES, DEGREE, BACK, ALPHA, FAR = 64, 24, 12, 2.0, 4
 OVERLAP, BEAM, SLACK = 2, 48, 0.08
 #: Queries of the audit and the recall below which the search is widened.
 AUDITED, LEAST_RECALL, TRIES = 256, 0.97, 3
+#: Links an audit must meet unless it asks all vectors, the queries it may grow to for that, and numbers they may hold.
+LEAST_MET, MOST_AUDITED, AUDITED_NUMBERS = 64, 4_096, 4_000_000
 
 _ERROR = 1e-5  # of single-precision cosines
 
@@ -212,10 +215,10 @@ def _blocks(threshold: float):
     return compare
 
 
-def _large_shards(members: DataFrame, counts: DataFrame, threshold: float, link: str) -> DataFrame:
-    """Pairs inside shards that one task cannot take: every block of members meets every other once."""
+def _large_shards(members: DataFrame, counts: DataFrame, threshold: float, link: str, above: int = LARGEST_SHARD) -> DataFrame:
+    """Pairs inside shards of more than ``above`` members: every block of members meets every other once."""
     half = LARGEST_SHARD // 2
-    large = counts.where(F.col("n") > LARGEST_SHARD).select("shard", F.ceil(F.col("n") / half).cast("int").alias("blocks"))
+    large = counts.where(F.col("n") > above).select("shard", F.ceil(F.col("n") / half).cast("int").alias("blocks"))
     own = members.join(large, "shard").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = materialize(own, "large-shards")
     again = own.sparkSession.read.schema(own.schema).parquet(*own.inputFiles())
@@ -228,10 +231,8 @@ def _large_shards(members: DataFrame, counts: DataFrame, threshold: float, link:
 
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, queries: int = AUDITED) -> tuple[int, int]:
-    """Links found and links there for the ``queries`` nodes of smallest hash that have any; those nodes meet all others."""
+    """Links found and links there for the ``queries`` nodes of smallest hash, whatever was found; those nodes meet all others."""
     chosen = nodes.withColumn("h", F.xxhash64("node")).orderBy("h", "node").limit(queries).collect()
-    linked = links.groupBy("u").agg(F.lit(1)).withColumn("h", F.xxhash64("u")).orderBy("h").limit(queries).select(F.col("u").alias("node"))
-    chosen += nodes.join(F.broadcast(linked), "node").collect()
     by_size: dict[int, tuple[list, list]] = {}
     for node, x in {r.node: r.unit for r in chosen}.items():
         own = by_size.setdefault(len(x), ([], []))
@@ -255,6 +256,35 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, quer
     return met[0], met[1]
 
 
+def _recalled(nodes: DataFrame, links: DataFrame, threshold: float) -> bool | None:
+    """Whether the audit finds recall enough; None if it cannot tell. Queries grow until they meet enough links."""
+    total, longest = nodes.agg(F.count("*"), F.max(F.size("unit"))).first()
+    most = min(MOST_AUDITED, max(AUDITED, AUDITED_NUMBERS // (longest or 1)))
+    queries = AUDITED
+    while True:
+        hit, there = audit(nodes, links, threshold, queries)
+        if hit < LEAST_RECALL * there:
+            return False
+        if there >= LEAST_MET or queries >= total:
+            return True
+        if queries >= most:
+            return None
+        queries = min(4 * queries, most)
+
+
+def _both(found: DataFrame) -> DataFrame:
+    found = materialize(found, "found")
+    return materialize(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+
+
+def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links u, v in both directions, every vector compared with every other of its length."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    members = nodes.withColumn("shard", F.size("unit").cast("string"))
+    counts = materialize(members.groupBy("shard").agg(F.count("*").alias("n")), "lengths")
+    return _both(_large_shards(members, counts, threshold, f"u {kind}, v {kind}", 0))
+
+
 def _links(nodes: DataFrame, threshold: float, overlap: int, beam: int) -> DataFrame:
     """Links u, v in both directions between nodes (node, unit)."""
     spark = nodes.sparkSession
@@ -278,8 +308,7 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, beam: int) -> DataF
     found = small.join(graph, "node").groupBy("shard").applyInPandas(_searcher(threshold, beam), link)
     if not counts.where(F.col("n") > LARGEST_SHARD).isEmpty():
         found = found.unionByName(_large_shards(members, counts, threshold, link))
-    found = materialize(found, "found")
-    return materialize(found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    return _both(found)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -299,10 +328,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     overlap, beam = OVERLAP, BEAM
     for attempt in range(TRIES):
         links = _links(nodes, threshold, overlap, beam)
-        hit, there = audit(nodes, links, threshold)
-        if hit >= LEAST_RECALL * there:
+        recalled = _recalled(nodes, links, threshold)
+        if recalled is not False:
             break
         overlap, beam = overlap + 1, 2 * beam
+    if not recalled:
+        links = _all_links(nodes, threshold)
     sizes = classes.groupBy("node").agg(F.sum("members").alias("members"))
     linked = links.join(sizes.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.sum("members").alias("others"))
     group = components(links)

@@ -216,6 +216,19 @@ def test_vector_links(spark):
     assert found[43].component_id == 0 and all(found[i].n_links == 0 for i in (40, 41, 42, 44))
 
 
+def test_links_that_the_search_misses_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]
+    rows += [(300 + i, (np.array(rows[i][1]) + 0.01 * rng.normal(size=16)).tolist()) for i in range(40)]
+    monkeypatch.setattr(vector_graph, "_links", lambda nodes, *_: nodes.select(nodes.node.alias("u"), nodes.node.alias("v")).limit(0))
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: r for r in vector_graph.near_vectors(frame).collect()}
+    units = np.array([x for _, x in rows]) / np.linalg.norm([x for _, x in rows], axis=1)[:, None]
+    counts = (units @ units.T >= 0.9).sum(axis=1) - 1
+    assert counts.sum() >= 80 and all(found[i].n_links == counts[i] for i, _ in rows)
+    assert all(found[300 + i].component_id == found[i].component_id for i in range(40))
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for frame in (packing.pack(none), mixing.mix(none), license_scan.scan(none), exact_index.exact_groups(none), odd_minhash.near_groups(none), passages.repeated_passages(none)):
