@@ -193,6 +193,25 @@ def test_shared_lines_are_deleted_outside_the_article(spark):
     assert found[1].endswith("First & own\nMore") and found[2].endswith("Second own text")
 
 
+def test_differencing_looks_past_copies_and_through_heavy_templates():
+    import pyarrow as pa
+
+    def texts(pages):
+        rows = [(i, f"http://h/{i}", html, "h", f"/{i}") for i, html in enumerate(pages)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["page_id", "url", "html", "host", "path"])
+        return {r["page_id"]: r["text"] for b in html_text._texts(iter([batch])) for r in b.to_pylist()}
+
+    menu = "<div>Menu of the site</div><div>Notice of the site</div>"
+    own = [f"<p>{_text(70 + i, 30)}</p>" for i in range(6)]
+    article = f"<article>{own[5]}</article>"
+    found = texts([menu + own[0], menu + own[1], menu + own[1], article, menu + own[1], menu + own[1] + "<p>tail</p>", menu + own[2]])
+    assert found[1] == found[2] == found[4] == own[1][3:-4] and found[5] == own[1][3:-4] + "\ntail"
+    assert found[0] == own[0][3:-4] and found[3] == own[5][3:-4]
+    heavy = "".join(f"<div>{_text(80 + i, 60)}</div>" for i in range(4))
+    assert list(texts([heavy + x for x in own[:4]]).values())[1:3] == [own[1][3:-4], own[2][3:-4]]
+    assert list(texts([heavy + own[0], heavy + own[1]]).values())[0].endswith(own[0][3:-4])  # two pages may be copies
+
+
 def test_alignment_is_longest():
     rng = np.random.default_rng(2)
     for _ in range(200):
