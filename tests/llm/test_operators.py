@@ -99,7 +99,6 @@ def test_every_shared_window_keeps_one_copy(spark):
     tails = [_text(100 + i, 20) for i in range(9)]
     texts = {1: [a], 2: [a, b], 3: [a, b], 4: [x, a, y], 5: [x, a, y], 6: [y, b], 7: [b, y], 8: [a, a]}
     texts = {i: " ".join([tails[i], *parts, tails[i][::-1]]) for i, parts in texts.items()}
-    texts = {i: "\n".join(" ".join(t.split()[k : k + 40]) for k in range(0, len(t.split()), 40)) for i, t in texts.items()}
     found = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
     gone = {(r.doc_id, k) for r in found if not r.kept for k in range(r.start, r.start + r.n_words)}
     places = {}
