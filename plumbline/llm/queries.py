@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import compress_quality, exact_index, html_text, license_scan, mixing, odd_minhash, packing, passages, scaled_sketch, token_store, vector_graph, whitening
+from plumbline.llm import compress_quality, dialogue, exact_index, html_text, license_scan, mixing, odd_minhash, packing, passages, scaled_sketch, token_store, vector_graph, whitening
 
 CHECKS = {
     "op1_html": (html_text.op1_html, None),
@@ -18,5 +18,6 @@ CHECKS = {
     "op9_passages": (passages.op9_passages, None),
     "op10_pack": (packing.op10_pack, None),
     "op11_fingerprint": (scaled_sketch.op11_fingerprint, scaled_sketch.SQL),
+    "op12_dialogue": (dialogue.op12_dialogue, dialogue.SQL),
     "op13_whitening": (whitening.op13_whitening, None),
 }
