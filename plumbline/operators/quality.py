@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.schema import is_text, normalize, numeric_names, sql_name, sql_text
 from ..functions.values import NUMBER_PATTERN
-from ..plans.profile import column_profile, iqr_bounds
-from ..plans.quantiles import number as literal, union_all
+from ..plans.profile import column_profile, measured
+from ..plans.quantiles import union_all
 
 DIMENSIONS = ("completeness", "validity", "consistency", "uniqueness", "accuracy")
 
@@ -31,12 +31,12 @@ def _percent(part: Column, whole: Column) -> Column:
 def score_columns(df: DataFrame, table_name: str, approx: bool = False) -> DataFrame:
     """Facts and the five scores of every column of one table."""
     df = normalize(df)
-    bounds = iqr_bounds(df, numeric_names(df), approx=approx)
+    facts, bounds = measured(df, approx)
     text = [f.name for f in df.schema if is_text(f.dataType)]
     fenced = [name for name, b in bounds.items() if b]
     rows, present = F.col("row_count"), F.col("non_null")
     some = rows > 0
-    return column_profile(df, bounds, approx).select(
+    return facts.select(
         F.lit(table_name).alias("table_name"),
         "*",
         _percent(present, rows).alias("completeness"),
@@ -115,17 +115,19 @@ def uniqueness(df: DataFrame, table_name: str, approx: bool = False) -> DataFram
 def accuracy_iqr(df: DataFrame, table_name: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
     """Share of present values inside the Tukey fences; 100 for other types."""
     df = normalize(df)
-    fences = iqr_bounds(df, numeric_names(df), factor, approx)
-
-    def fact(f):
-        if not fences.get(f.name):
-            return "0"
-        low, high = fences[f.name]
-        value = f"CAST({sql_name(f.name)} AS double)"
-        return f"count_if({value} < {literal(low)} OR {value} > {literal(high)})"
-
-    score = lambda f, p, x: f"CASE WHEN n = 0 THEN 0D ELSE 100D - coalesce(try_divide({x} * 100D, {p}), 0D) END"
-    return _per_column(df, table_name, fact, score)
+    numeric = numeric_names(df)
+    facts, fences = measured(df, approx, factor, columns=numeric)
+    found = {r.column_name: r for r in facts.collect()}  # one row a column
+    rows = next(iter(found.values())).row_count if found else df.count()
+
+    def score(name: str) -> float:
+        if not rows:
+            return 0.0
+        told = found.get(name)
+        return 100.0 - (told.outliers * 100.0 / told.non_null if told and fences.get(name) and told.non_null else 0.0)
+
+    scored = [(table_name, name, score(name)) for name in df.columns]
+    return df.sparkSession.createDataFrame(scored, "table_name string, column_name string, score double")
 
 
 def quality_score() -> Column:

@@ -11,7 +11,7 @@ from ..functions.schema import (
 )
 from ..functions.values import BOOLEAN_WORDS, correlation, is_number_text, parse_timestamp
 from ..plans.ordered import ordered, slide
-from ..plans.profile import column_profile, iqr_bounds, outside, row_repeats
+from ..plans.profile import column_profile, measured, row_repeats
 from .rows import sample_values
 
 
@@ -47,20 +47,17 @@ def cleaning_preview(df: DataFrame, preview_columns: int | None = None) -> DataF
     df = normalize(df)
     numeric = numeric_names(df)
     previewed = numeric[:preview_columns]
-    fences = iqr_bounds(df, previewed, keep_flat=True)
+    facts, _ = measured(df, keep_flat=True, columns=previewed)
+    beyond = {r.column_name: r.outliers for r in facts.collect()}  # one row a column
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(quoted(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(df.schema)],
-        *[
-            F.count_if(outside(quoted(c).cast("double"), fences[c])).alias(f"o{i}")
-            for i, c in enumerate(previewed)
-        ],
     )
     parts = []
     for i, f in enumerate(df.schema):
         kind = type_class(f.dataType)
         nulls = F.col(f"n{i}")
-        outliers = F.col(f"o{previewed.index(f.name)}") if f.name in previewed else F.lit(None).cast("long")
+        outliers = F.lit(beyond.get(f.name)).cast("long")
         fill = {"numeric": "mean|median|interpolate|constant", "categorical": "mode|constant|forward_fill|backward_fill"}
         parts.append(
             F.struct(
