@@ -25,6 +25,13 @@ def csv(sep: str | None, table: str, dates: bool = False):
     return run
 
 
+def csv_line_breaks(spark, sf):
+    """All documents, whose texts hold line breaks, quotes and delimiters, written and read back."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = files.write_delimited(docs.repartition(4), fresh_path(spark, "csv"))
+    return files.read_delimited(spark, path, schema=docs.schema, na_tokens=())
+
+
 def csv_missing(spark, sf):
     df = load(spark, sf, "dirty_orders").select(
         "o_orderkey", F.when(F.col("o_totalprice").isNull(), "N/A").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
@@ -196,6 +203,7 @@ CHECKS = {
         csv_missing,
         with_views("SELECT o_orderkey, o_totalprice AS price, CASE WHEN sparse IS NOT NULL THEN 'set' END AS state FROM dirty_orders", "dirty_orders"),
     ),
+    "scan_csv_line_breaks": (csv_line_breaks, "SELECT * FROM documents"),
     "scan_csv_sniffed": (csv(None, "customer"), "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"),
     "write_csv": (csv("\t", "supplier"), "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"),
     "table_row_counts": (

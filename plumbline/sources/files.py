@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.schema import is_boolean, is_datetime, is_integral, is_text, quoted, sql_name
 from ..functions.values import NA_TOKENS, NUMBER_PATTERN, blank_to_null, parse_number, parse_timestamp
+from .records import ends_inside, find_breaks, header, records
 
 # Delimiters that are tried, in this order.
 DELIMITERS = (",", ";", "\t", "|", ":")
 SNIFFED_LINES = 50
+_NULL_CELL = "\ue000null\ue000"
+_QUOTED = re.compile(r'"(?:[^"]|"")*"')
 _WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
 
 
 def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The delimiter that occurs equally often in each of the first lines.
+    """The delimiter that occurs equally often, outside quotes, in each of the first records.
 
     Reads a bounded head of the file; falls back to a comma.
     """
     head = [r.value for r in spark.read.option("encoding", encoding).text(path).limit(SNIFFED_LINES).collect()]
-    lines = [line for line in head if line]
     for sep in DELIMITERS:
-        counts = {line.count(sep) for line in lines}
+        records, inside = [], False
+        for line in head:
+            if inside:
+                records[-1] += "\n" + line
+            elif line.strip():
+                records.append(line)
+            inside = ends_inside(line, inside, sep)[0]
+        whole = records[:-1] if inside else records
+        counts = {_QUOTED.sub("", record).count(sep) for record in whole}
         if len(counts) == 1 and counts != {0}:
             return sep
     return ","
@@ -74,6 +86,20 @@ def infer_types(text: DataFrame, dates: bool = False) -> T.StructType:
     return T.StructType(fields)
 
 
+def _text_cells(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+    """Every cell as text. Files without line breaks in cells go to Spark's reader, others are cut into records first."""
+    # Only a cell without any character is null to the reader; a quoted empty one is empty text.
+    options = {"sep": sep, "escape": '"', "encoding": encoding, "nullValue": _NULL_CELL, "emptyValue": ""}
+    breaks = find_breaks(spark, path, sep, encoding)
+    if not breaks.any:
+        return spark.read.options(header=True, **options).csv(path)
+    found = records(spark, path, breaks, sep, encoding)
+    names = header(found, sep)
+    schema = ", ".join(f"{sql_name(n)} string" for n in names)
+    cells = F.from_csv("record", schema, {**options, "multiLine": "true"})
+    return found.where(~F.col("first")).select(cells.alias("r")).select(*[F.col(f"r.{sql_name(n)}") for n in names])
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -85,12 +111,12 @@ def read_delimited(
 ) -> DataFrame:
     """A table from files with a header; missing-value words become null.
 
-    ``sep=None`` looks for the delimiter.  With a ``schema`` the file is read
-    once; without one a first pass decides the types.
+    ``sep=None`` looks for the delimiter. Quoted cells may hold line breaks: a first pass over the lines with quotes
+    finds those that reach over a line, and no file is read by one task for it. Without a ``schema`` another pass
+    decides the types.
     """
     sep = sep or sniff_delimiter(spark, path, encoding)
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"')
-    text = blank_to_null(reader.option("multiLine", False).csv(path), na_tokens)
+    text = blank_to_null(_text_cells(spark, path, sep, encoding), na_tokens)
     if not text.columns:
         raise ValueError("the file has no columns")
     schema = schema or infer_types(text, dates)
@@ -98,7 +124,8 @@ def read_delimited(
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> str:
-    """Write files with a header, one per partition."""
+    """Write files with a header, one per partition; text keeps its line breaks, quotes and outer spaces."""
     writer = df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
     return path
