@@ -107,6 +107,22 @@ def convert(spark, sf):
     return rounded(c.convert_types(load(spark, sf, "dirty_orders"), TARGETS)[0])
 
 
+def convert_dates(spark, sf):
+    """Order dates written in a dozen ways, day first and month first, read back by the shapes of each column."""
+    d = F.col("o_orderdate")
+    ways = ("yyyy-MM-dd", "yyyy/MM/dd HH:mm", "dd MMM yyyy", "MMMM d, yyyy", "yyyyMMdd", "EEE, d MMM yyyy HH:mm:ss", "d-MMM-yy", "yyyy-MMM-dd")
+    many = F.date_format(d, ways[0])
+    for k, way in enumerate(ways):
+        many = F.when(F.col("o_orderkey") % 10 == k, F.date_format(d, way)).otherwise(many)
+    zoned = F.concat(F.date_format(d - F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-02:00"))
+    many = F.when(F.col("o_orderkey") % 10 == 8, zoned).when(F.col("o_orderkey") % 10 == 9, F.lit("30 Feb 2020")).otherwise(many)
+    rows = load(spark, sf, "orders").select(
+        "o_orderkey", many.alias("many"), F.date_format(d, "d/M/yyyy").alias("day_first"), F.date_format(d, "M/d/yy h:mm a").alias("month_first"),
+        F.date_format(d, "dd.MM.yyyy").alias("points"))
+    names = ("many", "day_first", "month_first", "points")
+    return c.convert_types(rows, dict.fromkeys(names, "datetime"))[0]
+
+
 def convert_log(spark, sf):
     return c.convert_types(load(spark, sf, "dirty_orders"), TARGETS)[1].drop("error")
 
@@ -414,11 +430,19 @@ CHECKS = {
                   CAST(date_text AS TIMESTAMP) AS date_text, round(sparse, 6) AS sparse, CAST(flag AS VARCHAR) AS flag, CAST(constant AS BIGINT) AS constant
                   FROM dirty_orders"""),
     ),
+    "convert_types_dates": (
+        convert_dates,
+        """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders)
+           SELECT o_orderkey, CASE o_orderkey % 10 WHEN 9 THEN NULL WHEN 1 THEN date_trunc('minute', d) WHEN 5 THEN date_trunc('second', d)
+                    WHEN 8 THEN date_trunc('second', d) ELSE date_trunc('day', d) END AS many,
+                  date_trunc('day', d) AS day_first, date_trunc('minute', d) AS month_first, date_trunc('day', d) AS points FROM o""",
+    ),
     "convert_types_log": (
         convert_log,
-        orders("""SELECT * FROM (VALUES ('price_text', 'string', 'float', true), ('mixed_text', 'string', 'float', true), ('date_text', 'string', 'datetime', true),
+        orders("""SELECT v.*, CASE column_name WHEN 'mixed_text' THEN (SELECT count(mixed_text) - count(try_cast(mixed_text AS DOUBLE)) FROM dirty_orders) ELSE 0 END AS lost_values
+                  FROM (VALUES ('price_text', 'string', 'float', true), ('mixed_text', 'string', 'float', true), ('date_text', 'string', 'datetime', true),
                   ('flag', 'int', 'category', true), ('o_custkey', 'bigint', 'string', true), ('constant', 'int', 'int', true)) v(column_name, from_type, to_type, success)
-                  UNION ALL SELECT 'o_totalprice', 'double', 'int', count(*) FILTER (o_totalprice <> floor(o_totalprice)) = 0 FROM dirty_orders"""),
+                  UNION ALL SELECT 'o_totalprice', 'double', 'int', count(*) FILTER (o_totalprice <> floor(o_totalprice)) = 0, 0 FROM dirty_orders"""),
     ),
     "cleaning_summary": (
         summary,

@@ -1,4 +1,4 @@
-"""Scalar expressions on values: number and date text, finite numbers, text keys."""
+"""Scalar expressions on values: number text, finite numbers, text keys."""
 
 from __future__ import annotations
 
@@ -19,11 +19,6 @@ BOOLEAN_WORDS = (
     "yes", "no", "Yes", "No", "YES", "NO",
 )
 
-# Date formats accepted besides ISO 8601, tried in this order.
-TIMESTAMP_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy")
-
-ISO_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?\s*$"
-
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Text up to this many bytes is compared as it is, longer text by its digest.
@@ -39,12 +34,6 @@ def parse_number(c: Column) -> Column:
     return F.when(is_number_text(c), F.trim(c).try_cast("double"))
 
 
-def parse_timestamp(c: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
-    """Text to timestamp without time zone; junk becomes null."""
-    iso = F.when(c.rlike(ISO_PATTERN), F.trim(c).try_cast("timestamp_ntz"))
-    return F.coalesce(iso, *[F.try_to_timestamp(F.trim(c), F.lit(f)).cast("timestamp_ntz") for f in formats])
-
-
 def finite(c: Column, legacy: bool = False) -> Column:
     """NaN and infinities become null, or 0.0 in the legacy form."""
     bad = F.isnan(c) | c.isin(float("inf"), float("-inf"))

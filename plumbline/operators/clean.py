@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.dates import epoch_seconds, parse_timestamp, read_shapes
 from ..functions.names import is_date_name
 from ..functions.schema import (
-    is_datetime, is_numeric, is_text, normalize, numeric_names, quoted,
+    is_datetime, is_nested, is_numeric, is_text, normalize, numeric_names, quoted,
 )
-from ..functions.values import parse_number, parse_timestamp, row_keys
+from ..functions.values import parse_number, row_keys
 from ..plans.materialize import materialize
 from ..plans.ordered import POSITION, OrderedRows, carry, ordered
 from ..plans.profile import iqr_bounds, outside
@@ -88,6 +89,8 @@ def drop_duplicates(
 def fill_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     df = normalize(df)
     names = columns or numeric_names(df)
+    if not names:
+        return df
     row = df.agg(*[F.avg(quoted(c)).cast("double") for c in names]).first()
     return _replace(df, {c: F.coalesce(quoted(c), F.lit(row[i])) for i, c in enumerate(names)})
 
@@ -100,7 +103,7 @@ def fill_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """Most frequent value per column, the smallest of equals, as text."""
+    """Most frequent value per column, the smallest of equals, as text; null for nested columns."""
     parts = [
         df.where(quoted(c).isNotNull())
         .groupBy(quoted(c).alias("v"))
@@ -109,8 +112,9 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
         .limit(1)
         .select(F.lit(c).alias("name"), F.col("v").cast("string").alias("value"))
         for c in columns
+        if not is_nested(df.schema[c].dataType)
     ]
-    found = {r.name: r.value for r in union_all(parts).collect()}
+    found = {r.name: r.value for r in union_all(parts).collect()} if parts else {}
     return {c: found.get(c) for c in columns}
 
 
@@ -257,6 +261,8 @@ def standardize(df: DataFrame, method: str = "zscore", columns: list[str] | None
     df = normalize(df)
     names = columns or numeric_names(df)
     value = lambda c: quoted(c).cast("double")
+    if not names:
+        return df
     if method == "zscore":
         new = {c: (value(c) - p[0]) / p[1] for c, p in zscore_limits(df, names).items() if p}
     elif method == "minmax":
@@ -274,56 +280,52 @@ def standardize(df: DataFrame, method: str = "zscore", columns: list[str] | None
 def convert_types(df: DataFrame, targets: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """Convert columns; returns the table and one log row per column.
 
-    A column with a fractional number does not become ``int`` and stays as it
-    is; text that does not parse becomes null.
+    A column with a fractional number does not become ``int`` and stays as it is; text that does not parse becomes null,
+    and ``lost_values`` counts what was there before and is not after. Dates are read as the column's shapes tell.
     """
     df = normalize(df)
     targets = {c: t for c, t in targets.items() if c in df.columns}
     number = {
         c: parse_number(quoted(c)) if is_text(df.schema[c].dataType) else quoted(c).try_cast("double") for c in targets
     }
-    whole = [c for c, t in targets.items() if t == "int"]
-    fractions = {}
-    if whole:
-        row = df.agg(*[F.count_if(number[c] != F.floor(number[c])) for c in whole]).first()
-        fractions = {c: row[i] for i, c in enumerate(whole)}
-    new, log = {}, []
+    readings = read_shapes(df, [c for c, t in targets.items() if t == "datetime" and not is_datetime(df.schema[c].dataType)])
+    new = {}
     for c, target in targets.items():
-        dt, problem = df.schema[c].dataType, None
-        if target == "int" and fractions[c]:
-            problem = f"{fractions[c]} values are not whole numbers"
-        elif target == "int":
+        if target == "int":
             new[c] = number[c].try_cast("long")
         elif target == "float":
             new[c] = number[c]
         elif target in ("string", "category"):
             new[c] = quoted(c).cast("string")
         elif target == "datetime":
-            new[c] = quoted(c) if is_datetime(dt) else parse_timestamp(quoted(c).cast("string"))
-        else:
-            problem = f"unknown type {target}"
-        log.append((c, dt.simpleString(), target, problem is None, problem))
-    schema = "column_name string, from_type string, to_type string, success boolean, error string"
+            new[c] = parse_timestamp(quoted(c).cast("string"), readings[c]) if c in readings else quoted(c)
+    fraction = lambda c: F.count_if(number[c] != F.floor(number[c])) if targets[c] == "int" else F.lit(0)
+    lost = lambda c: F.count_if(quoted(c).isNotNull() & new[c].isNull())
+    facts = [f(c) for c in new for f in (fraction, lost)]
+    row = df.agg(F.count(F.lit(1)), *facts).first()[1:] if facts else ()
+    counts = dict(zip(new, zip(row[::2], row[1::2])))
+    log = []
+    for c, target in targets.items():
+        problem = None if c in new else f"unknown type {target}"
+        if c in new and counts[c][0]:
+            problem = f"{counts[c][0]} values are not whole numbers"
+            del new[c]
+        gone = counts[c][1] if c in new else 0
+        log.append((c, df.schema[c].dataType.simpleString(), target, problem is None, gone, problem))
+    schema = "column_name string, from_type string, to_type string, success boolean, lost_values bigint, error string"
     return _replace(df, new), df.sparkSession.createDataFrame(log, schema)
 
 
 def clean_frame(df: DataFrame, null_threshold: float = 0.5) -> DataFrame:
-    """Drop sparse columns and copies, read dates, add their epoch seconds."""
+    """Drop sparse columns and copies, read dates, add their epoch seconds (of wall-clock times as if UTC)."""
     df = drop_sparse_columns(normalize(df), null_threshold).dropDuplicates()
-    candidates = [
-        f.name for f in df.schema if is_text(f.dataType) and is_date_name(f.name)
-    ]
+    candidates = [f.name for f in df.schema if is_text(f.dataType) and is_date_name(f.name)]
     if candidates:
-        row = df.agg(
-            F.count(F.lit(1)), *[F.count(parse_timestamp(quoted(c))) for c in candidates]
-        ).first()
-        dates = [c for i, c in enumerate(candidates) if row[i + 1] > row[0] * 0.5]
-        df = _replace(df, {c: parse_timestamp(quoted(c)) for c in dates})
-    seconds = [
-        F.unix_seconds(quoted(f.name).cast("timestamp")).alias(f"{f.name}_timestamp")
-        for f in df.schema
-        if is_datetime(f.dataType)
-    ]
+        readings = read_shapes(df, candidates)
+        read = {c: parse_timestamp(quoted(c), readings[c]) for c in candidates}
+        row = df.agg(F.count(F.lit(1)), *[F.count(read[c]) for c in candidates]).first()
+        df = _replace(df, {c: read[c] for i, c in enumerate(candidates) if row[i + 1] > row[0] * 0.5})
+    seconds = [epoch_seconds(quoted(f.name), f.dataType).alias(f"{f.name}_timestamp") for f in df.schema if is_datetime(f.dataType)]
     return df.select("*", *seconds)
 
 

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.dates import epoch_micros
 from ..functions.schema import normalize, quoted
 from ..functions.values import correlation
 from ..plans.ordered import BUCKET, POSITION, OrderedRows, carry, ordered, slide
@@ -163,7 +164,8 @@ def trend(df: DataFrame, order_by: list[str], column: str, **sizes) -> DataFrame
 def _steps(df: DataFrame, time: str, keys: list[str] | None, **sizes) -> DataFrame:
     rows = ordered(df.select(*[quoted(c) for c in dict.fromkeys([*(keys or []), time])]).distinct(), [time], keys, **sizes)
     after = lambda w: F.lead(quoted(time)).over(w)
-    step = F.unix_micros(F.col("_next").cast("timestamp")) - F.unix_micros(quoted(time).cast("timestamp"))
+    kind = df.schema[time].dataType
+    step = epoch_micros(F.col("_next"), kind) - epoch_micros(quoted(time), kind)
     return slide(rows, {"_next": after}, ahead=1).rows().withColumn("_step", step)
 
 

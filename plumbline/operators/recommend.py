@@ -9,7 +9,8 @@ from ..functions.schema import (
     datetime_names, is_boolean, is_datetime, is_integral, is_numeric, is_text, normalize, numeric_names,
     quoted, text_names, type_class,
 )
-from ..functions.values import BOOLEAN_WORDS, correlation, is_number_text, parse_timestamp
+from ..functions.dates import epoch_micros, parse_timestamp, read_shapes
+from ..functions.values import BOOLEAN_WORDS, correlation, is_number_text
 from ..plans.ordered import ordered, slide
 from ..plans.profile import column_profile, measured, row_repeats
 from .rows import sample_values
@@ -98,10 +99,13 @@ def type_conversion_suggestions(df: DataFrame, category_below: float = 0.05) ->
     """Text columns that hold numbers, dates, or few enough values for a category."""
     df = normalize(df)
     names = text_names(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, current string, suggested string, reason string")
+    readings = read_shapes(df, names)
     tests = df.agg(
         *[F.bool_and(is_number_text(quoted(c))).alias(f"n{i}") for i, c in enumerate(names)],
         *[
-            F.count_if(quoted(c).isNotNull() & parse_timestamp(quoted(c)).isNull()).alias(f"t{i}")
+            F.count_if(quoted(c).isNotNull() & parse_timestamp(quoted(c), readings[c]).isNull()).alias(f"t{i}")
             for i, c in enumerate(names)
         ],
     ).select(
@@ -228,7 +232,7 @@ def date_columns_by_variance(df: DataFrame, order_by: list[str], **sizes) -> Dat
     names = datetime_names(df)
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, variance double, chosen boolean")
-    seconds = lambda c: F.unix_micros(quoted(c).cast("timestamp")) / 1e6
+    seconds = lambda c: epoch_micros(quoted(c), df.schema[c].dataType) / 1e6
     rows = ordered(df.select(*dict.fromkeys([*order_by, *names])), order_by, **sizes)
     steps = slide(rows, {f"_d{i}": lambda w, c=c: seconds(c) - F.lag(seconds(c)).over(w) for i, c in enumerate(names)}, back=1)
     found = steps.df.agg(*[F.var_samp(f"_d{i}").alias(f"v{i}") for i in range(len(names))])

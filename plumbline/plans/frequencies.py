@@ -43,7 +43,10 @@ def _fixed(field: T.StructField) -> tuple[str, str] | None:
     if isinstance(dt, T.TimestampType):
         return f"unix_micros({name})", "NULL"
     if is_datetime(dt):
-        return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({name} AS timestamp_ntz))", "NULL"
+        if isinstance(dt, T.DateType):
+            return f"unix_date({name})", "NULL"
+        minutes = f"(unix_date(CAST({name} AS date)) * 24L + hour({name})) * 60 + minute({name})"  # in no zone
+        return f"({minutes}) * 60000000 + CAST(extract(SECOND FROM {name}) * 1000000 AS bigint)", "NULL"
     return None
 
 

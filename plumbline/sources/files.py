@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.schema import is_boolean, is_datetime, is_integral, is_text, quoted, sql_name
-from ..functions.values import NA_TOKENS, NUMBER_PATTERN, blank_to_null, parse_number, parse_timestamp
+from ..functions.dates import Reading, parse_timestamp, read_shapes
+from ..functions.values import NA_TOKENS, NUMBER_PATTERN, blank_to_null, parse_number
 from .records import ends_inside, find_breaks, header, records
 
 # Delimiters that are tried, in this order.
@@ -39,11 +40,13 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     return ","
 
 
-def _typed(c: Column, dt: T.DataType) -> Column:
+def _typed(c: Column, dt: T.DataType, reading: Reading) -> Column:
     if is_text(dt):
         return c
+    if isinstance(dt, T.TimestampNTZType):
+        return parse_timestamp(c, reading)
     if is_datetime(dt):
-        return F.coalesce(F.trim(c).try_cast(dt), parse_timestamp(c).cast(dt))
+        return F.coalesce(F.trim(c).try_cast(dt), parse_timestamp(c, reading).cast(dt))
     if is_boolean(dt):
         return F.trim(c).try_cast("boolean")
     return F.trim(c).try_cast(dt) if is_integral(dt) else parse_number(c).try_cast(dt)
@@ -119,8 +122,12 @@ def read_delimited(
     text = blank_to_null(_text_cells(spark, path, sep, encoding), na_tokens)
     if not text.columns:
         raise ValueError("the file has no columns")
-    schema = schema or infer_types(text, dates)
-    return text.select(*[_typed(quoted(f.name), f.dataType).alias(f.name) for f in schema])
+    readings = {}
+    if schema is None:
+        schema = infer_types(text, dates)
+        # Which of day and month stands first is told by the column's own values.
+        readings = read_shapes(text, [f.name for f in schema if is_datetime(f.dataType)])
+    return text.select(*[_typed(quoted(f.name), f.dataType, readings.get(f.name, Reading())).alias(f.name) for f in schema])
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "error") -> str:

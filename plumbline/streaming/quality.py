@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.dates import epoch_micros
 from ..functions.schema import is_datetime, normalize, quoted
 
 
 def with_event_time(df: DataFrame, time: str, delay: str) -> DataFrame:
-    """Watermark on ``time``; a timestamp without zone is read as UTC session time."""
+    """Watermark on ``time``; a timestamp without zone is read as UTC, whatever the session's zone."""
     if not is_datetime(df.schema[time].dataType):
         raise ValueError(f"{time} is not a time column")
-    return normalize(df).withColumn(time, quoted(time).cast("timestamp")).withWatermark(time, delay)
+    return normalize(df).withColumn(time, F.timestamp_micros(epoch_micros(quoted(time), df.schema[time].dataType))).withWatermark(time, delay)
 
 
 def _facts(columns: list[str]) -> list[Column]:

@@ -5,7 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.values import json_safe, parse_number, parse_timestamp
+from plumbline.functions.dates import parse_timestamp
+from plumbline.functions.values import json_safe, parse_number
 from plumbline.operators import anomaly, clean, detail, quality, recommend, rows, series
 from plumbline.sources import files, jdbc
 from plumbline.plans.materialize import fresh_path
