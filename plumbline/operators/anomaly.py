@@ -11,6 +11,7 @@ from ..functions.schema import normalize, numeric_names, quoted
 from ..plans.materialize import materialize
 from ..plans.ordered import POSITION, ordered
 from . import series as s
+from .keyed import detect_by_key
 from .quality import each_table
 
 DEFAULT_THRESHOLD = 2.0
@@ -40,6 +41,7 @@ def detect(
     columns: list[str] | None = None,
     threshold: float = DEFAULT_THRESHOLD,
     max_components: int = s.MAX_COMPONENTS,
+    lags: int | None = None,
     **sizes,
 ) -> Detection:
     """Flag rows whose step is unlike the series: fill, scale, components,
@@ -68,7 +70,7 @@ def detect(
     scores = {f"_{k}": c for k, c in s.component_scores(list(work), limits, fitted).items()}
     parts = list(scores)
     projected = stored.with_df(stored.df.withColumns(scores).drop(*work))
-    moving = [c for c in parts if not s.unit_root_test(projected, c, rows.largest).stationary]
+    moving = [c for c in parts if not s.unit_root_test(projected, c, rows.largest, lags).stationary]
     if moving:
         if rows.largest - 1 < MIN_ROWS_AFTER_DIFFERENCING:
             return _nothing(df, "too few rows after differencing", names)
@@ -88,7 +90,10 @@ def detect(
     return Detection(flagged, "ok", names, fitted.ratios, [c.lstrip("_") for c in moving])
 
 
-def detect_anomalies(df: DataFrame, order_by: list[str], **options) -> DataFrame:
+def detect_anomalies(df: DataFrame, order_by: list[str], keys: list[str] | None = None, **options) -> DataFrame:
+    """Rows with ``score`` and ``anomaly``; with ``keys`` every key is a series and has a model of its own."""
+    if keys:
+        return detect_by_key(df, order_by, keys, **options).drop("status")
     return detect(df, order_by, **options).rows
 
 

@@ -303,13 +303,19 @@ def with_previous(rows: OrderedRows, columns: list[str]) -> OrderedRows:
 def fit_var1(lagged: DataFrame, columns: list[str]) -> np.ndarray | None:
     """Least-squares ``y(t) = a + B y(t-1)``; rows of (a, B), null if unsolvable.
 
-    Expects ``_l_<column>`` beside each column.  All products are summed in one
-    aggregation; the driver solves one system of k + 1 unknowns.
+    Expects ``_l_<column>`` beside each column.  A first aggregation tells the
+    means, a second sums all products of what is left without them, so that a
+    level far from zero costs no digits; the driver solves one system of k + 1
+    unknowns.
     """
     k = len(columns)
-    x = [F.lit(1.0)] + [F.col(f"`_l_{c}`") for c in columns]
-    y = [value(c) for c in columns]
     complete = lagged.dropna(subset=[*columns, *[f"_l_{c}" for c in columns]])
+    means = complete.agg(*[F.avg(c) for c in [*[value(c) for c in columns], *[F.col(f"`_l_{c}`") for c in columns]]]).first()
+    if means[0] is None:
+        return None
+    level, level_before = np.array(means[:k]), np.array(means[k:])
+    x = [F.lit(1.0)] + [F.col(f"`_l_{c}`") - float(level_before[i]) for i, c in enumerate(columns)]
+    y = [value(c) - float(level[i]) for i, c in enumerate(columns)]
     left = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     right = [(i, j) for i in range(k + 1) for j in range(k)]
     row = complete.agg(*[F.sum(x[i] * x[j]) for i, j in left], *[F.sum(x[i] * y[j]) for i, j in right]).first()
@@ -321,9 +327,11 @@ def fit_var1(lagged: DataFrame, columns: list[str]) -> np.ndarray | None:
     for n, (i, j) in enumerate(right):
         target[i, j] = row[len(left) + n]
     try:
-        return np.linalg.solve(normal, target).T
+        found = np.linalg.solve(normal, target).T
     except np.linalg.LinAlgError:
-        return np.linalg.lstsq(normal, target, rcond=None)[0].T
+        found = np.linalg.lstsq(normal, target, rcond=None)[0].T
+    found[:, 0] += level - found[:, 1:] @ level_before
+    return found
 
 
 def residuals(columns: list[str], coefficients: np.ndarray) -> dict[str, Column]:
