@@ -93,12 +93,13 @@ AT = "TIMESTAMP_NTZ '2024-01-31 12:00:00'"
 
 
 def _summaries(spark, sf):
-    parts = [a.anomaly_summary(df, t, 1) for t, df in (
-        ("orders", cs.flagged(spark, sf)), ("nation", cs._events_flagged(spark, sf)))]
-    return union(parts)
+    """Detection on the tables of the risk report; those that are no series have no row."""
+    return cs.summaries(spark, sf).where("error IS NULL")
 
 
-RISK_TABLES = ("orders", "nation", "customer")
+RISK_TABLES = ("order_series", "price_series", "customer")
+SERIES = ("order_series", "price_series")
+_VIEWS = ("daily_orders", *SERIES)
 
 
 def risk_report(spark, sf):
@@ -106,8 +107,7 @@ def risk_report(spark, sf):
     return got
 
 
-_ANOM = f"""{cs.BOTH.strip()}, an AS (SELECT 'orders' AS table_name, count(*) AS n, count(*) FILTER (score > 2) AS a FROM sc
-            UNION ALL SELECT 'nation', count(*), count(*) FILTER (score > 2) FROM esc)"""
+_ANOM = cs.TABLES.strip()
 _R2 = ", ".join(f"round({x}, 2) AS {x}" for x in d.DETAIL_DIMENSIONS)
 _SUM = " + ".join(d.DETAIL_DIMENSIONS)
 _RISK = "CASE WHEN {q} >= 80 THEN 'Low' WHEN {q} >= 60 THEN 'Medium' ELSE 'High' END"
@@ -128,19 +128,19 @@ def _risk_sql() -> str:
         SELECT *, round(q0, 2) AS overall_quality, {_RISK.format(q='q0')} AS risk_level, round(greatest(0e0, 1e2 - q0), 2) AS risk_percentage FROM t)
       UNION ALL SELECT 'OVERALL SUMMARY', 'database', 'parquet', k || ' tables', {', '.join(d.DETAIL_DIMENSIONS)}, round(q0, 2), {_RISK.format(q='q0')},
              round(greatest(0e0, 1e2 - q0), 2), sample_size, total_records, anomalies_detected, coalesce(round(1e2 * anomalies_detected / total_records, 2), 0e0),
-             TIMESTAMP '2024-01-31 12:00:00' FROM u""", "daily_orders", "daily_events")
+             TIMESTAMP '2024-01-31 12:00:00' FROM u""", *_VIEWS)
 
 
 def report_summary(spark, sf):
-    rollup = a.anomaly_rollup(_summaries(spark, sf).withColumn("error", F.lit(None).cast("string")))
-    got = p.report_summary(cd.metrics(spark, sf, ("dirty_orders", "dirty_customer")), rollup)
+    rollup = a.anomaly_rollup(_summaries(spark, sf))
+    got = p.report_summary(cd.metrics(spark, sf, SERIES), rollup)
     return rounded(got.withColumn("advice", F.array_join("advice", " | ")), 5)
 
 
 def _summary_sql() -> str:
     advice = p.SUMMARY_ADVICE
     return with_views(f"""
-      WITH {_ANOM}, {cd.detail_sql('dirty_orders', 'dirty_customer')},
+      WITH {_ANOM}, {cd.detail_sql(*SERIES)},
       mt AS (SELECT count(*) AS tables_analyzed, {', '.join(f'avg({x}) AS {x}' for x in d.DETAIL_DIMENSIONS)} FROM dtabs),
       rt AS (SELECT CAST(sum(a) AS BIGINT) AS total_anomalies, CAST(sum(n) AS BIGINT) AS total_records, 1e2 * sum(a) / sum(n) AS rate FROM an),
       bt AS (SELECT *, round(({_SUM}) / 5) AS overall_quality FROM mt, rt)
@@ -148,7 +148,7 @@ def _summary_sql() -> str:
              CASE WHEN rate = 0 THEN 'low' WHEN rate < 5 THEN 'medium' ELSE 'high' END AS risk_level,
              concat_ws(' | ', CASE WHEN overall_quality < 70 THEN '{advice['quality']}' END, CASE WHEN total_anomalies > 0 THEN '{advice['anomalies']}' END,
                        CASE WHEN completeness < 90 THEN '{advice['completeness']}' END, CASE WHEN uniqueness < 95 THEN '{advice['uniqueness']}' END) AS advice
-      FROM bt""", "dirty_orders", "dirty_customer", "daily_orders", "daily_events")
+      FROM bt""", *_VIEWS)
 
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"

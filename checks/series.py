@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import anomaly as a
+from plumbline.operators import keyed as k
 from plumbline.operators import rows as r
 from plumbline.operators import series as s
 
@@ -135,14 +136,74 @@ def _events_flagged(spark, sf):
     return s.var1_residual_anomalies(daily_events, ["d"], ["sum_value"])
 
 
+def summaries(spark, sf):
+    """Detection on all tables: text days and copies, several measures, one that is no series, one that is not there."""
+    return a.summarize_tables(spark, {
+        "order_series": (lambda: load(spark, sf, "order_series"), ["order_date"]),
+        "price_series": (load(spark, sf, "price_series"), ["d"]),
+        "region": (load(spark, sf, "region"), ["r_regionkey"]),
+        "absent_table": (lambda: spark.read.parquet(f"{sf}/absent_table.parquet"), ["x"]),
+    })
+
+
+def table_anomalies(spark, sf):
+    got = summaries(spark, sf).drop("component_shares", "threshold", "model_type")
+    return rounded(got.withColumn("columns_analyzed", F.array_join("columns_analyzed", ",")).withColumn("differenced", F.array_join("differenced", ",")), 5)
+
+
 def rollup(spark, sf):
-    parts = [
-        a.anomaly_summary(df, t, 1).select("table_name", "total_observations", "anomalies_detected", F.lit(None).cast("string").alias("error"))
-        for t, df in (("daily_orders", flagged(spark, sf)), ("daily_events", _events_flagged(spark, sf)))
-    ]
-    parts.append(spark.range(1).select(F.lit("region").alias("table_name"), F.lit(None).cast("long").alias("total_observations"),
-                                       F.lit(None).cast("long").alias("anomalies_detected"), F.lit("ValueError").alias("error")))
-    return rounded(a.anomaly_rollup(union(parts)), 5)
+    return rounded(a.anomaly_rollup(summaries(spark, sf)), 5)
+
+
+def run_text(spark, sf):
+    """A run on days written as text, with copies; every row is flagged."""
+    return rounded(a.run_anomalies(load(spark, sf, "order_series"), ["order_date"]), 5)
+
+
+def detect_pair(spark, sf):
+    return rounded(a.detect_anomalies(orders(spark, sf), ["d"], columns=["n_orders", "total_price"]).select("d", "score", "anomaly"), 5)
+
+
+def var_fit_keys(spark, sf):
+    return rounded(k.coefficients_by_key(load(spark, sf, "dirty_events"), ["ts", "event_id"], ["user_id"], "value"), 5)
+
+
+def detect_keys(spark, sf):
+    """One model per user, over the values of all users at once."""
+    got = k.detect_by_key(load(spark, sf, "dirty_events"), ["ts", "event_id"], ["user_id"], ["value"], difference=False)
+    return rounded(got.select("event_id", "user_id", "score", "anomaly", "status"), 5)
+
+
+def detect_keys_differenced(spark, sf):
+    return a.detect_anomalies(load(spark, sf, "dirty_events"), ["ts", "event_id"], keys=["user_id"], columns=["value"])
+
+
+def pair_sql(p: str, c1: str, c2: str, view: str = "daily_orders") -> str:
+    """Scores of two measures: components are their sum and difference, each regressed on both the day before."""
+    det = "(sxx * syy - sxy * sxy)"
+    beta = lambda v: f"(s{v}x * syy - s{v}y * sxy) / {det} AS {v}1, (s{v}y * sxx - s{v}x * sxy) / {det} AS {v}2"
+    return f"""
+  {p}z AS (SELECT d, ({c1} - avg({c1}) OVER ()) / stddev_pop({c1}) OVER () AS u, ({c2} - avg({c2}) OVER ()) / stddev_pop({c2}) OVER () AS w FROM {view}),
+  {p}l AS (SELECT d, (u + w) / sqrt(2) AS a, (u - w) / sqrt(2) AS b, lag((u + w) / sqrt(2)) OVER (ORDER BY d) AS x, lag((u - w) / sqrt(2)) OVER (ORDER BY d) AS y FROM {p}z),
+  {p}c AS (SELECT var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy, covar_pop(a, x) AS sax, covar_pop(a, y) AS say, covar_pop(b, x) AS sbx,
+                  covar_pop(b, y) AS sby FROM {p}l WHERE x IS NOT NULL),
+  {p}k AS (SELECT {beta('a')}, {beta('b')} FROM {p}c),
+  {p}r AS (SELECT d, a - a1 * x - a2 * y AS ra, b - b1 * x - b2 * y AS rb FROM {p}l, {p}k),
+  {p}s AS (SELECT d, greatest(abs((ra - avg(ra) OVER ()) / stddev_samp(ra) OVER ()), abs((rb - avg(rb) OVER ()) / stddev_samp(rb) OVER ())) AS score FROM {p}r)"""
+
+
+ORDERS_PAIR, PRICES_PAIR = pair_sql("ord_", "n_orders", "total_price"), pair_sql("prc_", "total_price", "avg_price")
+#: Rows, anomalies and largest score of the two tables that are series; copied days count twice.
+TABLES = f"""{ORDERS_PAIR}, {PRICES_PAIR},
+  oc AS (SELECT score, CASE WHEN day(d) % 7 = 0 THEN 2 ELSE 1 END AS n FROM ord_s),
+  an AS (SELECT 'order_series' AS table_name, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (score > 2), 0)::BIGINT AS a, max(score) AS top FROM oc
+         UNION ALL SELECT 'price_series', count(*), count(*) FILTER (score > 2), max(score) FROM prc_s)"""
+KEYED = f"""{IMPUTE.format(part='PARTITION BY user_id ')},
+  v AS (SELECT user_id, count(*) AS n, count(value) * 2 > count(*) AND stddev_samp(value) > 1e-6 AS ok FROM dirty_events GROUP BY user_id),
+  z AS (SELECT f.*, v.n, v.ok, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS y FROM filled f JOIN v USING (user_id) WINDOW w AS (PARTITION BY user_id)),
+  l AS (SELECT *, lag(y) OVER (PARTITION BY user_id ORDER BY i) AS x FROM z),
+  c AS (SELECT user_id, any_value(n) AS n, any_value(ok) AS ok, regr_slope(y, x) AS slope, regr_intercept(y, x) AS constant FROM l GROUP BY user_id),
+  st AS (SELECT *, CASE WHEN n < 10 THEN 'too few rows' WHEN ok THEN 'ok' ELSE 'no valid column' END AS status FROM c)"""
 
 
 def rollup_legacy(spark, sf):
@@ -222,7 +283,36 @@ CHECKS = {
     ),
     "detect_anomalies": (detect, None),
     "detect_anomalies_events": (detect_events, None),
+    "detect_anomalies_pair": (
+        detect_pair, daily(f"WITH {ORDERS_PAIR.strip()} SELECT d, round(score, 5) AS score, coalesce(score > 2, false) AS anomaly FROM ord_s")
+    ),
+    "detect_anomalies_keys": (
+        detect_keys,
+        with_views(f"""WITH {KEYED.strip()}, r AS (SELECT l.*, st.status, y - constant - slope * x AS r FROM l JOIN st USING (user_id)),
+          sc AS (SELECT event_id, user_id, status, CASE WHEN status = 'ok' THEN abs((r - avg(r) OVER w) / stddev_samp(r) OVER w) END AS score FROM r WINDOW w AS (PARTITION BY user_id))
+          SELECT event_id, user_id, round(score, 5) AS score, coalesce(score > 2, false) AS anomaly, status FROM sc""", "dirty_events"),
+    ),
+    "detect_anomalies_keys_differenced": (detect_keys_differenced, None),
+    "var1_fit_keys": (
+        var_fit_keys,
+        with_views(f"""WITH {KEYED.strip()} SELECT user_id, n AS rows, CASE WHEN status = 'ok' THEN round(constant, 5) END AS constant,
+                       CASE WHEN status = 'ok' THEN round(slope, 5) END AS slope, status FROM st""", "dirty_events"),
+    ),
     "run_anomalies": (run, None),
+    "run_anomalies_text": (
+        run_text,
+        daily(f"""WITH {ORDERS_PAIR.strip()} SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS order_date, n_orders, round(total_price, 5) AS total_price, round(score, 5) AS score,
+                  coalesce(score > 2, false) AS anomaly_varima, 'ok' AS status FROM ord_s JOIN daily_orders USING (d), range(2) t(copy) WHERE copy = 0 OR day(d) % 7 = 0"""),
+    ),
+    "anomaly_tables": (
+        table_anomalies,
+        daily(f"""WITH {TABLES.strip()}
+          SELECT table_name, n AS total_observations, 2 AS numeric_columns, a AS anomalies_detected, round(1e2 * a / n, 5) AS anomaly_percentage,
+                 round(top, 5) AS max_score, CASE table_name WHEN 'order_series' THEN 'n_orders,total_price' ELSE 'total_price,avg_price' END AS columns_analyzed,
+                 '' AS differenced, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM an
+          UNION ALL SELECT 'region', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'fewer than two numeric columns', 'NoSeries'
+          UNION ALL SELECT 'absent_table', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'failed', 'AnalysisException'"""),
+    ),
     "anomaly_summary": (
         summary,
         daily(f"""WITH {VAR1.strip()}, {SCORES} SELECT 'daily_orders' AS table_name, count(*) AS total_observations, 1 AS numeric_columns,
@@ -242,11 +332,10 @@ CHECKS = {
     ),
     "anomaly_rollup": (
         rollup,
-        with_views(f"""WITH {BOTH.strip()},
-          t AS (SELECT count(*) AS n, count(*) FILTER (score > 2) AS a FROM sc UNION ALL SELECT count(*), count(*) FILTER (score > 2) FROM esc)
+        daily(f"""WITH {TABLES.strip()}
           SELECT round(1e2 * sum(a) / sum(n), 5) AS anomaly_rate, CASE WHEN sum(a) = 0 THEN 'low' WHEN 1e2 * sum(a) / sum(n) < 5 THEN 'medium' ELSE 'high' END AS risk_level,
-                 CAST(sum(a) AS BIGINT) AS total_anomalies, CAST(sum(n) AS BIGINT) AS total_records, count(*) + 1 AS tables_analyzed, CAST(1 AS BIGINT) AS tables_failed,
-                 count(*) FILTER (a > 0) AS tables_with_anomalies FROM t""", "daily_orders", "daily_events"),
+                 CAST(sum(a) AS BIGINT) AS total_anomalies, CAST(sum(n) AS BIGINT) AS total_records, count(*) + 2 AS tables_analyzed, CAST(2 AS BIGINT) AS tables_failed,
+                 count(*) FILTER (a > 0) AS tables_with_anomalies FROM an"""),
     ),
     "anomaly_rollup_legacy": (
         rollup_legacy,

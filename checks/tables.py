@@ -66,6 +66,8 @@ COLUMNS = {
     "daily_orders": [
         ("d", "timestamp_ntz"), ("n_orders", "bigint"), ("total_price", "double"), ("avg_price", "double"),
     ],
+    "order_series": [("order_date", "string"), ("n_orders", "bigint"), ("total_price", "double")],
+    "price_series": [("d", "timestamp_ntz"), ("total_price", "double"), ("avg_price", "double")],
     "daily_events": [
         ("d", "timestamp_ntz"), ("n_events", "bigint"), ("sum_value", "double"), ("n_users", "bigint"),
     ],
@@ -132,6 +134,15 @@ VIEWS = {
         FROM g
         """,
     ),
+    # Days as text, and every row of one day in seven twice.
+    "order_series": (
+        "daily_orders",
+        """
+        SELECT CAST(CAST(d AS date) AS string) AS order_date, n_orders, total_price FROM {src}
+        UNION ALL SELECT CAST(CAST(d AS date) AS string), n_orders, total_price FROM {src} WHERE day(d) % 7 = 0
+        """,
+    ),
+    "price_series": ("daily_orders", "SELECT d, total_price, avg_price FROM {src}"),
     "daily_events": (
         "events",
         """

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +11,7 @@ from ..functions.schema import normalize, numeric_names, quoted
 from ..plans.materialize import materialize
 from ..plans.ordered import POSITION, ordered
 from . import series as s
+from .clean import clean_frame
 from .keyed import detect_by_key
 from .quality import each_table
 
@@ -97,22 +98,45 @@ def detect_anomalies(df: DataFrame, order_by: list[str], keys: list[str] | None
     return detect(df, order_by, **options).rows
 
 
+def run_detection(
+    df: DataFrame, order_by: list[str], columns: list[str] | None = None, time: str | None = None, id_rule: str = "strict", **options
+) -> Detection:
+    """Prepare a table as a series and detect: all rows of ``df`` with ``score`` and ``anomaly``, and how they came about.
+
+    Preparation drops sparse columns and copies, reads dates from text, takes the time column (of several the one whose
+    steps vary most) and sorts by it and ``order_by``; rows without a time are no part of the series. Copies share the
+    flag of the row that stayed. A table that is no series keeps its rows without scores, and ``status`` says why;
+    other errors are raised.
+    """
+    df = normalize(df)
+    order = [f"_order{i}" for i in range(len(order_by))]
+    marked = df.withColumns({o: quoted(c) for o, c in zip(order, order_by)})
+    cleaned = materialize(clean_frame(marked), "cleaned")
+    try:
+        missing = [o for o in order if o not in cleaned.columns]
+        if missing:
+            raise s.NoSeries("the order has too many missing values")
+        names = columns if columns is not None else s.series_columns(cleaned.drop(*order), id_rule)
+        if not names:
+            raise s.NoSeries("no numeric column for a series")
+        axis = time or s.time_axis(cleaned, order)
+    except s.NoSeries as problem:
+        return _nothing(df, str(problem))
+    timed = cleaned.where(quoted(axis).isNotNull()).select(*order, quoted(axis), *[quoted(c) for c in names if c != axis])
+    found = detect(timed, [axis, *order], columns=names, **options)
+    # As many rows as distinct orders; rows of one order are copies of each other.
+    flags = found.rows.groupBy(*[F.col(o).alias(f"_f{o}") for o in order]).agg(F.max("score").alias("score"), F.max("anomaly").alias("_a"))
+    same = F.lit(True)
+    for o, c in zip(order, order_by):
+        same = same & F.col(f"_f{o}").eqNullSafe(quoted(c))
+    rows = df.join(flags, same, "left").select(*[quoted(c) for c in df.columns], "score", F.coalesce("_a", F.lit(False)).alias("anomaly"))
+    return replace(found, rows=rows)
+
+
 def run_anomalies(df: DataFrame, order_by: list[str], **options) -> DataFrame:
     """Clean and detect; ``anomaly_varima`` per row and the reason in ``status``."""
-    try:
-        from .clean import drop_sparse_columns
-
-        dense = drop_sparse_columns(normalize(df), 0.5)
-        if not s.datetime_names(dense):
-            raise ValueError("no date column for a series")
-        measures = [c for c in s.series_columns(dense)]
-        found = detect(df, order_by, columns=measures, **options)
-        return found.rows.withColumnRenamed("anomaly", "anomaly_varima").withColumn("status", F.lit(found.status))
-    except ValueError as problem:
-        return normalize(df).select(
-            "*", F.lit(None).cast("double").alias("score"), F.lit(False).alias("anomaly_varima"),
-            F.lit(str(problem)).alias("status"),
-        )
+    found = run_detection(df, order_by, **options)
+    return found.rows.withColumnRenamed("anomaly", "anomaly_varima").withColumn("status", F.lit(found.status))
 
 
 def anomaly_summary(flagged: DataFrame, table_name: str, columns: int, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -127,6 +151,15 @@ def anomaly_summary(flagged: DataFrame, table_name: str, columns: int, threshold
     )
 
 
+def detection_summary(found: Detection, table_name: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """``anomaly_summary`` of a run, with what it used: columns, shares of the components, which were differenced."""
+    list_of = lambda values, kind: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+    return anomaly_summary(found.rows, table_name, len(found.columns), threshold).select(
+        "*", list_of(found.columns, "string").alias("columns_analyzed"), list_of(found.ratios, "double").alias("component_shares"),
+        list_of(found.differenced, "string").alias("differenced"), F.lit(found.status).alias("status"),
+    )
+
+
 def anomaly_keys(flagged: DataFrame, keys: list[str]) -> DataFrame:
     """The flagged rows themselves, by key: a table, however many there are."""
     return flagged.where("anomaly").select(*[quoted(k) for k in keys], "score")
@@ -154,21 +187,35 @@ def top_anomalies(flagged: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     return flagged.where("anomaly").orderBy(F.desc("score"), *[quoted(k) for k in keys]).limit(n)
 
 
-SUMMARY_SCHEMA = "table_name string, total_observations long, anomalies_detected long, error string"
+SUMMARY_SCHEMA = (
+    "table_name string, total_observations long, numeric_columns int, anomalies_detected long, anomaly_percentage double, max_score double, "
+    "threshold double, model_type string, columns_analyzed array<string>, component_shares array<double>, differenced array<string>, "
+    "status string, error string"
+)
 
 
 def summarize_tables(
-    spark: SparkSession, tables: Mapping[str, tuple[DataFrame, list[str]]], parallel: int = 4, **options
+    spark: SparkSession,
+    tables: Mapping[str, tuple[DataFrame | Callable[[], DataFrame], list[str]]],
+    parallel: int = 4,
+    **options,
 ) -> DataFrame:
-    """Detect on every table; one row each, an error where a table fails."""
+    """Prepare and detect on every table; one row each, with the error's name where a table fails.
+
+    A table is a DataFrame, or a function that reads one, and the order of its rows. Tables with fewer than two numeric
+    columns fail, and so do those that are no series.
+    """
+    threshold = options.get("threshold", DEFAULT_THRESHOLD)
 
     def one(df: DataFrame, name: str):
         if len(numeric_names(df)) < 2:
-            raise ValueError("fewer than two numeric columns")
-        row = anomaly_summary(detect_anomalies(df, tables[name][1], **options), name, 0).first()
-        return name, row.total_observations, row.anomalies_detected, None
+            raise s.NoSeries("fewer than two numeric columns")
+        found = run_detection(df, tables[name][1], **options)
+        if found.status != "ok":
+            raise s.NoSeries(found.status)
+        return *detection_summary(found, name, threshold).first(), None
 
-    failed = lambda name, problem: (name, None, None, type(problem).__name__)
+    failed = lambda name, problem: (name, *[None] * 10, str(problem) if isinstance(problem, s.NoSeries) else "failed", type(problem).__name__)
     rows = each_table({t: df for t, (df, _) in tables.items()}, one, failed, parallel)
     return spark.createDataFrame(rows, SUMMARY_SCHEMA)
 

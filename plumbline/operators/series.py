@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import is_age_name
 from ..functions.schema import datetime_names, normalize, numeric_names, quoted
+from ..plans.materialize import materialize
 from ..plans.ordered import POSITION, OrderedRows, carry, ordered, slide
 from ..plans.sums import lag_products, vector_products
 from .clean import clean_frame
@@ -25,6 +26,10 @@ UNIT_ROOT_5_PERCENT = -2.8615
 PAIR_COLUMNS = 16
 
 
+class NoSeries(ValueError):
+    """A table that is no series: without a time, a measure, or enough rows."""
+
+
 def value(c: str) -> Column:
     return quoted(c).cast("double")
 
@@ -81,6 +86,17 @@ def series_columns(df: DataFrame, id_rule: str = "strict", drop_age: bool = Fals
     return [c for c in names if not (drop_age and is_age_name(c))]
 
 
+def time_axis(cleaned: DataFrame, order_by: list[str], **sizes) -> str:
+    """The time column of a table; of several the one whose steps vary most, the first if none does."""
+    dates = datetime_names(cleaned)
+    if not dates:
+        raise NoSeries("no date column for a series")
+    if len(dates) == 1:
+        return dates[0]
+    chosen = date_columns_by_variance(cleaned, order_by, **sizes).where("chosen").first()
+    return chosen.column_name if chosen else dates[0]
+
+
 def series_prepare(
     df: DataFrame,
     order_by: list[str],
@@ -91,17 +107,11 @@ def series_prepare(
     **sizes,
 ) -> DataFrame:
     """Cleaned table as a series: time column, imputed measures, position."""
-    cleaned = clean_frame(df)
+    cleaned = materialize(clean_frame(df), "cleaned")  # measured several times
     names = columns or series_columns(cleaned, id_rule, drop_age)
     if not names:
-        raise ValueError("no numeric column for a series")
-    dates = datetime_names(cleaned)
-    if not dates:
-        raise ValueError("no date column for a series")
-    if time is None:
-        time = dates[0]
-        if len(dates) > 1:
-            time = date_columns_by_variance(cleaned, order_by, **sizes).where("chosen").first().column_name
+        raise NoSeries("no numeric column for a series")
+    time = time or time_axis(cleaned, order_by, **sizes)
     order = list(dict.fromkeys([time, *order_by]))
     rows = ordered(cleaned.select(*dict.fromkeys([*order, *names])), order, **sizes)
     filled = impute_rows(rows, names).df.dropna(subset=[time, *names])
