@@ -14,10 +14,14 @@ from array import array
 import numpy as np
 import public_tokenizers
 
-#: Encoded words that a worker keeps; beyond it the dictionary is emptied, which changes speed only.
-CACHED_WORDS = 800_000
+from plumbline.llm import words
+
+#: Encoded words of the young half of a worker's cache. When it is full it becomes the old half, and what was not met
+#: again since it grew old is forgotten; this changes speed only.
+CACHED_WORDS = 250_000
 
 _SPACES = re.compile(r"\s\s")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -40,7 +44,8 @@ class _Words(dict):
         normalizer = tokenizer.normalizer
         self.lowers = normalizer is not None and normalizer.normalize_str("Aa") == "aa"
         self.keeps_space = normalizer is None
-        self.marks = {mark: array("I", tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() for mark in ".,"}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _letters(self, word: str) -> list[int] | None:
         """Ids of a word of plain letters, which is one piece to the tokenizer; None for any other word."""
@@ -54,14 +59,28 @@ class _Words(dict):
     def _encoded(self, word: str) -> bytes:
         if (ids := self._letters(word)) is not None:
             return array("I", ids).tobytes()
-        if word[-1:] in self.marks and (ids := self._letters(word[:-1])) is not None:
-            return array("I", ids).tobytes() + self.marks[word[-1]]
+        stem = word.rstrip(_MARKS)
+        if len(stem) < len(word) and stem and (ids := self._letters(stem)) is not None:
+            return array("I", ids).tobytes() + self._marked(word[len(stem) :])
         return array("I", self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids).tobytes()
 
+    def _marked(self, marks: str) -> bytes:
+        """Ids of punctuation behind letters, which both tokenizers cut off as one piece."""
+        found = self.marks.get(marks)
+        if found is None:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[marks] = found = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return found
+
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self._encoded(word)
         if len(self) >= CACHED_WORDS:
+            self.old = self.copy()
             self.clear()
-        self[word] = found = self._encoded(word)
+        self[word] = found
         return found
 
 
@@ -79,13 +98,19 @@ class _LaterWords(_Words):
 
 
 class Encoder:
-    """One tokenizer file of the ``tokenizers`` library."""
+    """One tokenizer file of the ``tokenizers`` library.
+
+    Strings of special tokens in a text become those tokens, as the library has it; with ``special_as_text`` they are
+    ordinary text.
+    """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        tokenizer.encode_special_tokens = special_as_text
+        added = tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if special_as_text else [token.content for token in added]
         self.first = _Words(tokenizer, "")
         self.later = _LaterWords(tokenizer, self.first)
 
@@ -93,6 +118,8 @@ class Encoder:
         """Ids of the whole text as bytes; a null text has none."""
         if not text:
             return b""
+        if any(token in text for token in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if text[0].isspace() or text[-1].isspace() or _SPACES.search(text):
             return b"".join(map(self.first.__getitem__, _CUT.split(text)))
         words = text.replace("\n", " \n").split(" ")
@@ -105,6 +132,8 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(name: str) -> Encoder:
     """The encoder of this worker for a vocabulary file; read once per worker."""
     if name not in _ENCODERS:
+        words.forget()  # a reused worker may still hold what the operator before it kept
+        _ENCODERS.clear()
         _ENCODERS[name] = Encoder(name)
     return _ENCODERS[name]
 

@@ -22,6 +22,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """Empty the cache of this worker."""
+    _HASHES.clear()
+
+
 def split_words(text: str | None) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` with A-Z lowered, as UTF-8; bytes methods touch ASCII only, as asked for."""
     return text.encode().lower().split() if text else []

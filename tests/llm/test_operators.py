@@ -36,7 +36,6 @@ def _plain_ids(name, text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -47,6 +46,35 @@ def test_cached_ids_equal_whole_texts(name):
         assert np.frombuffer(tokens.encoder(name).encode(text), "<u4").tolist() == _plain_ids(name, text)
 
 
+def test_special_strings_follow_the_library():
+    text = "a <|endoftext|> b!!"
+    assert 50256 in np.frombuffer(tokens.Encoder("byte_bpe_50k.json").encode(text), "<u4")
+    assert 50256 not in np.frombuffer(tokens.Encoder("byte_bpe_50k.json", special_as_text=True).encode(text), "<u4")
+
+
+def test_old_words_leave_the_cache_without_a_trace(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 3)
+    encoder = tokens.Encoder("word_bpe_49k.json")
+    for text in [*TEXTS.values(), "a b c d e f a b c!! d?! (e) f", "a b a b x y z a"] * 2:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == _plain_ids("word_bpe_49k.json", text)
+        assert len(encoder.later) <= 3 and len(encoder.later.old) <= 3
+
+
+def test_token_files_limited_in_rows_and_an_empty_table(spark, docs, tmp_path):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    try:
+        token_store.write_tokens(docs, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    rows = sorted(token_store.read_digest(spark, f"{tmp_path}/t").collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
+    at = 0
+    for row in rows:
+        assert row.start == at
+        at += row.n_tokens
+    token_store.write_tokens(docs.where("false"), f"{tmp_path}/none")
+    assert token_store.read_digest(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_pieces_hold_every_id_once(docs):
     pieces = packing.digest(packing.pack(docs)).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces)
