@@ -256,7 +256,8 @@ CHECKS = {
         dashboard,
         with_views(f"""WITH {_ANOM}, {cd.detail_sql(*_STORED)},
           s AS (SELECT avg(({_SUM} - CASE WHEN table_name = 'region' THEN completeness ELSE 0 END) / 5) AS q FROM dtabs)
-          SELECT CAST(4 AS BIGINT) AS total_sources, CAST(5 AS BIGINT) AS active_analyses, (SELECT CAST(sum(a) AS BIGINT) FROM an) AS anomalies_detected,
+          SELECT (SELECT count(*) FROM (SELECT table_name FROM dtabs UNION SELECT table_name FROM an)) AS total_sources,
+                 (SELECT count(*) FROM dtabs) + (SELECT count(*) FROM an) AS active_analyses, (SELECT CAST(sum(a) AS BIGINT) FROM an) AS anomalies_detected,
                  (SELECT round(q) FROM s) AS avg_quality_score""", "daily_orders", "daily_events"),
     ),
 }
