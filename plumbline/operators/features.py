@@ -13,6 +13,7 @@ from ..functions.values import correlation
 from ..plans.ordered import BUCKET, POSITION, OrderedRows, carry, ordered, slide
 from ..plans.profile import column_profile
 from ..plans.quantiles import exact_quantiles
+from ..plans.sums import lag_covariances, lag_products, nested_fits, pair_correlations
 from . import series as s
 from .clean import drop_duplicates, zscore_limits
 from .detail import detail_metrics
@@ -110,15 +111,15 @@ def _lagged(df: DataFrame, order_by: list[str], columns: dict[str, tuple[str, in
 
 
 def _acf_values(df: DataFrame, order_by: list[str], column: str, lags: int, **sizes) -> list[float]:
-    rows = _lagged(df, order_by, {f"_l{k}": (column, k) for k in range(1, lags + 1)}, **sizes)
+    df = normalize(df)
     mean = df.agg(F.avg(s.value(column))).first()[0] or 0.0
-    x = s.value(column) - mean
-    row = rows.df.agg(F.sum(x * x), *[F.sum(x * (F.col(f"_l{k}") - mean)) for k in range(1, lags + 1)]).first()
-    return [1.0] + [(row[k] or 0.0) / row[0] if row[0] else 0.0 for k in range(1, lags + 1)]
+    rows = ordered(df.select(*[quoted(c) for c in dict.fromkeys([*order_by, column])]), order_by, **sizes)
+    sums = lag_covariances(rows, column, lags, mean)
+    return [1.0] + [float(x / sums[0]) if sums[0] else 0.0 for x in sums[1:]]
 
 
 def acf(df: DataFrame, order_by: list[str], column: str, lags: int = 20, **sizes) -> DataFrame:
-    """Autocorrelation up to ``lags``, all sums in one aggregation."""
+    """Autocorrelation up to ``lags``; a pair of rows with a null adds nothing."""
     values = _acf_values(df, order_by, column, lags, **sizes)
     return df.sparkSession.createDataFrame(list(enumerate(values)), "lag int, acf double")
 
@@ -194,38 +195,38 @@ def gaps(df: DataFrame, time: str, step: str, keys: list[str] | None = None, **s
     ).drop("_next")
 
 
+LAG_ORDERS = "lag_order int, aic double, bic double, best_aic boolean, best_bic boolean"
+
+
 def lag_selection(df: DataFrame, order_by: list[str], column: str, max_order: int = 8, **sizes) -> DataFrame:
-    """AIC and BIC of autoregressions of order 0 to ``max_order`` on one sample."""
-    rows = _lagged(df, order_by, {f"_l{k}": (column, k) for k in range(1, max_order + 1)}, **sizes)
-    limits = s.scale_limits(df, [column])
-    mean, spread = limits[column]
-    terms = [F.lit(1.0)] + [(F.col(f"_l{k}") - mean) / spread for k in range(1, max_order + 1)] + [s.scaled(column, limits)]
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    sample = rows.df.where(F.col(f"_l{max_order}").isNotNull() & quoted(column).isNotNull())
-    row = sample.agg(*[F.sum(terms[i] * terms[j]) for i, j in pairs]).first()
-    cross = np.zeros((len(terms), len(terms)))
-    for v, (i, j) in zip(row, pairs):
-        cross[i, j] = cross[j, i] = v or 0.0
-    n, last, out = cross[0, 0], len(terms) - 1, []
-    for p in range(max_order + 1):
-        x = list(range(p + 1))
-        beta = np.linalg.lstsq(cross[np.ix_(x, x)], cross[x, last], rcond=None)[0]
-        ssr = max(float(cross[last, last] - beta @ cross[x, last]), 1e-300)
-        fit = n * math.log(ssr / n)
+    """AIC and BIC of autoregressions of order 0 to ``max_order`` on one sample: rows with all lags present.
+
+    The residual sums are those of the scaled series. Without a complete row there is no result.
+    """
+    df = normalize(df)
+    rows = ordered(df.select(*[quoted(c) for c in dict.fromkeys([*order_by, column])]), order_by, **sizes)
+    mean, spread = s.scale_limits(df, [column])[column]
+    cross = lag_products(rows, column, max_order, mean or 0.0, spread or 1.0, steps=False)
+    n, out = cross[0, 0], []
+    for p, ssr in enumerate(nested_fits(cross)[1:] if n else ()):
+        fit = n * math.log(max(float(ssr), 1e-300) / n)
         out.append((p, float(fit + 2 * (p + 1)), float(fit + math.log(n) * (p + 1))))
+    if not out:
+        return df.sparkSession.createDataFrame([], LAG_ORDERS)
     best = [min(range(len(out)), key=lambda i: out[i][k]) for k in (1, 2)]
     rows_out = [(p, a, b, p == best[0], p == best[1]) for p, a, b in out]
-    return df.sparkSession.createDataFrame(rows_out, "lag_order int, aic double, bic double, best_aic boolean, best_bic boolean")
+    return df.sparkSession.createDataFrame(rows_out, LAG_ORDERS)
 
 
 def cointegration(df: DataFrame, order_by: list[str], left: str, right: str, lags: int | None = None, **sizes) -> DataFrame:
-    """Regress one series on the other and test the residual for a unit root."""
+    """Regress one series on the other and test the residual for a unit root; too few rows give null and false."""
     df = normalize(df)
     slope, level = df.agg(F.regr_slope(s.value(left), s.value(right)), F.regr_intercept(s.value(left), s.value(right))).first()
-    residual = df.select(*[quoted(c) for c in order_by], (s.value(left) - level - s.value(right) * slope).alias("_residual"))
+    fitted = F.lit(level).cast("double") + s.value(right) * F.lit(slope).cast("double")
+    residual = df.select(*[quoted(c) for c in order_by], (s.value(left) - fitted).alias("_residual"))
     rows = ordered(residual, order_by, **sizes)
     found = s.unit_root_test(rows, "_residual", rows.largest, lags)
-    out = [(left, right, slope, level, found.tau, found.lag, found.tau <= COINTEGRATION_5_PERCENT)]
+    out = [(left, right, slope, level, found.tau, found.lag, found.tau is not None and found.tau <= COINTEGRATION_5_PERCENT)]
     return df.sparkSession.createDataFrame(
         out, "left_column string, right_column string, slope double, level double, tau double, lag int, cointegrated boolean"
     )
@@ -293,12 +294,9 @@ def variable_importance(df: DataFrame, columns: list[str], max_components: int =
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    out = np.eye(len(columns))
-    if pairs:
-        row = df.agg(*[correlation(s.value(columns[i]), s.value(columns[j])) for i, j in pairs]).first()
-        for v, (i, j) in zip(row, pairs):
-            out[i, j] = out[j, i] = v if v is not None and not math.isnan(v) else 0.0
+    """Correlations with ones on the diagonal and zeros where a column does not vary."""
+    out = np.nan_to_num(pair_correlations(df, columns)) if columns else np.zeros((0, 0))
+    np.fill_diagonal(out, 1.0)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import names as rules
@@ -10,9 +11,10 @@ from ..functions.schema import (
     quoted, text_names, type_class,
 )
 from ..functions.dates import epoch_micros, parse_timestamp, read_shapes
-from ..functions.values import BOOLEAN_WORDS, correlation, is_number_text
+from ..functions.values import BOOLEAN_WORDS, is_number_text
 from ..plans.ordered import ordered, slide
 from ..plans.profile import column_profile, measured, row_repeats
+from ..plans.sums import pair_correlations
 from .rows import sample_values
 
 
@@ -206,22 +208,13 @@ def measure_names(df: DataFrame, rule: str = "letters") -> list[str]:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pairwise correlation of numeric columns, one aggregation for all pairs."""
+    """Pairwise correlation of numeric columns over the rows where both have a value; null where one does not vary."""
     df = normalize(df)
     names = columns or numeric_names(df)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    value = lambda c: quoted(c).cast("double")
-    wide = df.agg(*[correlation(value(a), value(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"r{i}").alias("r"))
-                    for i, (a, b) in enumerate(pairs)
-                ]
-            )
-        )
-    )
+    r = pair_correlations(df, names) if len(names) > 1 else None
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    rows = [(names[i], names[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in pairs]
+    return df.sparkSession.createDataFrame(rows, "left_column string, right_column string, r double")
 
 
 def date_columns_by_variance(df: DataFrame, order_by: list[str], **sizes) -> DataFrame:

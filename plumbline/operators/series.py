@@ -14,7 +14,7 @@ from ..functions.names import is_age_name
 from ..functions.schema import datetime_names, normalize, numeric_names, quoted
 from ..plans.materialize import materialize
 from ..plans.ordered import POSITION, OrderedRows, carry, ordered, slide
-from ..plans.sums import lag_products, vector_products
+from ..plans.sums import lag_products, nested_fits, vector_products
 from .clean import clean_frame
 from .recommend import date_columns_by_variance, measure_names
 
@@ -231,41 +231,46 @@ def max_lag(n: int) -> int:
 
 @dataclass(frozen=True)
 class UnitRoot:
-    tau: float
+    tau: float | None
     lag: int
     rows: int
 
     @property
     def stationary(self) -> bool:
-        return self.tau <= UNIT_ROOT_5_PERCENT
+        return self.tau is not None and self.tau <= UNIT_ROOT_5_PERCENT
 
 
-def _regress(cross: np.ndarray, lag: int) -> tuple[float, float, int]:
-    """Residual sum, tau of the level, and rows, of the regression with ``lag`` lags."""
-    x = list(range(2 + lag))
-    last = cross.shape[0] - 1
-    normal, target = cross[np.ix_(x, x)], cross[x, last]
-    beta = np.linalg.lstsq(normal, target, rcond=None)[0]
+def _tau(cross: np.ndarray, lag: int) -> float | None:
+    """t value of the level in the regression with ``lag`` lags; null without more rows than unknowns."""
+    x = [*range(2 + lag), cross.shape[0] - 1]
     n = int(round(cross[0, 0]))
-    ssr = max(float(cross[last, last] - beta @ target), 1e-300)
-    inverse = np.linalg.pinv(normal)
-    error = math.sqrt(ssr / max(1, n - len(x)) * inverse[1, 1])
-    return ssr, float(beta[1] / error) if error > 0 else -math.inf, n
+    if n < len(x):
+        return None
+    spread = np.sqrt(np.diag(cross)[x])
+    spread[spread == 0] = 1.0
+    unit = cross[np.ix_(x, x)] / np.outer(spread, spread)
+    normal, target = unit[:-1, :-1], unit[:-1, -1]
+    beta = np.linalg.lstsq(normal, target, rcond=None)[0]
+    ssr = max(float(unit[-1, -1] - beta @ target), 1e-300)
+    error = math.sqrt(ssr / max(1, n - len(normal)) * max(0.0, np.linalg.pinv(normal, hermitian=True)[1, 1]))
+    return float(beta[1] / error) if error > 0 else -math.inf
 
 
 def unit_root_test(rows: OrderedRows, column: str, n: int, lags: int | None = None, center: float = 0.0) -> UnitRoot:
     """Augmented Dickey-Fuller test with constant, lag chosen by AIC.
 
-    One pass over the series sums all products up to the longest lag; every
-    shorter model is a corner of that matrix, plus the first few rows.
+    One pass over the series sums the products with each lag; all models are
+    fitted in one elimination, the chosen one again with the rows that only the
+    longest lag had to leave out.  A series of fewer rows than unknowns has no
+    statistic.
     """
     top = max_lag(n) if lags is None else lags
     cross = lag_products(rows, column, top, center)
-    scores = []
-    for lag in range(top + 1):
-        ssr, _, used = _regress(cross, lag)
-        scores.append(used * math.log(ssr / used) + 2 * (lag + 2))
-    best = int(np.argmin(scores))
+    used = int(round(cross[0, 0]))
+    best = 0
+    if used:
+        fits = np.maximum(nested_fits(cross)[2:], 1e-300)
+        best = int(np.argmin(used * np.log(fits / used) + 2.0 * (np.arange(top + 1) + 2)))
     if best < top:
         head = rows.df.where(F.col(POSITION) <= top).select(POSITION, value(column).alias("y")).collect()
         y = np.array([np.nan if r.y is None else r.y for r in sorted(head, key=lambda r: r[0])]) - center
@@ -276,8 +281,7 @@ def unit_root_test(rows: OrderedRows, column: str, n: int, lags: int | None = No
                 x = np.array([1.0, y[t - 1], *[step(k) for k in range(1, top + 1)], step(0)])
                 if not np.isnan(x).any():
                     cross += np.outer(x, x)
-    _, tau, used = _regress(cross, best)
-    return UnitRoot(tau, best, used)
+    return UnitRoot(_tau(cross, best), best, int(round(cross[0, 0])))
 
 
 def adf_stationarity(df: DataFrame, order_by: list[str], columns: list[str], lags: int | None = None, **sizes) -> DataFrame:
