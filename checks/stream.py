@@ -43,22 +43,19 @@ def naive(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else f.name for f in df.schema])
 
 
-COMPARED = ["window_start", "window_end", "rows", "value_completeness", "value_min", "value_max", "value_mean"]
-
-
 def tumbling(spark, sf):
     out, _ = drain(sq.quality_windows(dirty_stream(spark, sf), "ts", ["value"], "1 day", delay="6 hours"))
-    return rounded(naive(out.select(*COMPARED)), 5)
+    return rounded(naive(out), 5)
 
 
 def sliding(spark, sf):
     out, _ = drain(sq.quality_windows(dirty_stream(spark, sf), "ts", ["value"], "1 day", "6 hours", delay="6 hours"))
-    return rounded(naive(out.select(*COMPARED)), 5)
+    return rounded(naive(out), 5)
 
 
 def windows_batch(spark, sf):
-    """The same windows over the table as a batch, medians and distinct sketches too."""
-    return naive(sq.quality_windows(load(spark, sf, "dirty_events"), "ts", ["value", "user_id"], "1 day"))
+    """The same windows over the table as a batch, of two columns."""
+    return rounded(naive(sq.quality_windows(load(spark, sf, "dirty_events"), "ts", ["value", "user_id"], "1 day")), 5)
 
 
 def sessions(spark, sf):
@@ -99,12 +96,20 @@ def scored(spark, sf):
     return rounded(naive(out), 5)
 
 
-def _window_sql(starts: str) -> str:
+def _facts_sql(c: str) -> str:
+    facts = {"min": f"min({c})", "max": f"max({c})", "mean": f"avg({c})", "median": f"median({c})"}
+    return ", ".join(
+        [f"round(1e2 * count({c}) / count(*), 5) AS {c}_completeness", f"count(DISTINCT {c}) AS {c}_distinct"]
+        + [f"round(CAST({f} AS DOUBLE), 5) AS {c}_{n}" for n, f in facts.items()]
+    )
+
+
+def _window_sql(starts: str, columns: tuple[str, ...] = ("value",), closed: bool = True) -> str:
+    facts = ", ".join(map(_facts_sql, columns))
     return with_views(f"""
-      WITH w AS (SELECT {starts} AS window_start, value FROM dirty_events),
-      g AS (SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS rows, round(1e2 * count(value) / count(*), 5) AS value_completeness,
-                   round(min(value), 5) AS value_min, round(max(value), 5) AS value_max, round(avg(value), 5) AS value_mean FROM w GROUP BY window_start)
-      SELECT * FROM g WHERE window_end <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events)""", "dirty_events")
+      WITH w AS (SELECT {starts} AS window_start, {", ".join(columns)} FROM dirty_events),
+      g AS (SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS rows, {facts} FROM w GROUP BY window_start)
+      SELECT * FROM g {"WHERE window_end <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events)" if closed else ""}""", "dirty_events")
 
 
 _SIX = "unnest([time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR for k in [0, 1, 2, 3]])"
@@ -112,7 +117,7 @@ _SIX = "unnest([time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR for k in
 CHECKS = {
     "stream_quality_tumbling": (tumbling, _window_sql("date_trunc('day', ts)")),
     "stream_quality_sliding": (sliding, _window_sql(_SIX)),
-    "quality_windows_batch": (windows_batch, None),
+    "quality_windows_batch": (windows_batch, _window_sql("date_trunc('day', ts)", ("value", "user_id"), closed=False)),
     "stream_sessions": (
         sessions,
         """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

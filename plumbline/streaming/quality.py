@@ -2,7 +2,7 @@
 
 Every function takes a streaming DataFrame (a batch one works too) with an event
 time column and returns a DataFrame; the caller picks sink and trigger.  State is
-bounded by the watermark and, for distinct counts and medians, by sketches.
+bounded by the watermark: windows that it has passed are written and forgotten.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import epoch_micros
-from ..functions.schema import is_datetime, normalize, quoted
+from ..functions.schema import is_datetime, is_text, normalize, quoted
+from ..functions.values import text_key
 
 
 def with_event_time(df: DataFrame, time: str, delay: str) -> DataFrame:
@@ -20,7 +21,44 @@ def with_event_time(df: DataFrame, time: str, delay: str) -> DataFrame:
     return normalize(df).withColumn(time, F.timestamp_micros(epoch_micros(quoted(time), df.schema[time].dataType))).withWatermark(time, delay)
 
 
+def _key(df: DataFrame, c: str) -> Column:
+    """Text that is equal exactly when two values of the column are; zero has one sign."""
+    kind = df.schema[c].dataType
+    if is_text(kind):
+        return text_key(quoted(c))
+    return (quoted(c) + F.lit(0.0) if kind.typeName() in ("float", "double") else quoted(c)).cast("string")
+
+
+def _value_counts(timed: DataFrame, time: str, window: Column, columns: list[str]) -> DataFrame:
+    """How often each value stands in each window: w, i (place of the column), k (the value as a key), v (as a number), n."""
+    cells = [
+        F.struct(F.lit(i).alias("i"), _key(timed, c).alias("k"), quoted(c).try_cast("double").alias("v")) for i, c in enumerate(columns)
+    ] or [F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("k"), F.lit(None).cast("double").alias("v"))]
+    rows = timed.select(quoted(time), F.explode(F.array(*cells)).alias("cell"))
+    counted = rows.groupBy(window.alias("w"), F.col("cell.i").alias("i"), F.col("cell.k").alias("k"))
+    return counted.agg(F.max("cell.v").alias("v"), F.count(F.lit(1)).alias("n"))
+
+
+def _exact_facts(columns: list[str]) -> list[Column]:
+    """The facts of a window from the counts of its values."""
+    count = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0))
+    out = [count(F.col("i") == 0).alias("rows")]
+    for i, c in enumerate(columns):
+        here = F.col("i") == i
+        v = F.when(here, F.col("v"))
+        out += [
+            (count(here & F.col("k").isNotNull()) * 100.0 / count(here)).alias(f"{c}_completeness"),
+            F.count_if(here & F.col("k").isNotNull()).alias(f"{c}_distinct"),
+            F.min(v).alias(f"{c}_min"),
+            F.max(v).alias(f"{c}_max"),
+            F.try_divide(F.sum(v * F.col("n")), count(v.isNotNull())).alias(f"{c}_mean"),
+            F.percentile(v, F.lit(0.5), F.col("n")).alias(f"{c}_median"),
+        ]
+    return out
+
+
 def _facts(columns: list[str]) -> list[Column]:
+    """The same from the rows of a window, distinct counts and medians as sketches."""
     out = [F.count(F.lit(1)).alias("rows")]
     for c in columns:
         v = quoted(c).cast("double")
@@ -36,12 +74,20 @@ def _facts(columns: list[str]) -> list[Column]:
 
 
 def quality_windows(
-    df: DataFrame, time: str, columns: list[str], length: str, slide: str | None = None, delay: str = "1 hour"
+    df: DataFrame, time: str, columns: list[str], length: str, slide: str | None = None, delay: str = "1 hour", approx: bool = False
 ) -> DataFrame:
-    """Quality per tumbling window, or per sliding one when ``slide`` is given."""
+    """Quality per tumbling window, or per sliding one when ``slide`` is given.
+
+    Two aggregations follow each other: values are counted per window and column, spread over all tasks, and when the
+    watermark has passed a window its counts make one row. So distinct counts and medians are exact, and the state is
+    one row per window, column and value. With ``approx`` one aggregation keeps sketches of both: state of fixed size.
+    """
     timed = with_event_time(df, time, delay)
     window = F.window(time, length, slide) if slide else F.window(time, length)
-    grouped = timed.groupBy(window.alias("w")).agg(*_facts(columns))
+    if approx:
+        grouped = timed.groupBy(window.alias("w")).agg(*_facts(columns))
+    else:
+        grouped = _value_counts(timed, time, window, columns).groupBy("w").agg(*_exact_facts(columns))
     return grouped.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in grouped.columns if c != "w"]
     )
