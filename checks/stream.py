@@ -75,17 +75,11 @@ def late(spark, sf):
     events = load(spark, sf, "events").select("event_id", "ts")
     middle = "timestamp_ntz '2024-01-16 00:00:00'"
     path = fresh_path(spark, "late")
-    dropped = 0
     for part in (f"ts >= {middle}", f"ts < {middle}"):
-        events.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        events.where(part).write.mode("append").parquet(f"{path}/in")
         source = spark.readStream.schema(events.schema).parquet(f"{path}/in")
-        query = (
-            sq.deduplicate(source, "ts", ["event_id"], "6 hours").writeStream.format("parquet").option("path", f"{path}/out")
-            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-        dropped += sq.late_rows(query)
-    return spark.createDataFrame([(dropped,)], "late_rows long")
+        sq.route_late(source, "ts", "6 hours", f"{path}/out").awaitTermination()
+    return sq.late_rows(spark, f"{path}/out").select(F.count("*").alias("late_rows"), F.sum("event_id").alias("late_ids"))
 
 
 def scored(spark, sf):
@@ -128,7 +122,7 @@ CHECKS = {
     "stream_dedup": (dedup, "SELECT DISTINCT event_id, ts, user_id FROM events"),
     "stream_late_rows": (
         late,
-        """SELECT count(*) AS late_rows FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00'
+        """SELECT count(*) AS late_rows, CAST(sum(event_id) AS BIGINT) AS late_ids FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00'
            AND ts <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00')""",
     ),
     "stream_anomalies": (

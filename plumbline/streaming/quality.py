@@ -109,11 +109,12 @@ def deduplicate(df: DataFrame, time: str, keys: list[str], delay: str = "1 hour"
     return with_event_time(df, time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def late_rows(query) -> int:
+def dropped_rows(query) -> int:
     """Rows that a finished query dropped for coming after the watermark.
 
     Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` reports. Where earlier ones may be gone the
-    count would fall short, so it is refused; raise that setting before the query starts.
+    count would fall short, so it is refused; raise that setting before the query starts, or use ``route_late``, which
+    needs no reports.
     """
     setting = "spark.sql.streaming.numRecentProgressUpdates"
     if len(query.recentProgress) >= int(SparkSession.active().conf.get(setting)):
@@ -123,3 +124,49 @@ def late_rows(query) -> int:
         for progress in query.recentProgress
         for op in (progress["stateOperators"] if isinstance(progress, dict) else progress.stateOperators)
     )
+
+
+def route_late(df: DataFrame, time: str, delay: str, path: str, trigger: dict | None = None):
+    """Start a query that writes every row of a stream once, under ``path``, beside whether it came too late.
+
+    A row is late if an earlier micro-batch held a time at least ``delay`` after its own; a null time is never late.
+    Each micro-batch is one folder, overwritten if it runs again, and leaves the highest time so far for the next, so
+    the count holds for any number of batches and restarts. Read it with ``late_rows`` and ``rows_in_time``; the table
+    grows with the stream.
+    """
+    kind = df.schema[time].dataType
+    if not is_datetime(kind):
+        raise ValueError(f"{time} is not a time column")
+    if {"late", "batch"} & {c.lower() for c in df.columns}:
+        raise ValueError("columns named late and batch are this function's own")
+    micros = epoch_micros(quoted(time), kind)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        high = spark.read.parquet(f"{path}/highs/batch={batch - 1}").first()[0] if batch else None
+        limit = F.timestamp_micros(F.lit(high).cast("bigint")) - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.timestamp_micros(micros) <= limit, F.lit(False))
+        folder = f"{path}/rows/batch={batch}"
+        rows.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(folder)
+        written = spark.read.schema(rows.schema).parquet(folder)
+        highest = F.greatest(F.max(micros), F.lit(high).cast("bigint")).alias("high")
+        written.agg(highest).write.mode("overwrite").parquet(f"{path}/highs/batch={batch}")
+
+    # So that a stream without a batch can be read, too.
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1/late=false")
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _routed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").withColumn("late", F.col("late").cast("boolean"))
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that came too late, of all batches so far."""
+    return _routed(spark, path).where("late").drop("late", "batch")
+
+
+def rows_in_time(spark: SparkSession, path: str) -> DataFrame:
+    """All other rows."""
+    return _routed(spark, path).where("NOT late").drop("late", "batch")

@@ -224,6 +224,6 @@ def test_late_rows_refuse_a_count_that_may_fall_short(spark):
 
     report = {"stateOperators": [{"numRowsDroppedByWatermark": 2}]}
     most = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates"))
-    assert late_rows(SimpleNamespace(recentProgress=[report] * (most - 1))) == 2 * (most - 1)
+    assert dropped_rows(SimpleNamespace(recentProgress=[report] * (most - 1))) == 2 * (most - 1)
     with pytest.raises(RuntimeError):
-        late_rows(SimpleNamespace(recentProgress=[report] * most))
+        dropped_rows(SimpleNamespace(recentProgress=[report] * most))

@@ -1,5 +1,7 @@
 """Streams over several micro-batches: exact windows equal the batch form and DuckDB, late rows and eviction."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,39 @@ def test_sketches_stay_an_option(spark, folder):
     row = sq.quality_windows(spark.read.parquet(folder), "ts", ["value"], "1 day", approx=True).orderBy("window_start").first()
     exact = sq.quality_windows(spark.read.parquet(folder), "ts", ["value"], "1 day").orderBy("window_start").first()
     assert row.value_distinct == pytest.approx(exact.value_distinct, rel=0.2) and row.rows == exact.rows
+
+
+def test_late_rows_over_more_than_a_hundred_batches(spark, tmp_path):
+    hours = [(i, 10 * i if i % 4 else 10 * i - 45) for i in range(104)]  # every fourth row is 45 minutes behind
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, minute in hours:
+        (folder / f"{i:04}.json").write_text('{"id": %d, "t": %s}' % (i, minute * 60 if i % 50 != 49 else "null"))
+        os.utime(folder / f"{i:04}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    source = spark.readStream.schema("id int, t bigint").option("maxFilesPerTrigger", 1).json(str(folder))
+    timed = source.select("id", F.timestamp_seconds("t").alias("t"))
+    path = str(tmp_path / "out")
+    query = sq.route_late(timed, "t", "30 minutes", path)
+    query.awaitTermination()
+    assert query.lastProgress.batchId > 100
+    seen, want = None, []
+    for i, minute in hours:
+        if i % 50 == 49:
+            continue
+        if seen is not None and minute <= seen - 30:
+            want.append(i)
+        seen = minute if seen is None else max(seen, minute)
+    assert sorted(r.id for r in sq.late_rows(spark, path).collect()) == want and len(want) > 20
+    assert sq.rows_in_time(spark, path).count() == len(hours) - len(want)
+    # A restart finds nothing new and keeps the counts.
+    sq.route_late(timed, "t", "30 minutes", path).awaitTermination()
+    assert sq.late_rows(spark, path).count() == len(want)
+
+
+def test_late_rows_of_a_stream_without_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("id int, t timestamp").json(str(tmp_path / "in"))
+    sq.route_late(source, "t", "1 hour", str(tmp_path / "out")).awaitTermination()
+    assert sq.late_rows(spark, str(tmp_path / "out")).count() == 0
+    with pytest.raises(ValueError):
+        sq.route_late(source.withColumnRenamed("id", "late"), "t", "1 hour", str(tmp_path / "no"))
