@@ -58,15 +58,21 @@ def cointegration(spark, sf):
 
 
 def _box_sql() -> str:
-    power = lambda lam: "ln(value)" if lam == 0 else f"(pow(value, {lam}e0) - 1) / {lam}e0"
-    fits = " UNION ALL ".join(
-        f"SELECT {lam}e0 AS lam, -count(*) / 2e0 * ln(var_pop({power(lam)})) + ({lam}e0 - 1) * sum(ln(value)) AS fit FROM v" for lam in f.LAMBDAS)
-    return f"""WITH v AS (SELECT value FROM events WHERE value > 0), f AS ({fits}), b AS (SELECT arg_max(lam, fit) AS lam FROM f)
+    # A dense search: steps of a tenth, then ten times finer around the best, down to 1e-7.
+    steps = ["g0 AS (SELECT unnest(range(-40, 41)) / 1e1 AS lam)"]
+    for k in range(7):
+        fit = "-count(*) / 2e0 * ln(var_pop(CASE WHEN abs(lam) < 1e-12 THEN z ELSE (exp(z * lam) - 1) / lam END))"
+        steps.append(f"b{k} AS (SELECT arg_max(lam, fit) AS lam FROM (SELECT lam, {fit} AS fit FROM v, g{k} GROUP BY lam))")
+        steps.append(f"g{k + 1} AS (SELECT lam + s / 1e{k + 2} AS lam FROM b{k}, unnest(range(-10, 11)) t(s))")
+    return f"""WITH v AS (SELECT ln(value) - (SELECT avg(ln(value)) FROM events WHERE value > 0) AS z FROM events WHERE value > 0), {", ".join(steps)},
+      b AS (SELECT round(lam, 4) AS lam FROM b6)
       SELECT event_id, lam, round(CASE WHEN value > 0 THEN CASE WHEN lam = 0 THEN ln(value) ELSE (pow(value, lam) - 1) / lam END END, 5) AS value FROM events, b"""
 
 
 def box_cox(spark, sf):
-    got, lam = f.box_cox(load(spark, sf, "events").select("event_id", "value"), "value")
+    df = load(spark, sf, "events").select("event_id", "value")
+    lam = round(f.box_cox_lambda(df, "value"), 4)
+    got, _ = f.box_cox(df, "value", lam)
     return rounded(got.withColumn("lam", F.lit(lam)), 5)
 
 
@@ -120,10 +126,15 @@ def readiness(spark, sf):
 def _imputation_sql() -> str:
     parts = []
     for n in ("o_totalprice", "sparse"):
+        sides = f"SELECT {n} AS v, 1 AS a, 0 AS b FROM dirty_orders WHERE {n} IS NOT NULL UNION ALL SELECT coalesce({n}, (SELECT median({n}) FROM dirty_orders)), 0, 1 FROM dirty_orders"
+        counts = f"SELECT v, sum(a) AS a, sum(b) AS b FROM ({sides}) GROUP BY v"
+        apart = f"""(SELECT v, lead(v) OVER (ORDER BY v) AS next, abs(sum(a) OVER (ORDER BY v) / CAST(sum(a) OVER () AS DOUBLE)
+          - sum(b) OVER (ORDER BY v) / CAST(sum(b) OVER () AS DOUBLE)) AS gap FROM ({counts}))"""
         parts.append(f"""SELECT '{n}' AS column_name, round(avg(x), 4) AS mean_before, round(avg(y), 4) AS mean_after, round(stddev_samp(x), 4) AS std_before,
           round(stddev_samp(y), 4) AS std_after, round(median(x), 4) AS median_before, round(median(y), 4) AS median_after,
           round(greatest(abs(quantile_cont(x, 0.25) - quantile_cont(y, 0.25)), abs(median(x) - median(y)), abs(quantile_cont(x, 0.75) - quantile_cont(y, 0.75)))
-                / (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)), 4) AS quartile_shift
+                / (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)), 4) AS quartile_shift,
+          (SELECT round(max(gap), 4) FROM {apart}) AS ks_distance, (SELECT round(sum(gap * (next - v)), 4) FROM {apart}) AS wasserstein_distance
           FROM (SELECT {n} AS x, coalesce({n}, (SELECT median({n}) FROM dirty_orders)) AS y FROM dirty_orders) t""")
     return daily_free(" UNION ALL ".join(parts))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import epoch_micros
 from ..functions.schema import normalize, quoted
 from ..functions.values import correlation
+from ..plans.distances import distribution_distances
+from ..plans.materialize import discard, fresh_path
 from ..plans.ordered import BUCKET, POSITION, OrderedRows, carry, ordered, slide
 from ..plans.profile import column_profile
 from ..plans.quantiles import exact_quantiles
@@ -243,30 +245,62 @@ def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
     return _replace(normalize(df), {c: F.when(s.value(c) > -1, F.log1p(s.value(c))) for c in columns})
 
 
-LAMBDAS = tuple(round(-2.0 + 0.1 * i, 1) for i in range(41))
+#: First bracket of the power, powers tried per pass, and how far the bracket may be widened.
+POWERS, TRIED, WIDEST = (-2.0, 2.0), 17, 64.0
 
 
-def _power(x: Column, lam: float) -> Column:
-    return F.log(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / lam
+def _power(log: Column, lam: float) -> Column:
+    """Box-Cox value from a logarithm; exact near a power of zero, too."""
+    return log if lam == 0 else F.expm1(log * F.lit(float(lam))) / F.lit(float(lam))
 
 
-def box_cox_lambda(df: DataFrame, column: str) -> float:
-    """The power on a grid with the largest likelihood; one aggregation for all."""
-    x = F.when(s.value(column) > 0, s.value(column))
-    row = df.agg(F.count(x), F.sum(F.log(x)), *[F.var_pop(_power(x, lam)) for lam in LAMBDAS]).first()
-    n, logs = row[0], row[1]
-    fits = [
-        -n / 2 * math.log(v) + (lam - 1) * logs if v and v > 0 else -math.inf for lam, v in zip(LAMBDAS, row[2:])
-    ]
-    return LAMBDAS[int(np.argmax(fits))]
+def _fits(logs: DataFrame, powers: np.ndarray, n: int, mean: float) -> np.ndarray:
+    """Likelihood of each power but for a constant; logarithms less their mean, so that no power outgrows a double."""
+    x = F.col("x") - F.lit(mean)
+    row = logs.agg(*[F.var_pop(_power(x, lam)) for lam in powers]).first()
+    return np.array([-n / 2 * math.log(v) if v and 0 < v < math.inf else -math.inf for v in row])
 
 
-def box_cox(df: DataFrame, column: str) -> tuple[DataFrame, float]:
-    """Positive values transformed with the fitted power; others become null."""
+def box_cox_lambda(df: DataFrame, column: str) -> float | None:
+    """The power with the largest likelihood, to some six digits.
+
+    Logarithms of the positive values are written once. Each pass over them tries all powers of a bracket; a best power
+    at its edge moves the bracket out, one inside narrows it to its neighbours, and a parabola through the last three
+    gives the place between. Without positive values there is none; values that do not differ keep the power 1.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "logs")
+    normalize(df).where(s.value(column) > 0).select(F.log(s.value(column)).alias("x")).write.parquet(path)
+    logs = spark.read.schema("x double").parquet(path)
+    n, mean, low_log, high_log = logs.agg(F.count("x"), F.avg("x"), F.min("x"), F.max("x")).first()
+    if not n or low_log == high_log or not math.isfinite(mean):
+        discard(spark, path)
+        return 1.0 if n else None
+    low, high = POWERS
+    while True:
+        powers = np.linspace(low, high, TRIED)
+        fits = _fits(logs, powers, n, mean)
+        best, step = int(np.argmax(fits)), powers[1] - powers[0]
+        if best in (0, TRIED - 1) and abs(powers[best]) < WIDEST:
+            low, high = powers[best] - (high - low), powers[best] + (high - low)
+        elif step < 1e-3 or best in (0, TRIED - 1):
+            break
+        else:
+            low, high = powers[best] - step, powers[best] + step
+    discard(spark, path)
+    if best in (0, TRIED - 1):
+        return float(powers[best])
+    a, b, c = fits[best - 1 : best + 2]
+    bend = a - 2 * b + c
+    return float(powers[best] + (0.5 * step * (a - c) / bend if bend < 0 else 0.0))
+
+
+def box_cox(df: DataFrame, column: str, power: float | None = None) -> tuple[DataFrame, float | None]:
+    """Positive values transformed with ``power``, or the fitted one; others become null."""
     df = normalize(df)
-    lam = box_cox_lambda(df, column)
-    x = F.when(s.value(column) > 0, s.value(column))
-    return _replace(df, {column: _power(x, lam)}), lam
+    lam = box_cox_lambda(df, column) if power is None else power
+    log = F.log(F.when(s.value(column) > 0, s.value(column)))
+    return _replace(df, {column: F.lit(None).cast("double") if lam is None else _power(log, lam)}), lam
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -356,7 +390,12 @@ def critical_columns(df: DataFrame) -> DataFrame:
 
 
 def imputation_check(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean, deviation and quartiles before and after, and the largest quartile shift."""
+    """Mean, deviation and median before and after, the largest quartile shift, and two distances of the distributions.
+
+    ``ks_distance`` is the largest difference of the distribution functions, ``wasserstein_distance`` the area between
+    them in the column's unit; both are exact.
+    """
+    apart = distribution_distances(normalize(before), normalize(after), columns)
     sides = []
     for df in (normalize(before), normalize(after)):
         sides.append((zscore_limits(df, columns), exact_quantiles(df, columns)))
@@ -366,11 +405,11 @@ def imputation_check(before: DataFrame, after: DataFrame, columns: list[str]) ->
         q0, q1 = sides[0][1][c], sides[1][1][c]
         spread = q0[2] - q0[0] if q0[0] is not None else 0.0
         shift = max(abs(x - y) for x, y in zip(q0, q1)) / spread if spread else None
-        out.append((c, m0, m1, s0, s1, q0[1], q1[1], shift))
+        out.append((c, m0, m1, s0, s1, q0[1], q1[1], shift, *apart[c]))
     return before.sparkSession.createDataFrame(
         out,
         "column_name string, mean_before double, mean_after double, std_before double, std_after double, "
-        "median_before double, median_after double, quartile_shift double",
+        "median_before double, median_after double, quartile_shift double, ks_distance double, wasserstein_distance double",
     )
 
 

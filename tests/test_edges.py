@@ -220,7 +220,7 @@ def test_pipeline_log_counts_every_step(spark):
 def test_late_rows_refuse_a_count_that_may_fall_short(spark):
     from types import SimpleNamespace
 
-    from plumbline.streaming.quality import late_rows
+    from plumbline.streaming.quality import dropped_rows
 
     report = {"stateOperators": [{"numRowsDroppedByWatermark": 2}]}
     most = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates"))
