@@ -8,7 +8,7 @@ the fraction of the rate, and long documents cannot push a source far from its t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.plans.materialize import materialize
@@ -21,20 +21,19 @@ BIN_BITS = 12
 BROADCAST_SOURCES = 50_000
 
 
-def _sized(docs: DataFrame, seed: str) -> DataFrame:
+def _sized(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """Source, __size, __bin and ``more`` of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10)
-    return docs.withColumns(
-        {
-            "__size": F.regexp_count(text, F.lit(WORD)).cast("bigint"),
-            "__bin": F.shiftright(drawn.cast("bigint"), 32 - BIN_BITS).cast("int"),
-        }
-    )
+    size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
+    return docs.select("source", size.alias("__size"), F.shiftright(drawn.cast("bigint"), 32 - BIN_BITS).cast("int").alias("__bin"), *more)
 
 
 def source_rates(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """Per source: source, source_size, target, whole copies and the cut: the number of hash bins that get one copy more.
 
+    A source whose target is a whole multiple of its size has no cut, so documents without words get no copy more either.
+
     Sources stand in order of code point, null last, and take the weights in turn. Targets share all words by weight;
     none exceeds ``most`` times its source, and the excess is shared again. The work beyond the first aggregation is on
     one row per source and bin.
@@ -75,7 +74,7 @@ def source_rates(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, see
         .alias("b")
         .join(rates.alias("r"), F.col("b.source").eqNullSafe(F.col("r.source")))
         .groupBy("r.source", "source_size", "target", "whole")
-        .agg(F.coalesce(F.max(F.when(F.col("reached") <= F.col("extra"), F.col("__bin") + 1)), F.lit(0)).alias("cut"))
+        .agg(F.coalesce(F.max(F.when((F.col("extra") > 0) & (F.col("reached") <= F.col("extra")), F.col("__bin") + 1)), F.lit(0)).alias("cut"))
     )
     return materialize(cuts, "mix-rates")
 
@@ -83,7 +82,7 @@ def source_rates(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, see
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target and copies: how often the mix takes the document.
 
-    Needs doc_id, text and source; columns of these four names are replaced. A null text has size 0. A null source is
+    Needs doc_id, text and source; columns of these four names are replaced, all others kept whatever their names. A null text has size 0. A null source is
     a source of its own, last in order. Null doc_ids draw as one document; rows that repeat a doc_id draw alike. A
     source without words has target 0. An empty table gives no rows. Reruns agree.
     """
@@ -91,9 +90,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: str =
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    rows = _sized(docs.select(*own), seed).join(rates, F.col("source").eqNullSafe(F.col("__source")))
+    rows = _sized(docs, seed, F.struct(*own).alias("row")).join(rates, F.col("source").eqNullSafe(F.col("__source")))
     copies = (F.col("whole") + (F.col("__bin") < F.col("cut")).cast("int")).cast("bigint")
-    return rows.select(*own, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
+    return rows.select("row.*", F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -141,7 +140,7 @@ WITH sized AS (
   FROM bins
 ), cuts AS (
   SELECT w.source, w.source_size, w.target, w.whole,
-    coalesce(max(r.bin + 1) FILTER (WHERE r.reached <= w.target - w.whole * w.source_size), 0) AS cut
+    coalesce(max(r.bin + 1) FILTER (WHERE w.target > w.whole * w.source_size AND r.reached <= w.target - w.whole * w.source_size), 0) AS cut
   FROM whole w JOIN reached r ON r.source IS NOT DISTINCT FROM w.source
   GROUP BY w.source, w.source_size, w.target, w.whole
 )

@@ -179,6 +179,18 @@ def test_one_large_group_of_near_copies_against_all_pairs(spark):
     assert found == dict(enumerate(least))
 
 
+def test_mix_takes_no_document_more_often_than_the_limit(spark):
+    # The third source reaches three times its words; one source has none.
+    rows = [(i, "a b c d" if i % 3 else "", "big", 7) for i in range(900)]
+    rows += [(1000 + i, "a b" if i % 2 else None, None, 7) for i in range(40)] + [(2000 + i, " ", "empty", 7) for i in range(10)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, source string, cut int")
+    table = table.withColumns({"__size": F.lit("s"), "__bin": F.lit("b"), "row": F.lit("r"), "whole": F.lit("w"), "__source": F.lit("o")})
+    got = mixing.mix(table).collect()
+    assert len(got) == len(rows) and max(r.copies for r in got) == mixing.MOST_REPEATS
+    assert all(r.copies == 3 for r in got if r.source is None) and all(r.copies == 0 and r.target == 0 for r in got if r.source == "empty")
+    assert {(r["cut"], r["__size"], r["__bin"], r["row"], r["whole"], r["__source"]) for r in got} == {(7, "s", "b", "r", "w", "o")}
+
+
 def test_mix_reaches_targets(docs):
     rows = mixing.mix(docs).collect()
     assert {r.size for r in rows if r.doc_id in (3, 4, 5)} == {0}
