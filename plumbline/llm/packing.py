@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 from plumbline.llm.tokens import encoder
 
 VOCABULARY, END_ID, LIMIT = "byte_bpe_50k.json", 1, 2048
-#: Bytes of ids that one Arrow batch of pieces holds before it is sent on.
-BATCH_BYTES = 8_000_000
 
 _PIECES = "doc_id {key}, start bigint, length int, ids binary, doc_tokens bigint, bucket int"
 
@@ -30,31 +27,24 @@ def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
 
 
 def _cutter(vocabulary: str, end_id: int, limit: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         for batch in batches:
-            key_type, columns, held = batch.column(0).type, ([], [], [], [], [], []), 0
-
-            def flushed():
+            key_type = batch.column(0).type
+            for first, ends, ids in encode_all(batch.column(1), end_id):
+                columns, begin, held = ([], [], [], [], [], []), 0, ids.tobytes()
+                for doc_id, stop in zip(batch.column(0).slice(first, len(ends)).to_pylist(), ends.tolist()):
+                    n, start = stop - begin, 0
+                    for length in piece_lengths(n, limit):
+                        piece = held[4 * (begin + start) : 4 * (begin + start + length)]
+                        row = (doc_id, start, length, piece, n, length.bit_length() - 1)
+                        for column, value in zip(columns, row):
+                            column.append(value)
+                        start += length
+                    begin = stop
                 types = (key_type, pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
                 names = ("doc_id", "start", "length", "ids", "doc_tokens", "bucket")
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                n, start = len(ids) // 4, 0
-                for length in piece_lengths(n, limit):
-                    row = (doc_id, start, length, ids[4 * start : 4 * (start + length)], n, length.bit_length() - 1)
-                    for column, value in zip(columns, row):
-                        column.append(value)
-                    start += length
-                held += len(ids)
-                if held >= BATCH_BYTES:
-                    yield flushed()
-                    columns, held = ([], [], [], [], [], []), 0
-            yield flushed()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return cut
 

@@ -19,40 +19,21 @@ from plumbline.plans.materialize import fresh_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
-BATCH_IDS = 2_000_000
 #: More parts than this are joined to their offsets without a broadcast.
 BROADCAST_PARTS = 100_000
 
 
 def _writer(vocabulary: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, position = encoder(vocabulary).encode, 0
+        encode_all, position = encoder(vocabulary).encode_all, 0
         for batch in batches:
-            keys, held, first = [], [], 0
-
-            def flushed(start):
-                counts = np.array([len(x) // 4 for x in held], dtype=np.int64)
-                ends = np.cumsum(counts)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                    pa.array(np.frombuffer(b"".join(held), dtype="<i4")),
-                )
-                columns = [pa.array(keys, batch.column(0).type), pa.array(start + ends - counts), pa.array(counts), lists]
-                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "file_start", "n_tokens", "ids"])
-
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokens(text.as_py()) + end
-                keys.append(key)
-                held.append(ids)
-                first += len(ids) // 4
-                if first >= BATCH_IDS:
-                    yield flushed(position)
-                    position, keys, held, first = position + first, [], [], 0
-            if keys:
-                yield flushed(position)
-                position += first
+            for first, ends, ids in encode_all(batch.column(1), end_id):
+                offsets = np.concatenate([[0], ends])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+                keys = batch.column(0).slice(first, len(ends))
+                columns = [keys, pa.array(position + offsets[:-1]), pa.array(np.diff(offsets)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file_start", "n_tokens", "ids"])
+                position += int(ends[-1])
 
     return encode
 

@@ -113,6 +113,28 @@ def test_directory_splits_until_all_fit():
     assert {b: d for _, b, d in slots}[0] == 3 and len({b for _, b, _ in slots}) == 4
 
 
+def test_columns_of_texts_are_encoded_by_distinct_letters(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    letters = list("aAbÉéßİı数K.,!? \n\t '’0\r")
+    texts = [None, "", "Word word, word! WORD\nword; (word) é É.", "a <|endoftext|> b", "one\nTwo"]
+    texts += ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(600)]
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 400)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder, found, groups = tokens.Encoder(name), [], 0
+        for first, ends, ids in encoder.encode_all(pa.array(["before", *texts])[1:], 7):
+            assert first == len(found)
+            found += [part.tolist() for part in np.split(ids, ends)[:-1]]
+            groups += 1
+        assert groups > 1 and found == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    encoder = tokens.Encoder("word_bpe_49k.json")
+    seen, merge = [], encoder.later.merge
+    encoder.later.merge = lambda word: seen.append(word) or merge(word)
+    list(encoder.encode_all(pa.array(["x Word word, word! WORD; word?"]), 7))
+    assert seen.count("word") == 1 and not any(w != "word" and "word" in w for w in seen)
+
+
 def test_near_groups_and_passages(docs):
     rows = {r.doc_id: r for r in odd_minhash.near_groups(docs).collect()}
     assert [rows[i].component_id for i in (0, 1, 2)] == [0, 0, 0]
