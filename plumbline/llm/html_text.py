@@ -6,7 +6,8 @@ path is nearer, past copies of itself and pages without such lines. Its lines ar
 
 Markup decides first where it is explicit: scripts, styles, navigation, headers, footers, asides, forms, and elements
 named as adverts, sidebars, notices or comments are no text; lines inside ``article`` or ``main`` are text and stay even
-when another page shares them, as copies and quoted passages do. Differencing decides over all other lines.
+when another page shares them, as copies and quoted passages do. Differencing decides over all other lines, on pages with
+such a part too: an ``article`` that is shorter than what no other page shares is a teaser of it.
 """
 
 from __future__ import annotations
@@ -237,26 +238,43 @@ def copies(a: list[str], b: list[str]) -> bool:
     return size >= COPY_SHARE * max(sum(map(len, a)), sum(map(len, b))) and not _differ(a, b, shared)
 
 
-def main_text(lines: list[tuple[str, int]], partners: list[list[tuple[str, int]]]) -> str:
-    """Text of a page: its main lines, and its open lines if there is no main part, without those shared with a partner.
+def own_places(own: list[str], partners: list[list[str]]) -> set[int] | None:
+    """Places of open lines that are the page's own, by alignment with its partners' open lines; None where none of them decides.
 
-    Partners come nearest first; copies of the page are passed over, and without another partner nothing is deleted.
-    Where most of the page is shared and the rest differs, two partners must share a line, as they may be copies too.
+    Partners come nearest first; copies of the page are passed over. Where most of the page is shared and the rest
+    differs, two partners must share a line, as they may be copies too.
     """
-    if any(role == MAIN for _, role in lines):
-        return "\n".join(line for line, role in lines if role == MAIN)
-    own = open_lines(lines)
     size = sum(map(len, own))
     mostly = []
-    for partner in partners:
-        other = open_lines(partner)
+    for other in partners:
         shared = shared_lines(own, other)
         if sum(len(own[i]) for i in shared) < COPY_SHARE * size:
-            return "\n".join(line for i, line in enumerate(own) if i not in shared)
+            return set(range(len(own))) - shared
         if _differ(own, other, shared):
             mostly.append(shared)
-    template = mostly[0] & mostly[1] if len(mostly) > 1 else set()
-    return "\n".join(line for i, line in enumerate(own) if i not in template)
+    return set(range(len(own))) - (mostly[0] & mostly[1]) if len(mostly) > 1 else None
+
+
+def main_text(lines: list[tuple[str, int]], partners: list[list[tuple[str, int]]]) -> str:
+    """Text of a page: its main lines, and those open lines that differencing against the partners leaves.
+
+    Without a partner that decides, nothing is deleted from a page without main lines, and only main lines are the text
+    of one with them. Where main lines outweigh the page's own open lines, these are remarks around an article; else the
+    marked part is a teaser of them and they belong to the text.
+    """
+    own = open_lines(lines)
+    chosen = own_places(own, [open_lines(partner) for partner in partners])
+    main = sum(len(line) for line, role in lines if role == MAIN)
+    if chosen is None:
+        chosen = set() if main else set(range(len(own)))
+    elif sum(len(own[i]) for i in chosen) <= main:
+        chosen = set()
+    text, place = [], 0
+    for line, role in lines:
+        if role == MAIN or role == OPEN and place in chosen:
+            text.append(line)
+        place += role == OPEN
+    return "\n".join(text)
 
 
 def _near(a: str, b: str) -> int:

@@ -273,6 +273,23 @@ def test_differencing_looks_past_copies_and_through_heavy_templates():
     assert list(texts([heavy + own[0], heavy + own[1]]).values())[0].endswith(own[0][3:-4])  # two pages may be copies
 
 
+def test_differencing_decides_open_lines_of_pages_with_an_article(spark):
+    menu, foot = "<div>Menu of the site</div>", "<div>Notice of the site</div>"
+    teaser = [f"<article><p>Teaser {_text(90 + i, 5)}</p></article>" for i in range(3)]
+    story = [_text(95 + i, 60) for i in range(3)]
+    quote, article = _text(98, 20), [_text(200 + i, 60) for i in range(3)]
+    pages = [(i, f"http://a/{i}", f"{menu}{teaser[i]}<div>{story[i]}</div>{foot}") for i in range(3)]
+    # A quote that every neighbour shares stays in the article; a remark around a longer article is none of the text.
+    pages += [(10 + i, f"http://b/{i}", f"{menu}<article><p>{quote}</p><p>{article[i]}</p></article><div>remark {i}</div>{foot}") for i in range(3)]
+    pages += [(20, "http://c/1", f"{menu}{teaser[0]}<div>{story[0]}</div>")]  # nothing to compare with
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+    found = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    for i in range(3):
+        assert found[i] == f"{teaser[i][12:-14]}\n{story[i]}"
+        assert found[10 + i] == f"{quote}\n{article[i]}"
+    assert found[20] == teaser[0][12:-14]
+
+
 def test_alignment_is_longest():
     rng = np.random.default_rng(2)
     for _ in range(200):
