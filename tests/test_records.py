@@ -88,3 +88,17 @@ def test_documents_survive_a_round_trip(spark, small_splits, tmp_path):
     assert back.exceptAll(docs).count() == docs.exceptAll(back).count() == 0 and back.count() == docs.count()
     found = records(spark, f"{tmp_path}/out", find_breaks(spark, f"{tmp_path}/out"))
     assert found.where("first").count() == 3 and header(found) == docs.columns
+
+
+def test_documents_with_line_breaks_are_written_by_as_many_tasks_as_they_are_read(spark, tmp_path):
+    from checks.report import csv_line_breaks
+
+    rows = [(i, "two\nlines, \"q\"" if i % 2 else f"text {i}") for i in range(64)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        found = csv_line_breaks(spark, str(tmp_path))
+        assert len(found.inputFiles()) >= 12  # four before, whatever the size
+        assert sorted(map(tuple, found.collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
