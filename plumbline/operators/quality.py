@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.schema import is_text, normalize, numeric_names, sql_name, sql_text
 from ..functions.values import NUMBER_PATTERN
-from ..plans.profile import column_profile, measured
+from ..plans.profile import beyond_fences, column_profile, measured
 from ..plans.quantiles import union_all
 
 DIMENSIONS = ("completeness", "validity", "consistency", "uniqueness", "accuracy")
@@ -116,15 +116,19 @@ def accuracy_iqr(df: DataFrame, table_name: str, factor: float = 1.5, approx: bo
     """Share of present values inside the Tukey fences; 100 for other types."""
     df = normalize(df)
     numeric = numeric_names(df)
-    facts, fences = measured(df, approx, factor, columns=numeric)
-    found = {r.column_name: r for r in facts.collect()}  # one row a column
-    rows = next(iter(found.values())).row_count if found else df.count()
+    if approx:
+        facts, fences = measured(df, approx, factor, columns=numeric)
+        found = facts.collect()  # one row a column
+        rows = found[0].row_count if found else df.count()
+        beyond = {r.column_name: (r.non_null, r.outliers) for r in found if fences.get(r.column_name)}
+    else:
+        rows, beyond = beyond_fences(df, numeric, factor)
 
     def score(name: str) -> float:
         if not rows:
             return 0.0
-        told = found.get(name)
-        return 100.0 - (told.outliers * 100.0 / told.non_null if told and fences.get(name) and told.non_null else 0.0)
+        present, outliers = beyond.get(name, (0, 0))
+        return 100.0 - (outliers * 100.0 / present if present else 0.0)
 
     scored = [(table_name, name, score(name)) for name in df.columns]
     return df.sparkSession.createDataFrame(scored, "table_name string, column_name string, score double")

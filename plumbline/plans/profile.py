@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.schema import is_nested, is_numeric, is_text, numeric_names, sql_name
 from ..functions.values import NUMBER_PATTERN, row_keys
 from .frequencies import frequencies
-from .quantiles import ACCURACY, exact_quantiles, sketch_quantiles
+from .quantiles import ACCURACY, exact_quantiles, number, sketch_quantiles
 
 #: Probabilities of the quantile grid that approximate quartiles and outliers are read from: finer in the tails.
 GRID = tuple(sorted({k / 200 for k in range(201)} | {x for k in range(25) for x in (k / 1000, 1 - k / 1000)}))
@@ -135,6 +135,22 @@ def measured(
     return spark.createDataFrame(rows, _PROFILE), fences
 
 
+def beyond_fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> tuple[int, dict[str, tuple[int, int]]]:
+    """Rows, and per column with Tukey fences its present values and those beyond; ``df`` must be normalized.
+
+    Quartiles are order statistics from sketched brackets and outliers one aggregation, so only values inside a bracket
+    are shuffled, however many distinct ones a column has.
+    """
+    quartiles = exact_quantiles(df, columns, (0.25, 0.75))
+    fences = {name: pair for name, q in quartiles.items() if (pair := _fences(*q, factor, False))}
+    facts = ["count(1) AS n"]
+    for i, (name, (low, high)) in enumerate(fences.items()):
+        value = f"CAST({sql_name(name)} AS double)"
+        facts += [f"count({sql_name(name)}) AS p{i}", f"count_if({value} < {number(low)} OR {value} > {number(high)}) AS x{i}"]
+    row = df.agg(*map(F.expr, facts)).first()
+    return row.n, {name: (row[f"p{i}"], row[f"x{i}"]) for i, name in enumerate(fences)}
+
+
 def column_profile(
     df: DataFrame,
     bounds: dict[str, tuple[float, float] | None] | None = None,

@@ -111,3 +111,23 @@ def test_profile_of_empty_tables(spark):
     assert {r.score for r in quality.accuracy_iqr(none, "t").collect()} == {0.0}
     facts, fences = measured(none, approx=True)
     assert [r.row_count for r in facts.collect()] == [0, 0, 0] and fences == {"a": None}
+
+
+def test_accuracy_counts_outliers_without_folding_distinct_values(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    values = [float(x) for x in rng.standard_t(2, 400)] + [float("nan"), None, 1e300, -0.0]
+    rows = [(v, i * 7 if i % 9 else None, Decimal(int(rng.exponential(5) * 100)) / 100, "t", 5) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "a double, `b.c` bigint, d decimal(12,2), s string, flat int")
+
+    def refuse(*_, **__):
+        raise AssertionError("distinct values are folded")
+
+    monkeypatch.setattr("plumbline.plans.profile.frequencies", refuse)
+    found = {r.column_name: r.score for r in quality.accuracy_iqr(df, "t").collect()}
+    for k, name in enumerate(("a", "b.c", "d")):
+        own = np.array([float(r[k]) for r in rows if r[k] is not None and r[k] == r[k]])
+        q1, q3 = np.quantile(own, (0.25, 0.75))
+        out = ((own < q1 - 1.5 * (q3 - q1)) | (own > q3 + 1.5 * (q3 - q1))).sum()
+        assert out or name == "b.c"
+        assert found[name] == pytest.approx(100 - 100 * out / len(own), abs=1e-9)
+    assert found["s"] == found["flat"] == 100.0
