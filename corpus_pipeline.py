@@ -40,7 +40,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without a doc_id or without words belong to no group and stay.
     """
     groups = odd_minhash.near_groups(docs, size=5)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
+    # A written table has a size to plan by: texts are not shuffled against ids that fit a broadcast.
+    dropped = materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     return _columns(docs.join(dropped, "doc_id", "left_anti"))
 
 

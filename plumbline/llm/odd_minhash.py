@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.words import hash_words, mixed, shingles, split_words
+from plumbline.llm.words import forget, hash_words, mixed, shingles, split_words
 from plumbline.plans.materialize import materialize
 
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^6)^40, short of 1 by 5e-6.
@@ -36,8 +36,8 @@ SKETCH_BITS = 512
 SHINGLE, THRESHOLD = 2, 0.8
 #: Estimated similarity below which a pair is not confirmed: six standard errors under the threshold or more.
 SKETCH_FLOOR = 0.6
-_BLOCK = 512
-
+#: Words of the texts that are signed together.
+_GROUP = 32_768
 
 
 class Hashes:
@@ -51,22 +51,26 @@ class Hashes:
         self.added = rng.integers(0, 2**63, n, dtype=np.uint64)
         self.places = rng.integers(1, 2**63, n, dtype=np.uint64)
 
-    def samples(self, unique: np.ndarray) -> np.ndarray:
-        """The smallest value of each function over a set of shingles."""
-        best = np.full(len(self.factors), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for i in range(0, len(unique), _BLOCK):
-            np.minimum(best, (unique[i : i + _BLOCK, None] * self.factors + self.added).min(axis=0), out=best)
+    def samples(self, unique: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """The smallest value of each function over each set; sets stand one after another and begin at ``firsts``."""
+        best, value = np.empty((len(firsts), len(self.factors)), dtype=np.uint64), np.empty_like(unique)
+        for k, (factor, added) in enumerate(zip(self.factors, self.added)):
+            np.multiply(unique, factor, out=value)
+            np.add(value, added, out=value)
+            best[:, k] = np.minimum.reduceat(value, firsts)
         return best
 
     def keys(self, samples: np.ndarray) -> np.ndarray:
-        """One number for each band."""
-        rows = samples.reshape(self.bands, self.rows) * self.factors[: self.rows]
-        return mixed(rows.sum(axis=1) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
+        """One number for each set and band."""
+        rows = samples.reshape(-1, self.bands, self.rows) * self.factors[: self.rows]
+        return mixed(rows.sum(axis=2) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
-        """Parity bitmap of (function, sample) pairs as 64-bit numbers."""
+        """Parity bitmap of each set's (function, sample) pairs as 64-bit numbers."""
         bits = mixed(samples ^ self.places) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
-        return np.packbits(np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).view("<i8")
+        bits = bits.astype(np.int64) + SKETCH_BITS * np.arange(len(samples))[:, None]
+        odd = np.bincount(bits.ravel(), minlength=SKETCH_BITS * len(samples)) & 1
+        return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1).view("<i8")
 
     def most_odd_bits(self, floor: float) -> int:
         """Population count of the XOR of two sketches at the estimated similarity ``floor``."""
@@ -74,28 +78,66 @@ class Hashes:
         return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS)))
 
 
-def text_set(text: str | None, size: int) -> np.ndarray:
-    """The set of shingles of a text, sorted."""
-    return np.unique(shingles(hash_words(split_words(text)), size))
+def _groups(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """Hashes of the words of consecutive texts, in groups of ``_GROUP`` words and one text more at most."""
+    group, n = [], 0
+    for value in texts:
+        group.append(hash_words(split_words(value.as_py())))
+        n += len(group[-1])
+        if n >= _GROUP or len(group) >= _GROUP // 8:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
+def _sets(group: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of shingles of a group of texts, one after another and each sorted, and how many each text has."""
+    lengths = np.array([len(words) for words in group])
+    counts = np.where(lengths < size, np.minimum(lengths, 1), lengths - size + 1)
+    ends = counts.cumsum()
+    found = np.zeros(int(ends[-1]), dtype=np.uint64)
+    where = lengths.cumsum() - lengths
+    words = np.concatenate(group)
+    if (lengths >= size).any():
+        runs = shingles(words, size)  # those over the border of two texts are not taken
+        whole = np.repeat(lengths >= size, counts)
+        at = np.repeat(where - (ends - counts), counts) + np.arange(len(found))
+        found[whole] = runs[at[whole]]
+    for i in np.flatnonzero((lengths > 0) & (lengths < size)):
+        found[ends[i] - 1] = shingles(group[i], size)[0]
+    for begin, end in zip(ends - counts, ends):
+        found[begin:end].sort()
+    first = np.ones(len(found), dtype=bool)
+    first[1:] = found[1:] != found[:-1]
+    first[(ends - counts)[counts > 0]] = True
+    text = np.repeat(np.arange(len(group)), counts)[first]
+    return found[first], np.bincount(text, minlength=len(group))
+
+
+def _lists(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """A list for every valid place, null elsewhere."""
+    offsets = np.r_[0, (valid * rows.shape[1]).cumsum()].astype(np.int32)
+    nulls = pa.array(~valid)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()), mask=nulls)
 
 
 def _signer(size: int, hashes: Hashes):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, classes, bands, sketches = [], [], [], []
-            for value in batch.column(1):
-                own = text_set(value.as_py(), size)
-                counts.append(len(own))
-                if not len(own):
-                    classes.append(None), bands.append(None), sketches.append(None)
-                    continue
-                samples = hashes.samples(own)
-                classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                bands.append(hashes.keys(samples))
-                sketches.append(hashes.sketch(samples))
-            numbers = pa.list_(pa.int64())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, numbers), pa.array(sketches, numbers)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "bands", "sketch"])
+            at = 0
+            for group in _groups(batch.column(1)):
+                items, counts = _sets(group, size)
+                valid = counts > 0
+                ends = counts.cumsum()
+                samples = hashes.samples(items, (ends - counts)[valid])
+                held = memoryview(items.tobytes())
+                classes = [hashlib.blake2b(held[8 * (e - n) : 8 * e], digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), counts.tolist())]
+                columns = [batch.column(0).slice(at, len(group)), pa.array(counts, pa.int64()), pa.array(classes, pa.binary())]
+                columns += [_lists(rows, valid) for rows in (hashes.keys(samples), hashes.sketch(samples))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "bands", "sketch"])
+                at += len(group)
+        forget()  # a worker waits for its next task beside a busy JVM
 
     return sign
 
@@ -103,8 +145,13 @@ def _signer(size: int, hashes: Hashes):
 def _setter(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_set(value.as_py(), size).view(np.int64) for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "items"])
+            at = 0
+            for group in _groups(batch.column(1)):
+                items, counts = _sets(group, size)
+                found = pa.ListArray.from_arrays(pa.array(np.r_[0, counts.cumsum()].astype(np.int32)), pa.array(items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), found], names=["rep", "items"])
+                at += len(group)
+        forget()
 
     return sets
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 #: Hashed words that a worker keeps; beyond it the dictionary is emptied, which changes speed only.
 CACHED_WORDS = 250_000
@@ -23,8 +24,9 @@ _HASHES = _Hashes()
 
 
 def forget() -> None:
-    """Empty the cache of this worker."""
+    """Empty the cache of this worker and return what Arrow has freed."""
     _HASHES.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -144,6 +144,46 @@ def test_near_groups_and_passages(docs):
     assert spans[8] == (30, 70) and spans[9] == (20, 70) and 11 not in spans
 
 
+def test_signing_keeps_nothing_and_yields_small_groups(monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.llm import words
+
+    texts = [None, "", " ", "one", "Two words", "a a a A a a"] + [_text(i, 1 + 37 * i % 300) for i in range(60)] + ["last", None]
+    monkeypatch.setattr(odd_minhash, "_GROUP", 400)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    hashes = odd_minhash.Hashes(4, 3)
+    for size in (2, 5):
+        signed = list(odd_minhash._signer(size, hashes)([batch]))
+        assert not words._HASHES and len(signed) > 10 and max(sum(b.column(1).to_pylist()) for b in signed) < 400 + 300
+        rows = [row for b in signed for row in b.to_pylist()]
+        assert [row["doc_id"] for row in rows] == list(range(len(texts)))
+        items = [row["items"] for b in odd_minhash._setter(size)([batch]) for row in b.to_pylist()]
+        assert not words._HASHES
+        for text, row, found in zip(texts, rows, items):
+            own = (text or "").lower().split()
+            runs = {tuple(own[k : k + size]) for k in range(max(1, len(own) - size + 1))} if own else set()
+            assert (len(runs), len(set(found)), row["class"] is None) == (row["n_shingles"], len(found), not own)
+            assert len(found) == len(runs)
+            if own:
+                alone = odd_minhash.shingles(odd_minhash.hash_words(odd_minhash.split_words(text)), size)
+                assert np.unique(alone).view(np.int64).tolist() == found
+                best = (np.unique(alone)[:, None] * hashes.factors + hashes.added).min(axis=0)
+                assert hashes.keys(best[None])[0].tolist() == row["bands"] and hashes.sketch(best[None])[0].tolist() == row["sketch"]
+        words.forget()
+
+
+def test_near_copies_leave_the_pipeline_without_a_shuffle_of_texts(spark, docs):
+    import corpus_pipeline
+
+    table = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    left = corpus_pipeline.near(spark, table, "")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    groups = {r.doc_id: r.kept for r in odd_minhash.near_groups(table, size=5).collect()}
+    assert {r.doc_id for r in left.collect()} == {i for i, kept in groups.items() if kept}
+
+
 def test_every_shared_window_keeps_one_copy(spark):
     a, b, x, y = (_text(seed, 60) for seed in (31, 32, 33, 34))
     tails = [_text(100 + i, 20) for i in range(9)]
