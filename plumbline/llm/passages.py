@@ -6,8 +6,8 @@ Two kinds of passage are compared over all documents.
   a line without words. MinHash bands tuned for high recall gather them, exact Jaccard similarity of their five-word
   shingles confirms them, and links are clustered by components.
 * Windows of ``LEAST_WORDS`` words anywhere in a text, as a passage may stand inside a line. A window's MinHash is the
-  smallest hash of its shorter word runs, so equal windows share it. Windows around runs that two documents share are
-  then compared by all their words.
+  smallest hash of its shorter word runs, so equal windows share it. Windows whose smallest run two documents
+  share are then compared by all their words.
 
 Of each cluster of paragraphs one is kept: the joined lines or line by itself of the smallest (doc_id, start), and if
 there is none, the first line inside joined lines that stay. The others are removals. Of each shared window
@@ -52,13 +52,18 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         width *= 2
 
 
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Places of the smallest value (the last of equals) of every ``width`` consecutive values, each once, in order."""
+def window_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest value (the last of equals) of every ``width`` consecutive values."""
     if len(values) < width:
         return np.zeros(0, dtype=np.int64)
     views = np.lib.stride_tricks.sliding_window_view(values[::-1], width)
     chosen = [len(values) - 1 - (views[i : i + 65536].argmin(axis=1) + np.arange(i, i + len(views[i : i + 65536]))) for i in range(0, len(views), 65536)]
-    return np.unique(np.concatenate(chosen))
+    return np.concatenate(chosen)[::-1]
+
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Places of the smallest values of all windows, each once, in order."""
+    return np.unique(window_places(values, width))
 
 
 def _batch(key, **columns) -> pa.RecordBatch:
@@ -82,17 +87,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows around shared runs: doc_id, start, hash of all words, cut (whether it meets a removed paragraph).
+    """Windows whose smallest run is shared: doc_id, start, hash of all words, cut (whether it meets a removed paragraph).
 
+    Equal windows have the same smallest run at the same place in them, so no other window can be shared.
     Columns in: doc_id, text, starts of runs, starts and ends of removed paragraphs by turns (null without any).
     """
     for batch in batches:
         rows, starts, hashes, cuts = [], [], [], []
         for i, (value, runs, removed) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3))):
-            own = run_hashes(hash_words(split_words(value.as_py())), LEAST_WORDS)
-            near = runs.values.to_numpy()[:, None] - np.arange(LEAST_WORDS - RUN + 1)
-            at = np.unique(near)
-            at = at[(at >= 0) & (at < len(own))]
+            words = hash_words(split_words(value.as_py()))
+            own = run_hashes(words, LEAST_WORDS)
+            at = np.flatnonzero(np.isin(window_places(run_hashes(words, RUN), LEAST_WORDS - RUN + 1), runs.values.to_numpy()))
             lost = np.zeros(len(own) + LEAST_WORDS, dtype=np.int64)  # removed words before each place
             if removed.is_valid:
                 for start, end in removed.values.to_numpy().reshape(-1, 2):
@@ -243,14 +248,15 @@ def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame
     span = F.array(F.col("start").cast("bigint"), F.col("start") + F.col("n_words"))
     lost = removed.groupBy("doc_id").agg(F.flatten(F.collect_list(span)).alias("removed"))  # no more than twice a text's lines
     around = docs.join(places, "doc_id").join(lost, "doc_id", "left").select("doc_id", "text", "starts", "removed")
-    windows = materialize(around.mapInArrow(_windows, row + ", cut boolean").distinct(), "windows")
+    # Rows that repeat a doc_id may give a window twice; the smallest copy and the sets below take it once.
+    windows = materialize(around.mapInArrow(_windows, row + ", cut boolean"), "windows")
     copies = windows.groupBy("hash").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct("cut", "doc_id", "start")).alias("keep")
     )
     copies = copies.where("a != b").select("hash", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.start").alias("keep_start"))
     own = (F.col("doc_id") == F.col("keep_doc")) & (F.col("start") == F.col("keep_start"))
     placed = windows.join(copies, "hash").select("doc_id", F.struct("start", "keep_doc", "keep_start", own.alias("own")).alias("window"))
-    texts = placed.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))  # no more than a text's words
+    texts = placed.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))  # no more than a text's words
     spans = texts.mapInArrow(_spans, f"doc_id {key}, start int, n_words bigint, keep_doc {key}, keep_start int")
     spans = materialize(spans, "spans")
     kept = spans.where("keep_doc is null").select("doc_id", "start", "n_words")

@@ -205,6 +205,22 @@ def test_every_shared_window_keeps_one_copy(spark):
     assert gone == {(i, k + j) for p in shared for i, k in p for j in range(50)} - stay
 
 
+def test_only_windows_of_a_shared_run_become_rows():
+    import pyarrow as pa
+
+    text = _text(61, 400)
+    runs = passages.run_hashes(odd_minhash.hash_words(odd_minhash.split_words(text)), passages.RUN)
+    width = passages.LEAST_WORDS - passages.RUN + 1
+    smallest = [max(range(k, k + width), key=lambda j: (-int(runs[j]), j)) for k in range(351)]
+    assert passages.window_places(runs, width).tolist() == smallest
+    shared = sorted(set(smallest))[3:6]
+    columns = [pa.array([1, 2]), pa.array([text, "short"]), pa.array([shared, [0]], pa.list_(pa.int32())), pa.array([None, None], pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "starts", "removed"])
+    (found,) = passages._windows([batch])
+    assert found.column(1).to_pylist() == [k for k in range(351) if smallest[k] in shared]
+    assert set(found.column(0).to_pylist()) == {1} and not any(found.column(3).to_pylist())
+
+
 def test_near_copies_of_short_and_joined_lines(spark):
     short, other, parts = _text(41, 20), _text(42, 30), [_text(50 + i, 25) for i in range(3)]
     edited = " ".join([*" ".join(parts).split()[:-1], "edited"])
