@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.odd_minhash import Hashes, near_groups
 from plumbline.llm.words import hash_words, mixed, split_words
-from plumbline.plans.materialize import materialize
+from plumbline.plans.materialize import materialize, settle
 
 LEAST_WORDS, SHINGLE, THRESHOLD = 50, 5, 0.8
 #: Lines of similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^16, short of 1 by 1e-5.
@@ -236,12 +236,8 @@ def repeated_paragraphs(docs: DataFrame, key: str) -> DataFrame:
     ).distinct()
 
 
-def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
-    """Passages that stand word for word in another document: doc_id, start, n_words, cluster_doc, cluster_start.
-
-    ``removed`` has the spans (doc_id, start, n_words) that go anyway. A cluster is a kept span; a removed span belongs
-    to the one that holds the kept copy of its first window.
-    """
+def _window_spans(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
+    """Kept and removed spans of shared windows, as ``_spans`` gives them."""
     row = f"doc_id {key}, start int, hash bigint"
     runs = materialize(docs.mapInArrow(_runs, row), "runs")
     places = _shared(runs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))  # no more than a text's words
@@ -257,8 +253,16 @@ def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame
     own = (F.col("doc_id") == F.col("keep_doc")) & (F.col("start") == F.col("keep_start"))
     placed = windows.join(copies, "hash").select("doc_id", F.struct("start", "keep_doc", "keep_start", own.alias("own")).alias("window"))
     texts = placed.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))  # no more than a text's words
-    spans = texts.mapInArrow(_spans, f"doc_id {key}, start int, n_words bigint, keep_doc {key}, keep_start int")
-    spans = materialize(spans, "spans")
+    return texts.mapInArrow(_spans, f"doc_id {key}, start int, n_words bigint, keep_doc {key}, keep_start int")
+
+
+def repeated_windows(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
+    """Passages that stand word for word in another document: doc_id, start, n_words, cluster_doc, cluster_start.
+
+    ``removed`` has the spans (doc_id, start, n_words) that go anyway. A cluster is a kept span; a removed span belongs
+    to the one that holds the kept copy of its first window.
+    """
+    spans = settle(docs.sparkSession, lambda: _window_spans(docs, key, removed), "spans")
     kept = spans.where("keep_doc is null").select("doc_id", "start", "n_words")
     own = kept.withColumn("cluster_doc", F.col("doc_id")).withColumn("cluster_start", F.col("start"))
     holder = kept.select(F.col("doc_id").alias("cluster_doc"), F.col("start").alias("cluster_start"), F.col("n_words").alias("held"))
@@ -279,7 +283,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     source = docs.where("doc_id is not null").select("doc_id", "text")
     key = source.schema["doc_id"].dataType.simpleString()
     kept = (F.col("doc_id") == F.col("cluster_doc")) & (F.col("start") == F.col("cluster_start"))
-    lines = materialize(repeated_paragraphs(source, key), "lines")
+    # Tables of the way to the lines, and to the spans, take more disk than these; they go as soon as these are written.
+    lines = settle(docs.sparkSession, lambda: repeated_paragraphs(source, key), "lines")
     windows = repeated_windows(source, key, lines.where("not kept").select("doc_id", "start", "n_words"))
     return lines.unionByName(windows.withColumn("kind", F.lit("window")).withColumn("kept", kept))
 

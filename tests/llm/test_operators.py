@@ -221,6 +221,19 @@ def test_only_windows_of_a_shared_run_become_rows():
     assert set(found.column(0).to_pylist()) == {1} and not any(found.column(3).to_pylist())
 
 
+def test_tables_of_the_way_to_passages_are_deleted(spark):
+    import os
+
+    from plumbline.plans.materialize import shared_folder
+
+    text = _text(71, 90)
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = [(1, text), (2, f"{text} tail"), (3, _text(72, 60)), (2, text)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert found and {name.split("-")[0] for name in set(os.listdir(folder)) - before} == {"lines", "spans"}
+
+
 def test_near_copies_of_short_and_joined_lines(spark):
     short, other, parts = _text(41, 20), _text(42, 30), [_text(50 + i, 25) for i in range(3)]
     edited = " ".join([*" ".join(parts).split()[:-1], "edited"])
