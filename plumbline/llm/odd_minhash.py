@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.words import forget, hash_words, mixed, shingles, split_words
-from plumbline.plans.materialize import materialize
+from plumbline.llm.word_numbers import hash_words, hashed
+from plumbline.llm.words import forget, mixed, shingles, split_words
+from plumbline.plans.materialize import materialize, release
 
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^6)^40, short of 1 by 5e-6.
 BANDS, ROWS = 40, 6
@@ -78,41 +80,36 @@ class Hashes:
         return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS)))
 
 
-def _groups(texts: pa.Array) -> Iterator[list[np.ndarray]]:
-    """Hashes of the words of consecutive texts, in groups of ``_GROUP`` words and one text more at most."""
-    group, n = [], 0
-    for value in texts:
-        group.append(hash_words(split_words(value.as_py())))
-        n += len(group[-1])
-        if n >= _GROUP or len(group) >= _GROUP // 8:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, word hashes and lengths of consecutive texts, in groups of ``_GROUP`` words and one text more at most."""
+    for piece, words, lengths in hashed(batch):
+        ends, at = np.r_[0, lengths.cumsum()], 0
+        while at < len(piece):
+            last = min(int(np.searchsorted(ends, ends[at] + _GROUP)), at + _GROUP // 8, len(piece))
+            yield piece.column(0).slice(at, last - at), words[ends[at] : ends[last]], lengths[at:last]
+            at = last
 
 
-def _sets(group: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _sets(words: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The sets of shingles of a group of texts, one after another and each sorted, and how many each text has."""
-    lengths = np.array([len(words) for words in group])
     counts = np.where(lengths < size, np.minimum(lengths, 1), lengths - size + 1)
     ends = counts.cumsum()
     found = np.zeros(int(ends[-1]), dtype=np.uint64)
     where = lengths.cumsum() - lengths
-    words = np.concatenate(group)
     if (lengths >= size).any():
         runs = shingles(words, size)  # those over the border of two texts are not taken
         whole = np.repeat(lengths >= size, counts)
         at = np.repeat(where - (ends - counts), counts) + np.arange(len(found))
         found[whole] = runs[at[whole]]
     for i in np.flatnonzero((lengths > 0) & (lengths < size)):
-        found[ends[i] - 1] = shingles(group[i], size)[0]
+        found[ends[i] - 1] = shingles(words[where[i] : where[i] + lengths[i]], size)[0]
     for begin, end in zip(ends - counts, ends):
         found[begin:end].sort()
     first = np.ones(len(found), dtype=bool)
     first[1:] = found[1:] != found[:-1]
     first[(ends - counts)[counts > 0]] = True
-    text = np.repeat(np.arange(len(group)), counts)[first]
-    return found[first], np.bincount(text, minlength=len(group))
+    text = np.repeat(np.arange(len(lengths)), counts)[first]
+    return found[first], np.bincount(text, minlength=len(lengths))
 
 
 def _lists(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
@@ -125,18 +122,16 @@ def _lists(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
 def _signer(size: int, hashes: Hashes):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for group in _groups(batch.column(1)):
-                items, counts = _sets(group, size)
+            for keys, words, lengths in _groups(batch):
+                items, counts = _sets(words, lengths, size)
                 valid = counts > 0
                 ends = counts.cumsum()
                 samples = hashes.samples(items, (ends - counts)[valid])
                 held = memoryview(items.tobytes())
                 classes = [hashlib.blake2b(held[8 * (e - n) : 8 * e], digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), counts.tolist())]
-                columns = [batch.column(0).slice(at, len(group)), pa.array(counts, pa.int64()), pa.array(classes, pa.binary())]
+                columns = [keys, pa.array(counts, pa.int64()), pa.array(classes, pa.binary())]
                 columns += [_lists(rows, valid) for rows in (hashes.keys(samples), hashes.sketch(samples))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "bands", "sketch"])
-                at += len(group)
         forget()  # a worker waits for its next task beside a busy JVM
 
     return sign
@@ -145,12 +140,10 @@ def _signer(size: int, hashes: Hashes):
 def _setter(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for group in _groups(batch.column(1)):
-                items, counts = _sets(group, size)
+            for keys, words, lengths in _groups(batch):
+                items, counts = _sets(words, lengths, size)
                 found = pa.ListArray.from_arrays(pa.array(np.r_[0, counts.cumsum()].astype(np.int32)), pa.array(items.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), found], names=["rep", "items"])
-                at += len(group)
+                yield pa.RecordBatch.from_arrays([keys, found], names=["rep", "items"])
         forget()
 
     return sets
@@ -242,9 +235,12 @@ def near_groups(
     threshold: float = THRESHOLD,
     hashes: Hashes | None = None,
     floor: float = SKETCH_FLOOR,
+    rounds: int = 1,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
+    ``rounds``: buckets of so many shares of the bands are gathered one after another, which takes less disk at once.
+
     ``docs`` needs doc_id and text; other columns are not read. A text without words is linked with nothing. Equal sets
     are always linked. Rows with a null doc_id are not linked; their component is null. Rows that repeat a doc_id are
     one node and share its component. An empty table gives no rows.
@@ -260,15 +256,24 @@ def near_groups(
     classes = materialize(
         classes.select("class", F.col("best.doc_id").alias("rep"), "best.n_shingles", "best.sketch", "best.bands"), "classes"
     )
-    # One exchange serves the count and the join.
-    members = classes.select("rep", F.explode("bands").alias("band")).repartition("band")
-    crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(members.join(crowded, "band"), "members")
+    # Each row with the class it is in; wide rows go as soon as they have been read for the last time.
+    own = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
+    own = materialize(own.select("doc_id", "n_shingles", "class", F.coalesce("rep", "doc_id").alias("rep")), "own")
+    release(signed)
+    parts = []
+    for bands in np.array_split(np.arange(hashes.bands), rounds):
+        # One exchange serves the count, which reads rep for that, and the join.
+        part = classes.select("rep", F.explode(F.slice("bands", int(bands[0]) + 1, len(bands))).alias("band")).repartition("band")
+        crowded = part.groupBy("band").agg(F.count("rep").alias("n")).where("n > 1")
+        parts.append(materialize(part.join(crowded, "band"), "members"))
+    members = reduce(DataFrame.unionByName, parts)
     # The original of many copies meets more of them than any copy does, so it is the best centre of a star.
     met = members.groupBy("rep").agg(F.sum("n").alias("met"))
     centres = members.join(met, "rep").groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), "rep")).alias("best"))
     members = materialize(members.select("band", "rep").join(centres, "band"), "stars")
-    facts = classes.select("rep", "n_shingles", "sketch")
+    facts = classes.select("rep", "n_shingles", "sketch").join(members.select("rep").distinct(), "rep", "left_semi")
+    facts = materialize(facts, "facts")  # of classes in buckets; no other is looked up
+    release(classes)
 
     # First pass: one pair a member, with the best centre of its buckets; later passes do not rely on the choice.
     stars = members.groupBy("rep").agg(F.min("best").alias("best")).select(F.col("rep").alias("u"), F.col("best.rep").alias("v"))
@@ -277,7 +282,8 @@ def near_groups(
     links = compared.where("linked").select("u", "v").distinct()
     # A doc_id with several texts has several sets, so its differences from a pivot mean nothing: the third pass takes it.
     text_class = F.coalesce("class", F.lit(b""))
-    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(text_class).alias("one"), F.max(text_class).alias("other"))
+    repeated = materialize(own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    several = own.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(text_class).alias("one"), F.max(text_class).alias("other"))
     several = materialize(several.where("one != other").select("doc_id"), "several-texts")
     plain = stars.join(several.withColumnRenamed("doc_id", "u"), "u", "left_anti").join(several.withColumnRenamed("doc_id", "v"), "v", "left_anti")
     plain = materialize(plain.select("u", "v"), "plain-pairs")
@@ -291,7 +297,7 @@ def near_groups(
 
     # Third pass: what a bucket's members still leave apart.
     placed = members.select("band", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = materialize(placed.select("band", "rep", F.coalesce("component", "rep").alias("component")), "placed")
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
     apart = placed.join(main.where("parts > 1").drop("parts"), "band").join(facts, "rep")
@@ -310,11 +316,9 @@ def near_groups(
         links = links.unionByName(_confirmed(late, source, size, threshold))
         group = components(links)
 
-    own = signed.where("doc_id is not null").join(classes.select("class", "rep"), "class", "left")
-    own = own.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    placed = own.join(group.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = own.where("doc_id is not null").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     found = placed.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    unnamed = signed.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    unnamed = own.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(unnamed).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -22,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.odd_minhash import Hashes, near_groups
-from plumbline.llm.words import hash_words, mixed, split_words
-from plumbline.plans.materialize import materialize, settle
+from plumbline.llm.word_numbers import hashed, pieces, word_places
+from plumbline.llm.words import forget, mixed
+from plumbline.plans.materialize import materialize, release, settle
 
 LEAST_WORDS, SHINGLE, THRESHOLD = 50, 5, 0.8
 #: Lines of similarity 0.8 share a band with probability 1 - (1 - 0.8^3)^16, short of 1 by 1e-5.
@@ -53,37 +55,52 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def window_places(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest value (the last of equals) of every ``width`` consecutive values."""
-    if len(values) < width:
+    """Place of the smallest value (the last of equals) of every ``width`` consecutive values; widths double."""
+    n = len(values) - width + 1
+    if n < 1:
         return np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(values[::-1], width)
-    chosen = [len(values) - 1 - (views[i : i + 65536].argmin(axis=1) + np.arange(i, i + len(views[i : i + 65536]))) for i in range(0, len(views), 65536)]
-    return np.concatenate(chosen)[::-1]
-
-
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Places of the smallest values of all windows, each once, in order."""
-    return np.unique(window_places(values, width))
+    least, place, held = values, np.arange(len(values)), 1
+    while held < width:
+        step = min(held, width - held)  # the last two windows overlap
+        before = least[:-step] < least[step:]
+        least, place = np.where(before, least[:-step], least[step:]), np.where(before, place[:-step], place[step:])
+        held += step
+    return place
 
 
 def _batch(key, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([key, *columns.values()], names=["doc_id", *columns])
 
 
+def _smallest_runs(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose words stand one after another: hashes of all runs, windows within a text, their smallest runs' places."""
+    runs = run_hashes(words, RUN)
+    places = window_places(runs, LEAST_WORDS - RUN + 1)
+    left = np.repeat(lengths.cumsum(), lengths)[: len(places)] - np.arange(len(places))  # words up to the text's end
+    at = np.flatnonzero(left >= LEAST_WORDS)
+    return runs, at, places[at]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window's smallest run: doc_id, start, hash."""
     for batch in batches:
-        rows, starts, hashes = [], [], []
-        for i, value in enumerate(batch.column(1)):
-            own = run_hashes(hash_words(split_words(value.as_py())), RUN)
-            at = window_minima(own, LEAST_WORDS - RUN + 1)
-            rows.append(np.full(len(at), i)), starts.append(at), hashes.append(own[at])
-        take = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        yield _batch(
-            batch.column(0).take(pa.array(take)),
-            start=pa.array(np.concatenate(starts or [take]).astype(np.int32)),
-            hash=pa.array(np.concatenate(hashes or [take.astype(np.uint64)]).view(np.int64)),
-        )
+        for piece, words, lengths in hashed(batch):
+            runs, _, places = _smallest_runs(words, lengths)
+            at = places[np.diff(places, prepend=-1) > 0]  # places never fall
+            ends = lengths.cumsum()
+            rows = np.searchsorted(ends, at, side="right")
+            yield _batch(
+                piece.column(0).take(pa.array(rows)),
+                start=pa.array((at - (ends - lengths)[rows]).astype(np.int32)),
+                hash=pa.array(runs[at].view(np.int64)),
+            )
+    forget()
+
+
+def _listed(lists: pa.Array, each: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each ``each`` values of a column of lists, and all values; a null list is empty."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(counts)), counts // each), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,25 +110,29 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Columns in: doc_id, text, starts of runs, starts and ends of removed paragraphs by turns (null without any).
     """
     for batch in batches:
-        rows, starts, hashes, cuts = [], [], [], []
-        for i, (value, runs, removed) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3))):
-            words = hash_words(split_words(value.as_py()))
-            own = run_hashes(words, LEAST_WORDS)
-            at = np.flatnonzero(np.isin(window_places(run_hashes(words, RUN), LEAST_WORDS - RUN + 1), runs.values.to_numpy()))
-            lost = np.zeros(len(own) + LEAST_WORDS, dtype=np.int64)  # removed words before each place
-            if removed.is_valid:
-                for start, end in removed.values.to_numpy().reshape(-1, 2):
-                    lost[start + 1 : end + 1] = 1
-            lost = lost.cumsum()
-            rows.append(np.full(len(at), i)), starts.append(at), hashes.append(own[at])
-            cuts.append(lost[at + LEAST_WORDS] > lost[at])
-        take = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        yield _batch(
-            batch.column(0).take(pa.array(take)),
-            start=pa.array(np.concatenate(starts or [take]).astype(np.int32)),
-            hash=pa.array(np.concatenate(hashes or [take.astype(np.uint64)]).view(np.int64)),
-            cut=pa.array(np.concatenate(cuts or [take.astype(bool)])),
-        )
+        for piece, words, lengths in hashed(batch):
+            ends = lengths.cumsum()
+            heads = ends - lengths
+            _, at, places = _smallest_runs(words, lengths)
+            shared = np.zeros(len(words), dtype=bool)
+            rows, starts = _listed(piece.column(2))
+            inside = starts < lengths[rows]  # rows that repeat a doc_id have the runs of all their texts
+            shared[(heads[rows] + starts)[inside]] = True
+            at = at[shared[places]]
+            lost = np.zeros(len(words) + 1, dtype=np.int64)
+            rows, spans = _listed(piece.column(3), 2)
+            spans = heads[rows, None] + np.minimum(spans.reshape(-1, 2), lengths[rows, None])
+            np.add.at(lost, spans[:, 0], 1)
+            np.add.at(lost, spans[:, 1], -1)
+            lost = np.r_[0, (lost.cumsum() > 0).cumsum()]  # removed words before each place
+            rows = np.searchsorted(ends, at, side="right")
+            yield _batch(
+                piece.column(0).take(pa.array(rows)),
+                start=pa.array((at - heads[rows]).astype(np.int32)),
+                hash=pa.array(run_hashes(words, LEAST_WORDS)[at].view(np.int64)),
+                cut=pa.array(lost[at + LEAST_WORDS] > lost[at]),
+            )
+    forget()
 
 
 def _runs_of(mask: np.ndarray) -> np.ndarray:
@@ -155,42 +176,52 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, first byte, last byte + 1, first word and number of words of every line of texts as ``pieces`` gives them."""
+    feeds, words = np.flatnonzero(data == ord("\n")), word_places(data, ends)[0]
+    counts = np.bincount(np.searchsorted(ends, feeds, side="right") - 1, minlength=len(ends) - 1) + 1
+    row, last = np.repeat(np.arange(len(counts)), counts), counts.cumsum() - 1
+    inner = np.ones(len(row), dtype=bool)
+    inner[last] = False
+    begins, closes = np.empty(len(row), dtype=np.int64), np.empty(len(row), dtype=np.int64)
+    closes[last], closes[inner] = ends[1:], feeds
+    begins[last - counts + 1], begins[1:][inner[:-1]] = ends[:-1], feeds + 1
+    before = np.searchsorted(words, begins)
+    return row, begins, closes, before - np.searchsorted(words, ends[:-1])[row], np.searchsorted(words, closes) - before
+
+
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paragraphs of ``SHINGLE`` words or more: doc_id, start in words, n_words, start and n_words of the joined lines around, text."""
     for batch in batches:
-        rows, starts, lengths, tops, top_lengths, texts = [], [], [], [], [], []
-
-        def add(row: int, start: int, n: int, top: int, top_n: int, text: str) -> None:
-            if n >= SHINGLE:
-                rows.append(row), starts.append(start), lengths.append(n), tops.append(top), top_lengths.append(top_n), texts.append(text)
-
-        def close(row: int, run: list[tuple[int, int, str]]) -> None:
-            if run:
-                top, total = run[0][0], sum(n for _, n, _ in run)
-                add(row, top, total, top, total, "\n".join(line for *_, line in run))
-                for start, n, line in run if len(run) > 1 else ():
-                    add(row, start, n, top, total, line)
-                run.clear()
-
-        for i, value in enumerate(batch.column(1)):
-            at, run = 0, []
-            for line in (value.as_py() or "").split("\n"):
-                n = len(line.encode().split())
-                if 0 < n < LEAST_WORDS:
-                    run.append((at, n, line))
-                else:
-                    close(i, run)
-                    add(i, at, n, at, n, line)
-                at += n
-            close(i, run)
-        yield _batch(
-            batch.column(0).take(pa.array(rows, pa.int64())),
-            start=pa.array(starts, pa.int32()),
-            n_words=pa.array(lengths, pa.int64()),
-            top=pa.array(tops, pa.int32()),
-            top_words=pa.array(top_lengths, pa.int64()),
-            text=pa.array(texts, pa.string()),
-        )
+        for piece, data, ends in pieces(batch):
+            row, begins, closes, at, n = _lines(data, ends)
+            short = (n > 0) & (n < LEAST_WORDS)
+            opens, shuts = short.copy(), short.copy()  # first and last of consecutive short lines of a text
+            opens[1:] &= ~short[:-1] | (row[1:] != row[:-1])
+            shuts[:-1] &= ~short[1:] | (row[1:] != row[:-1])
+            head, tail = np.flatnonzero(opens), np.flatnonzero(shuts)
+            total = at[tail] + n[tail] - at[head]
+            joined = (opens.cumsum() - 1)[inner := np.flatnonzero(short & ~(opens & shuts))]
+            alone = np.flatnonzero(n >= LEAST_WORDS)
+            found = np.concatenate(
+                [
+                    [row[alone], at[alone], n[alone], at[alone], n[alone], begins[alone], closes[alone]],
+                    [row[head], at[head], total, at[head], total, begins[head], closes[tail]],
+                    [row[inner], at[inner], n[inner], at[head][joined], total[joined], begins[inner], closes[inner]],
+                ],
+                axis=1,
+            )
+            found = found[:, found[2] >= SHINGLE]
+            held = data.tobytes()
+            yield _batch(
+                piece.column(0).take(pa.array(found[0])),
+                start=pa.array(found[1].astype(np.int32)),
+                n_words=pa.array(found[2]),
+                top=pa.array(found[3].astype(np.int32)),
+                top_words=pa.array(found[4]),
+                text=pa.array([held[begin:close] for begin, close in zip(found[5].tolist(), found[6].tolist())], pa.string()),
+            )
+    forget()
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -207,13 +238,14 @@ def repeated_paragraphs(docs: DataFrame, key: str) -> DataFrame:
     place = f"doc_id {key}, start int, n_words bigint"
     paragraphs = docs.mapInArrow(_paragraphs, f"{place}, top int, top_words bigint, text string")
     node = F.struct("doc_id", "start", "n_words")
-    groups = near_groups(paragraphs.select(node.alias("doc_id"), "text"), SHINGLE, THRESHOLD, Hashes(BANDS, ROWS), SKETCH_FLOOR)
+    groups = near_groups(paragraphs.select(node.alias("doc_id"), "text"), SHINGLE, THRESHOLD, Hashes(BANDS, ROWS), SKETCH_FLOOR, rounds=2)
     groups = materialize(groups.select(F.col("doc_id").alias("node"), "component_id"), "paragraph-groups")
     more = groups.groupBy("component_id").agg(F.min("node.doc_id").alias("a"), F.max("node.doc_id").alias("b")).where("a != b")
-    around = paragraphs.select(node.alias("node"), "top", "top_words").distinct()
+    around = paragraphs.select(node.alias("node"), "top", "top_words")
     found = groups.join(more.select("component_id"), "component_id").join(around, "node")
     whole = (F.col("node.start") == F.col("top")) & (F.col("node.n_words") == F.col("top_words"))
-    found = materialize(found.select("component_id", "node.*", "top", "top_words", whole.alias("whole")), "near-paragraphs")
+    found = found.select("component_id", "node.*", "top", "top_words", whole.alias("whole")).distinct()
+    found = materialize(found, "near-paragraphs")
 
     # Joined lines and lines by themselves first, then the lines inside those that stay.
     first = found.where("whole").groupBy("component_id").agg(F.min(node).alias("first"))
@@ -246,6 +278,7 @@ def _window_spans(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
     around = docs.join(places, "doc_id").join(lost, "doc_id", "left").select("doc_id", "text", "starts", "removed")
     # Rows that repeat a doc_id may give a window twice; the smallest copy and the sets below take it once.
     windows = materialize(around.mapInArrow(_windows, row + ", cut boolean"), "windows")
+    release(runs)
     copies = windows.groupBy("hash").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct("cut", "doc_id", "start")).alias("keep")
     )

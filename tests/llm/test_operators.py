@@ -234,6 +234,58 @@ def test_tables_of_the_way_to_passages_are_deleted(spark):
     assert found and {name.split("-")[0] for name in set(os.listdir(folder)) - before} == {"lines", "spans"}
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from plumbline.plans import materialize as written
+
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in held for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+    before, setting = files(), spark.conf.get(written._CLEANUP, None)
+    rows = spark.range(50_000).groupBy((F.col("id") % 997).alias("k")).agg(F.collect_list("id").alias("ids")).repartition(3, "ids")
+    table = written.materialize(rows, "shuffled")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(written._CLEANUP, None) == setting
+    assert table.count() == 997
+    (path,) = {f.rsplit("/", 1)[0].removeprefix("file://") for f in table.inputFiles()}
+    written.release(table)
+    assert not glob.glob(f"{path}*")
+
+
+def test_words_of_columns_are_split_and_lowered_like_single_ones(monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.llm import word_numbers
+    from plumbline.llm.words import split_words
+
+    long = "Lo" + "n" * 70
+    texts = [None, "", " \t\n", "one", "two\x0bthree\x0c", "\x1cfour\xa0five \x85", "Ä ä A a", f"{long} x{long}", f" {long.lower()} ", "aab aba baa", "end", "end"]
+    monkeypatch.setattr(word_numbers, "_PIECE", 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]).slice(1)
+    parts = list(word_numbers.hashed(batch))
+    words = [word for text in texts for word in split_words(text)]
+    assert len(parts) > 2 and [n for *_, lengths in parts for n in lengths.tolist()] == [len(split_words(text)) for text in texts[1:]]
+    found = np.concatenate([numbers for _, numbers, _ in parts])
+    assert found.tolist() == word_numbers.hash_words(words).tolist()
+    assert len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist())))
+
+
+def test_paragraphs_of_a_column_are_those_of_its_lines():
+    import pyarrow as pa
+
+    six, fifty = "a b c D e f", _text(81, 50)
+    texts = [None, f"\n{six}\r\nx\n\n{six} {six}\n", "", f"y\n{fifty}\n{six}", "a b c d", f"{six}\n \nz", "\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    found = {tuple(row.values()) for part in passages._paragraphs([batch]) for row in part.to_pylist()}
+    assert found == {
+        (1, 0, 7, 0, 7, f"{six}\r\nx"), (1, 0, 6, 0, 7, f"{six}\r"), (1, 7, 12, 7, 12, f"{six} {six}"),
+        (3, 1, 50, 1, 50, fifty), (3, 51, 6, 51, 6, six), (5, 0, 6, 0, 6, six),
+    }
+
+
 def test_near_copies_of_short_and_joined_lines(spark):
     short, other, parts = _text(41, 20), _text(42, 30), [_text(50 + i, 25) for i in range(3)]
     edited = " ".join([*" ".join(parts).split()[:-1], "edited"])
