@@ -149,11 +149,23 @@ def _setter(size: int):
     return sets
 
 
+def _alone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items of one alone of two sorted sets: those of x, those of y."""
+    if not len(x) or not len(y):
+        return x, y
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both, rest = y[at] == x, np.ones(len(y), dtype=bool)
+    rest[at[both]] = False
+    return x[~both], y[rest]
+
+
 def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared and united items of two sets, and the items of one alone: those of u, sorted, then those of v, sorted."""
     for batch in batches:
-        sets = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3))]
-        alone = [[np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)] for x, y in sets]
+        # Sets are sorted as numbers without a sign.
+        sets = [(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
+        alone = [[side.view(np.int64) for side in _alone(x, y)] for x, y in sets]
         shared = [len(x) - len(new) for (x, _), (new, _) in zip(sets, alone)]
         union = [len(y) + len(new) for (_, y), (new, _) in zip(sets, alone)]
         differences = pa.array([np.concatenate([np.sort(side) for side in both]) for both in alone], pa.list_(pa.int64()))
@@ -257,7 +269,7 @@ def near_groups(
         classes.select("class", F.col("best.doc_id").alias("rep"), "best.n_shingles", "best.sketch", "best.bands"), "classes"
     )
     # Each row with the class it is in; wide rows go as soon as they have been read for the last time.
-    own = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
+    own = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep").hint("shuffle_hash"), "class", "left")
     own = materialize(own.select("doc_id", "n_shingles", "class", F.coalesce("rep", "doc_id").alias("rep")), "own")
     release(signed)
     parts = []
@@ -265,13 +277,13 @@ def near_groups(
         # One exchange serves the count, which reads rep for that, and the join.
         part = classes.select("rep", F.explode(F.slice("bands", int(bands[0]) + 1, len(bands))).alias("band")).repartition("band")
         crowded = part.groupBy("band").agg(F.count("rep").alias("n")).where("n > 1")
-        parts.append(materialize(part.join(crowded, "band"), "members"))
+        parts.append(materialize(part.join(crowded.hint("shuffle_hash"), "band"), "members"))
     members = reduce(DataFrame.unionByName, parts)
     # The original of many copies meets more of them than any copy does, so it is the best centre of a star.
     met = members.groupBy("rep").agg(F.sum("n").alias("met"))
     centres = members.join(met, "rep").groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), "rep")).alias("best"))
     members = materialize(members.select("band", "rep").join(centres, "band"), "stars")
-    facts = classes.select("rep", "n_shingles", "sketch").join(members.select("rep").distinct(), "rep", "left_semi")
+    facts = classes.select("rep", "n_shingles", "sketch").join(members.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
     facts = materialize(facts, "facts")  # of classes in buckets; no other is looked up
     release(classes)
 

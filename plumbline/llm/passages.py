@@ -227,7 +227,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose hash stands in two documents or more."""
     counts = rows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("hash")
-    return rows.join(counts, "hash")
+    return rows.join(counts.hint("shuffle_hash"), "hash")
 
 
 def repeated_paragraphs(docs: DataFrame, key: str) -> DataFrame:
@@ -275,7 +275,7 @@ def _window_spans(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
     places = _shared(runs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))  # no more than a text's words
     span = F.array(F.col("start").cast("bigint"), F.col("start") + F.col("n_words"))
     lost = removed.groupBy("doc_id").agg(F.flatten(F.collect_list(span)).alias("removed"))  # no more than twice a text's lines
-    around = docs.join(places, "doc_id").join(lost, "doc_id", "left").select("doc_id", "text", "starts", "removed")
+    around = docs.join(places.hint("shuffle_hash"), "doc_id").join(lost, "doc_id", "left").select("doc_id", "text", "starts", "removed")
     # Rows that repeat a doc_id may give a window twice; the smallest copy and the sets below take it once.
     windows = materialize(around.mapInArrow(_windows, row + ", cut boolean"), "windows")
     release(runs)
@@ -284,7 +284,7 @@ def _window_spans(docs: DataFrame, key: str, removed: DataFrame) -> DataFrame:
     )
     copies = copies.where("a != b").select("hash", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.start").alias("keep_start"))
     own = (F.col("doc_id") == F.col("keep_doc")) & (F.col("start") == F.col("keep_start"))
-    placed = windows.join(copies, "hash").select("doc_id", F.struct("start", "keep_doc", "keep_start", own.alias("own")).alias("window"))
+    placed = windows.join(copies.hint("shuffle_hash"), "hash").select("doc_id", F.struct("start", "keep_doc", "keep_start", own.alias("own")).alias("window"))
     texts = placed.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))  # no more than a text's words
     return texts.mapInArrow(_spans, f"doc_id {key}, start int, n_words bigint, keep_doc {key}, keep_start int")
 

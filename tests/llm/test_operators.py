@@ -295,6 +295,15 @@ def test_near_copies_of_short_and_joined_lines(spark):
     assert lines == {(1, 0, 20, 1, 0, True), (2, 30, 21, 1, 0, False), (5, 4, 20, 1, 0, False), (3, 0, 75, 3, 0, True), (4, 0, 75, 3, 0, False)}
 
 
+def test_items_of_one_set_alone():
+    rng = np.random.default_rng(9)
+    for n, m in ((0, 0), (0, 3), (4, 0), (1, 1), (30, 40), (200, 7)):
+        x, y = (np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64)[rng.integers(0, 60, k)]) for k in (n, m))
+        y = np.unique(np.r_[y, x[::2]]) if m else y
+        first, second = odd_minhash._alone(x, y)
+        assert first.tolist() == sorted(set(x.tolist()) - set(y.tolist())) and second.tolist() == sorted(set(y.tolist()) - set(x.tolist()))
+
+
 def test_one_large_group_of_near_copies_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
